@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, packing, secrets, simhash
+from . import bpe, exact_dedup, language_id, neighbours, packing, secrets, simhash
 from .common import table
 
 #: The tokenizer file that production runs use.
@@ -38,8 +39,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op7_packing, op8_language_id, op9_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op7_packing, op8_language_id, op9_secrets, op10_neighbours)}
 
 
 OP4_SQL = r"""
