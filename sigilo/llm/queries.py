@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, neighbours, packing, secrets, simhash
+from . import bpe, exact_dedup, language_id, neighbours, packing, secrets, simhash, suffix_dedup
 from .common import table
 
 #: The tokenizer file that production runs use.
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -44,7 +48,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op7_packing, op8_language_id, op9_secrets, op10_neighbours)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op7_packing, op8_language_id, op9_secrets, op10_neighbours)}
 
 
 OP4_SQL = r"""
