@@ -181,9 +181,9 @@ def floors_of(seen: list[tuple[int, float]], part: float = 0.5) -> list[tuple[in
     return sorted(out)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score, rejected (replacing any of these names)."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """All columns of ``docs`` and the prediction in columns ``names`` (replacing any of these)."""
+    own = [c for c in docs.columns if c not in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index(text_col)
 
@@ -192,11 +192,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             got = [model.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
-                [*own, "lang_pred", "score", "rejected"],
+                [*own, *names],
             )
 
     schema = StructType(list(rows.schema.fields))
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
 

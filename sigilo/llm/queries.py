@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op7_packing, op8_language_id, op9_secrets, op10_neighbours)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op7_packing, op8_language_id, op9_secrets, op10_neighbours, pipeline)}
 
 
 OP4_SQL = r"""

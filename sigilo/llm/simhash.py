@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .components import connected_components
 
-BITS, SEGMENTS, CHAIN = 64, 4, 3
+BITS, SEGMENTS, CHAIN = 64, 4, 2
 WIDTH = BITS // SEGMENTS
 SEED = 42
 
@@ -61,8 +61,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 def allowed_changes(distance: int) -> list[int]:
     """Changes of a key of CHAIN segments whose every prefix stays within its budget."""
     budget = [(k + 1) * distance // SEGMENTS for k in range(CHAIN)]
-    if budget[0] and CHAIN * WIDTH > 32 and distance > SEGMENTS:
-        raise ValueError("distance is too large for these segments")
+    if budget[0]:
+        raise ValueError(f"distance must be below {SEGMENTS}, the number of segments")
     out = []
     for n in range(budget[-1] + 1):
         for bits in combinations(range(CHAIN * WIDTH), n):
