@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, neighbours, packing, secrets, simhash, suffix_dedup
+from . import bpe, exact_dedup, html_extract, language_id, neighbours, packing, secrets, simhash, suffix_dedup
 from .common import table
 
 #: The tokenizer file that production runs use.
@@ -32,6 +32,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op7_packing, op8_language_id, op9_secrets, op10_neighbours, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op6_html, op7_packing, op8_language_id, op9_secrets, op10_neighbours, pipeline)}
 
 
 OP4_SQL = r"""
