@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, neighbours, packing, secrets, simhash, suffix_dedup
+from . import bpe, exact_dedup, html_extract, language_id, neighbours, packing, quality, secrets, simhash, suffix_dedup
 from .common import table
 
 #: The tokenizer file that production runs use.
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op6_html, op7_packing, op8_language_id, op9_secrets, op10_neighbours, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op6_html, op7_packing, op8_language_id, op9_secrets, op10_neighbours, pipeline)}
 
 
 OP4_SQL = r"""
