@@ -72,7 +72,7 @@ DETECTORS: dict[str, Detector] = {
         Detector("oab_compact", r"\b([A-Z]{2})(\d{4,6})\b", 2, (_LABEL,)),
         Detector("crm", r"\b((?:CRM(?:/[A-Z]{2})?|CREMERJ)\s*)(\d{4,10}|\d{2,3}\.\d{3})\b", 2, (_LABEL, _NUMBER), True),
         Detector("crm_compact", r"\b(CRM[A-Z]{2})(\d{4,10})\b", 2, (_LABEL, _NUMBER), True),
-        Detector("identity", r"\b((?:Identidade|Id\.?|Ident\.?|RG)\s*(?:n[.º]?\s*)?)(\d[\d.\-/]{4,8}\d)\b", 2, (_LABEL, _NUMBER), True),
+        Detector("identity", r"\b((?:Identidade|Id\.?|Ident\.?|RG)\s*(?:n[.º]?\s*)?)(\d[0-9.\-/]{4,8}\d)\b", 2, (_LABEL, _NUMBER), True),
         Detector("phone", r"(?:\(\d{2}\)\s*|\b\d{2}\s*)?\b\d{4,5}[-\s]?\d{4}\b", 0, ((_FULL, _digits("m0"), "true"),)),
         Detector("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0, ((_FULL, "repeat('*', length(m0))", "true"),), True),
         Detector(

@@ -6,6 +6,8 @@ All are built from Spark's own functions, so they stay in the JVM. An argument
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def matches(c: Column, pattern: str) -> Column:
     return F.coalesce(c, F.lit("")).rlike(pattern.replace(r"\b", EDGE))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def empty_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -47,10 +54,9 @@ def squeeze(c: Column) -> Column:
 
 
 def _grouped(c: Column, sizes: tuple[int, ...], marks: tuple[str, ...]) -> Column:
-    d = digits_only(c)
     pattern = "^" + "".join(f"(.{{{n}}})" for n in sizes) + "$"
     by = "".join(m + f"${k + 1}" for k, m in enumerate(("", *marks)))
-    return F.when(F.length(d) == sum(sizes), replace_all(d, pattern, by)).otherwise("")
+    return let(digits_only(c), lambda d: F.when(F.length(d) == sum(sizes), replace_all(d, pattern, by)).otherwise(""))
 
 
 def format_cpf(c: Column) -> Column:
@@ -237,24 +243,32 @@ def _digit(d: Column, k: int) -> Column:
 
 def check_digit(d: Column, weights: list[int]) -> Column:
     """The modulo-11 digit of the leading digits under the weights; remainders below 2 give 0."""
-    total = sum((_digit(d, k) * w for k, w in enumerate(weights)), F.lit(0))
-    return F.when(total % 11 < 2, 0).otherwise(11 - total % 11)
+    rest = let(d, lambda x: sum((_digit(x, k) * w for k, w in enumerate(weights)), F.lit(0)) % 11)
+    return let(rest, lambda r: F.when(r < 2, 0).otherwise(11 - r))
 
 
 CPF_FIRST, CPF_SECOND = list(range(10, 1, -1)), list(range(11, 1, -1))
 NIT_WEIGHTS = [3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 
 
+def _checked(c: Column, digits: list[tuple[int, list[int]]]) -> Column:
+    """Eleven digits, not all equal, with these check digits at these places."""
+
+    def ok(d: Column) -> Column:
+        fits = (F.length(d) == 11) & (d != F.repeat(F.substring(d, 1, 1), 11))
+        for at, weights in digits:
+            fits = fits & (check_digit(d, weights) == _digit(d, at))
+        return F.coalesce(fits, F.lit(False))
+
+    return let(digits_only(empty_if_null(c)), ok)
+
+
 def valid_cpf(c: Column) -> Column:
-    d = digits_only(empty_if_null(c))
-    fits = (F.length(d) == 11) & (d != F.repeat(F.substring(d, 1, 1), 11))
-    return F.coalesce(fits & (check_digit(d, CPF_FIRST) == _digit(d, 9)) & (check_digit(d, CPF_SECOND) == _digit(d, 10)), F.lit(False))
+    return _checked(c, [(9, CPF_FIRST), (10, CPF_SECOND)])
 
 
 def valid_nit(c: Column) -> Column:
-    d = digits_only(empty_if_null(c))
-    fits = (F.length(d) == 11) & (d != F.repeat(F.substring(d, 1, 1), 11))
-    return F.coalesce(fits & (check_digit(d, NIT_WEIGHTS) == _digit(d, 10)), F.lit(False))
+    return _checked(c, [(10, NIT_WEIGHTS)])
 
 
 def common_surname(c: Column) -> Column:

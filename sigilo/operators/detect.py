@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import DETECTORS, PROCESS, Detector
-from ..functions.text import overlaps, valid_cpf
+from ..functions.text import let, overlaps, valid_cpf
 
 PAIRS = "array<struct<o:string,s:string,kind:string>>"
 
@@ -22,15 +22,17 @@ def spans(text: Column, pattern: str, groups: int = 0) -> Column:
     between matches and of the matches themselves.
     """
     p = F.lit(pattern)
-    found = [F.regexp_extract_all(text, p, F.lit(g)) for g in range(groups + 1)]
-    pieces = F.split(text, pattern, -1)
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    parts = F.struct(*[F.regexp_extract_all(text, p, F.lit(g)).alias(f"f{g}") for g in range(groups + 1)], F.transform(F.split(text, pattern, -1), F.length).alias("between"))
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
 
-    def one(m: Column, k: Column) -> Column:
-        begin = total(pieces, k + 1) + total(found[0], k)
-        return F.struct(begin.alias("b"), (begin + F.length(m)).alias("e"), *[F.get(found[g], k).alias(f"m{g}") for g in range(groups + 1)])
+    def placed(s: Column) -> Column:
+        def one(m: Column, k: Column) -> Column:
+            begin = total(s["between"], k + 1) + total(F.transform(F.slice(s["f0"], 1, k), F.length), k)
+            return F.struct(begin.alias("b"), (begin + F.length(m)).alias("e"), *[F.get(s[f"f{g}"], k).alias(f"m{g}") for g in range(groups + 1)])
 
-    return F.transform(found[0], one)
+        return F.transform(s["f0"], one)
+
+    return let(parts, placed)
 
 
 def protected(text: Column) -> Column:

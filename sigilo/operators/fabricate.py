@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CPF_FIRST, CPF_SECOND, NIT_WEIGHTS, apply_number_mask, check_digit, digits_only, format_cpf, format_nit
+from ..functions.text import CPF_FIRST, CPF_SECOND, NIT_WEIGHTS, apply_number_mask, check_digit, digits_only, format_cpf, format_nit, let
 
 #: The surname of every fictitious holder and the name of every mother.
 SURNAME, MOTHER = "FAKE DOS SANTOS", "MARIA FAKE DOS SANTOS"
@@ -37,17 +37,17 @@ def random_digits(n: int | Column, *key: Column | str | int) -> Column:
 def cpf_of(base: Column) -> Column:
     """The CPF of nine digits, formatted."""
     ten = F.concat(base, check_digit(base, CPF_FIRST).cast("string"))
-    return format_cpf(F.concat(ten, check_digit(ten, CPF_SECOND).cast("string")))
+    return let(ten, lambda t: format_cpf(F.concat(t, check_digit(t, CPF_SECOND).cast("string"))))
 
 
 def nit_of(base: Column) -> Column:
     """The NIT of ten digits, formatted."""
-    return format_nit(F.concat(base, check_digit(base, NIT_WEIGHTS).cast("string")))
+    return let(base, lambda b: format_nit(F.concat(b, check_digit(b, NIT_WEIGHTS).cast("string"))))
 
 
 def first_other(candidates: list[Column], taken: Column) -> Column:
     """The first candidate whose digits are not among ``taken``."""
-    return F.coalesce(*[F.when(~F.array_contains(taken, digits_only(c)), c) for c in candidates])
+    return F.get(F.filter(F.array(*candidates), lambda c: ~F.array_contains(taken, digits_only(c))), F.lit(0))
 
 
 def cpf(original: Column, *key: Column | str | int) -> Column:

@@ -429,7 +429,7 @@ def display_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_person")
     d = F.col("doc_id")
-    return v.select("doc_id", T.duration(d * 9973).alias("duration"), T.human_bytes(d * d * 173).alias("size"), T.estimated_total(d * 997, (d % 110).cast("double")).alias("total"), T.missing_text_mode(F.when(d % 2 == 0, "omit").otherwise("x")).alias("mode"))
+    return v.select("doc_id", T.duration(d * 9973).alias("duration"), T.human_bytes(d * d * 173).alias("size"), F.coalesce(T.estimated_total(d * 997, (d % 110).cast("double")), F.lit(-1)).alias("total"), T.missing_text_mode(F.when(d % 2 == 0, "omit").otherwise("x")).alias("mode"))
 
 
 @query

@@ -36,13 +36,13 @@ VIEWS: dict[str, str] = {
         "SELECT c_custkey AS doc_id, c_name AS name, c_custkey % 3 = 0 AS corrupt, "
         f"{_digits(7919, 9, 'c_custkey')} AS base9, {_digits(104729, 10, 'c_custkey')} AS base10 FROM {{customer}}"
     ),
-    "v_case_page": f"SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page, {CASE_TEXT} AS text FROM {{orders}}",
+    "v_case_page": f"SELECT o_custkey AS doc_id, o_orderkey AS k, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS bigint) AS page, {CASE_TEXT} AS text FROM {{orders}}",
     "v_text_item": (
-        "SELECT l_orderkey AS doc_id, 0 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice, l_partkey, l_suppkey) AS item, l_quantity AS x, "
+        "SELECT l_orderkey AS doc_id, 0 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_returnflag, l_linenumber, l_partkey) AS item, l_quantity AS x, "
         "cast(cast(l_partkey % 4 as int) * 12 as double) AS y, concat(l_returnflag, cast(l_linenumber as string), '  ', cast(l_partkey as string)) AS str, l_partkey % 7 = 0 AS has_eol FROM {lineitem}"
     ),
     "v_outline": (
-        "SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, "
+        "SELECT user_id AS doc_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS bigint) AS ord, "
         "CASE event_type WHEN 'signup' THEN 'CAPA do processo' WHEN 'error' THEN 'Anexo avulso' ELSE concat('Evento. ', cast(event_id % 9 as string), ' - Peça ', event_type) END AS title, "
         "CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN NULL ELSE event_id % 40 END AS page FROM {events}"
     ),
@@ -52,7 +52,7 @@ VIEWS: dict[str, str] = {
         "CASE WHEN o_orderkey % 11 = 0 THEN ' Documento 3' ELSE '' END) END AS text FROM {orders}"
     ),
     "v_progress": (
-        "SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, ts, "
+        "SELECT user_id AS doc_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bigint) AS seq, event_id, ts, "
         "CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'scan' WHEN 'purchase' THEN 'ocr' WHEN 'signup' THEN 'event' ELSE 'done' END AS type, value / 5.0 AS percent, "
         "count(*) OVER (PARTITION BY user_id) AS total FROM {events}"
     ),

@@ -40,7 +40,7 @@ def throttled(events: DataFrame) -> DataFrame:
         hold = e["type"].isin(*FREQUENT) & s["kind"].eqNullSafe(e["type"]) & s["at"].isNotNull() & (ms - s["at"] < INTERVAL_MS)
         return F.when(hold, s).otherwise(F.struct(e["type"].alias("kind"), ms.alias("at"), F.concat(s["out"], F.array(e)).alias("out")))
 
-    folded = events.withColumn("idx", F.col("idx").cast("int")).groupBy("doc_id").agg(ordered.alias("all"))
+    folded = events.withColumn("idx", F.col("idx").cast("int")).withColumn("ts", F.col("ts").cast("timestamp")).groupBy("doc_id").agg(ordered.alias("all"))
     return folded.select("doc_id", F.explode(F.aggregate("all", empty, step)["out"]).alias("e")).select("doc_id", "e.*")
 
 
@@ -60,7 +60,7 @@ def estimates(events: DataFrame) -> DataFrame:
         row = F.struct(e["seq"].cast("bigint").alias("seq"), e["ts"].alias("ts"), top.alias("top"), est.alias("estimate"))
         return F.struct(top.alias("top"), est.alias("est"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    folded = events.groupBy("doc_id").agg(ordered.alias("all"), F.min("ts").alias("start"))
+    folded = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("doc_id").agg(ordered.alias("all"), F.min("ts").alias("start"))
     return folded.select("doc_id", F.explode(F.aggregate("all", zero, step)["out"]).alias("e")).select("doc_id", "e.*")
 
 
