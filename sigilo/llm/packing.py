@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe
+from .token_ids import TokenIds
 
 TIERS = (2048, 1024, 512, 256)
 #: Documents packed together; each chunk leaves one padded window at most.
@@ -131,7 +131,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = Bpe.load(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = TokenIds.load(tokenizer), int(end_id).to_bytes(4, "little")
         first = TaskContext.get().partitionId() << 40
         seq, step = first, first
         ids: list[int | None] = []
@@ -157,13 +157,14 @@ def pack(
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = bpe.encode_bytes(text or "") + end
-                ids.append(doc)
-                raws.append(raw)
-                tokens += len(raw) // 4
-                if len(ids) >= CHUNK_DOCS or tokens >= CHUNK_TOKENS:
-                    yield from flush()
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                for doc, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                    ids.append(doc)
+                    raws.append(raw + end)
+                    tokens += len(raw) // 4 + 1
+                    if len(ids) >= CHUNK_DOCS or tokens >= CHUNK_TOKENS:
+                        yield from flush()
         if ids:
             yield from flush()
 
