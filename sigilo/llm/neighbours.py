@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 ORDERINGS, DIMS, BITS = 6, 6, 8
-BLOCK = 1024
+#: A block is as wide as the window, within these bounds: a query meets three blocks of each ordering.
+BLOCK = (1024, 65536)
 #: Queries whose true neighbours are found to set the window; a documented bound.
 CALIBRATION = 128
 RECALL = 0.97
@@ -188,7 +189,7 @@ def search(
     orderings: int = ORDERINGS,
     dims: int = DIMS,
     bits: int = BITS,
-    block: int = BLOCK,
+    block: tuple[int, int] = BLOCK,
     recall: float = RECALL,
     calibration: int = CALIBRATION,
     id_col: str = "vec_id",
@@ -212,13 +213,14 @@ def search(
     points = checkpointed(distinct_vectors(rows, k + 1))
     ranks = ranked(points, width, orderings, dims, bits)
     window = max(calibrate(points, ranks, k, recall, calibration), k)
+    size = min(max(window, block[0]), block[1])
 
-    laid = ranks.join(points.select("rep", "v"), "rep").withColumn("block", F.floor(F.col("rank") / block))
+    laid = ranks.join(points.select("rep", "v"), "rep").withColumn("block", F.floor(F.col("rank") / size))
     # A query is asked once per distinct vector.
     asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")
     queries = asked.join(points.select("v", "rep"), "v").select("query_id", F.col("rep").alias("query"))
     own = queries.select(F.col("query").alias("rep")).distinct()
-    low, high = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor((F.col("rank") + window) / block)
+    low, high = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / size), F.floor((F.col("rank") + window) / size)
     sent = laid.join(own, "rep").select(F.col("ordering").alias("curve"), F.explode(F.sequence(low, high)).alias("near_block"), F.col("rep").alias("query"), F.col("v").alias("query_v"))
     met = in_blocks(sent, laid.select("ordering", "block", "rep", "v"), k + 1)
     met = met.groupBy("query", "rep").agg(F.max("score").alias("score"))  # met in several orderings
