@@ -87,14 +87,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 def ownership(found: DataFrame, copied_owners: int = 3) -> DataFrame:
     """n_repos, n_owners and copied of every candidate value, over the whole corpus.
 
-    Distinct (value, owner) and (value, repository) rows are made first, so a
-    value that a third of all rows hold is pre-aggregated before it is sent.
+    Rows are counted by value, owner and repository, then by value and owner,
+    then by value, so a value that a third of all rows hold is pre-aggregated
+    before it is sent. A repository counts once under each of its owners.
     """
     each = found.select("repo", "owner", F.explode("spans").alias("s")).select("repo", "owner", F.col("s.value").alias("value"))
-    by_owner = each.groupBy("value", "owner").agg(F.approx_count_distinct("repo").alias("repos"), F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(
-        F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans")
-    ).withColumn("copied", F.col("n_owners") >= copied_owners)
+    by_repo = each.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
+    by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    owned = by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"))
+    return owned.withColumn("copied", F.col("n_owners") >= copied_owners)
 
 
 def digest_of(spans: Column) -> Column:
