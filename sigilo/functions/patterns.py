@@ -28,7 +28,13 @@ class Detector:
 
     @property
     def java(self) -> str:
-        return ("(?iu)" if self.ignore_case else "") + self.pattern.replace(r"\d", "[0-9]").replace(r"\b", EDGE)
+        p = self.pattern
+        # Where a word character stands inside, one side tells whether an edge is one.
+        if p.startswith(r"\b") and self.name != "oab_named":
+            p = "(?<![A-Za-z0-9_])" + p[2:]
+        if p.endswith(r"\b"):
+            p = p[:-2] + "(?![A-Za-z0-9_])"
+        return ("(?iu)" if self.ignore_case else "") + p.replace(r"\d", "[0-9]").replace(r"\b", EDGE)
 
     @property
     def re2(self) -> str:

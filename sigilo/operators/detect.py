@@ -41,7 +41,7 @@ def protected(text: Column) -> Column:
 
 
 def unprotected(found: Column, ranges: Column) -> Column:
-    return F.filter(found, lambda m: ~overlaps(m["b"], m["e"], ranges))
+    return let(ranges, lambda r: F.filter(found, lambda m: ~overlaps(m["b"], m["e"], r)))
 
 
 def add_pairs(df: DataFrame, detectors: list[Detector] | None = None, text_col: str = "text", out: str = "pairs") -> DataFrame:
@@ -80,7 +80,7 @@ def emission(d: Detector) -> str:
 
 def first_wins(pairs: Column) -> Column:
     """Of pairs with one original only the first."""
-    return F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, 1, k), lambda q: q["o"] == p["o"]))
+    return let(pairs, lambda every: F.filter(every, lambda p, k: ~F.exists(F.slice(every, 1, k), lambda q: q["o"] == p["o"])))
 
 
 def by_length(pairs: Column) -> Column:

@@ -81,6 +81,12 @@ def _pool(chars: Column, pattern: str) -> Column:
     return F.array_distinct(F.filter(chars, lambda c: c.rlike(pattern)))
 
 
+def _pools(model: Column) -> Column:
+    """struct<model, letters, digits>: a text and the symbols it is made of."""
+    chars = F.split(model, "")
+    return F.struct(model.alias("model"), _pool(chars, "^[A-Z]$").alias("letters"), _pool(chars, "^[0-9]$").alias("digits"))
+
+
 def _shaped(text: Column, letters: Column, digits: Column, differ: bool, *key: Column | str | int) -> Column:
     """Each letter and digit drawn from its pool; with ``differ`` never the one that stands there."""
     any_letter, any_digit = F.split(F.lit(LETTERS), ""), F.split(F.lit("0123456789"), "")
@@ -88,7 +94,7 @@ def _shaped(text: Column, letters: Column, digits: Column, differ: bool, *key: C
     def pick(pool: Column, every: Column, c: Column, i: Column) -> Column:
         usable = F.array_except(pool, F.array(c)) if differ else F.when(F.size(pool) > 1, pool).otherwise(every)
         usable = F.when(F.size(usable) > 0, usable).otherwise(F.array_except(every, F.array(c)))
-        return F.get(usable, draw(F.size(usable), *key, i).cast("int"))
+        return let(usable, lambda u: F.get(u, draw(F.size(u), *key, i).cast("int")))
 
     chars = F.split(text, "")
     return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[A-Z]$"), pick(letters, any_letter, c, i)).when(c.rlike("^[0-9]$"), pick(digits, any_digit, c, i)).otherwise(c)), "")
@@ -100,19 +106,20 @@ def code(original: Column, *key: Column | str | int) -> Column:
     Where a pool has one symbol only, the whole alphabet is drawn from, so
     that a code of equal symbols ends too.
     """
-    model = F.upper(F.trim(original))
-    chars = F.split(model, "")
-    tries = [_shaped(model, _pool(chars, "^[A-Z]$"), _pool(chars, "^[0-9]$"), False, *key, "code", k) for k in range(CANDIDATES)]
-    tries.append(_shaped(model, _pool(chars, "^[A-Z]$"), _pool(chars, "^[0-9]$"), True, *key, "code"))
-    return F.when(model == "", "").otherwise(F.coalesce(*[F.when(t != model, t) for t in tries], model))
+
+    def drawn(m: Column) -> Column:
+        tries = [_shaped(m["model"], m["letters"], m["digits"], False, *key, "code", k) for k in range(CANDIDATES)]
+        tries.append(_shaped(m["model"], m["letters"], m["digits"], True, *key, "code"))
+        other = F.get(F.filter(F.array(*tries), lambda t: t != m["model"]), F.lit(0))
+        return F.when(m["model"] == "", "").otherwise(F.coalesce(other, m["model"]))
+
+    return let(F.upper(F.trim(original)), lambda t: let(_pools(t), drawn))
 
 
 def address(lines: Column, *key: Column | str | int) -> Column:
     """Lines of the same shape whose letters and digits all differ, drawn from those of all lines."""
     up = F.filter(F.transform(lines, F.upper), lambda l: l != "")
-    chars = F.split(F.array_join(up, ""), "")
-    letters, digits = _pool(chars, "^[A-Z]$"), _pool(chars, "^[0-9]$")
-    return F.transform(up, lambda line, k: _shaped(line, letters, digits, True, *key, "address", k))
+    return let(up, lambda own: let(_pools(F.array_join(own, "")), lambda m: F.transform(own, lambda line, k: _shaped(line, m["letters"], m["digits"], True, *key, "address", k))))
 
 
 def holder(original: Column, *key: Column | str | int) -> Column:

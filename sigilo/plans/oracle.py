@@ -285,7 +285,7 @@ def all_sql() -> dict[str, str]:
         "admission_filter": f"WITH {as_sql('v_person')}, f AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not a PDF' WHEN doc_id * 1000003 % (90 * 1024 * 1024) > CASE WHEN doc_id % 5 IN (2, 3) THEN 70 ELSE 50 END * 1024 * 1024 THEN 'too large' END AS reason FROM v_person) SELECT doc_id, reason IS NULL AS accepted, reason FROM f",
         "display_masks": PERSON + " SELECT doc_id, substr(cpf, 1, 4) || '***.***-**' AS cpf, substr(nit, 1, 4) || '*****.**-*' AS nit, 'Ana ****' AS nome, substr(base10, 1, 6) || '***' AS codigo, 'RUA DOS ***' AS endereco FROM p",
         "durations": f"WITH {as_sql('v_person')} SELECT doc_id, CASE WHEN {seconds} < 3600 THEN {two(f'floor({seconds} / 60)')} || ':' || {two(f'{seconds} % 60')} ELSE cast(cast(floor({seconds} / 3600) AS bigint) AS varchar) || 'h ' || {two(f'floor({seconds} / 60) % 60')} || 'min' END AS duration, "
-        "CASE WHEN doc_id * doc_id * 173 >= 1048576 THEN replace(printf('%.1f', doc_id * doc_id * 173 / 1048576.0), '.', ',') || ' MB' WHEN doc_id * doc_id * 173 >= 1024 THEN cast(cast(floor(doc_id * doc_id * 173 / 1024.0 + 0.5) AS bigint) AS varchar) || ' KB' ELSE cast(doc_id * doc_id * 173 AS varchar) || ' bytes' END AS size, "
+        "CASE WHEN doc_id * doc_id * 173 >= 1048576 THEN replace(printf('%.1f', floor(doc_id * doc_id * 173 / 1048576.0 * 10 + 0.5) / 10), '.', ',') || ' MB' WHEN doc_id * doc_id * 173 >= 1024 THEN cast(cast(floor(doc_id * doc_id * 173 / 1024.0 + 0.5) AS bigint) AS varchar) || ' KB' ELSE cast(doc_id * doc_id * 173 AS varchar) || ' bytes' END AS size, "
         "CASE WHEN doc_id * 997 >= 30000 AND doc_id % 110 >= 12 THEN cast(floor(doc_id * 997 * (cast(100.0 AS double) / least(99.0, cast(doc_id % 110 AS double))) + 0.5) AS bigint) ELSE -1 END AS total, CASE WHEN doc_id % 2 = 0 THEN 'omit' ELSE 'placeholder' END AS mode FROM v_person",
         "progress_sampling": f"WITH {as_sql('v_progress')} SELECT doc_id, type, count(*) AS n, cast(sum(seq) AS bigint) AS seq_sum FROM v_progress WHERE type NOT IN ('page', 'event', 'ocr') OR seq = 0 OR seq + 1 = total OR (seq + 1) % 10 = 0 GROUP BY doc_id, type",
     }
