@@ -13,11 +13,11 @@ Windows. Doubtful segments go back to their texts. Their windows are put in
 suffix order within a chunk: sorted by leading bytes, then by a mergesort
 whose comparisons find the common extension of two suffixes by binary search
 over prefix polynomial hashes. Neighbours that share WIDTH bytes are verified
-byte by byte and collapse; what is left of each chunk meets by a 128-bit
-digest, and all windows but the first of each class are removed.
-
-Every exchange carries at most one row per class and chunk, however often a
-text repeats.
+byte by byte and collapse. What is left of each chunk meets by gram, as bytes,
+and is put in suffix order again; all windows but the first of each class are
+removed. A gram with many such rows in a chunk, or over all, is hot: its
+windows meet by their own 128-bit digest instead, which no text's frequency
+makes large, as each chunk sends a class once.
 """
 
 from __future__ import annotations
@@ -73,6 +73,7 @@ class Hashed:
 
     def __init__(self, data: np.ndarray) -> None:
         self.data = data
+        self._words: np.ndarray | None = None
         values = BYTE_VALUES[data]
         self.prefix, self.inverse = [], []
         for which in (0, 1):
@@ -82,6 +83,16 @@ class Hashed:
             self.prefix.append(p)
             self.inverse.append(down)
 
+    def words(self) -> np.ndarray:
+        """The eight bytes from each place on, as one number in their order."""
+        if self._words is None:
+            n = max(0, len(self.data) - 7)
+            self._words = np.zeros(n, dtype=np.uint64)
+            for j in range(8):
+                self._words <<= U(8)
+                self._words |= self.data[j : j + n]
+        return self._words
+
     def of(self, start: np.ndarray, length: np.ndarray | int, which: int = 0) -> np.ndarray:
         """Hashes of substrings, by their starts and lengths."""
         p = self.prefix[which]
@@ -111,9 +122,10 @@ def suffix_sort(h: Hashed, starts: np.ndarray, group: np.ndarray, width: int) ->
     elements of the other run before it, found by binary search.
     """
     order = np.arange(len(starts))
-    first = np.searchsorted(group, group, side="left")
-    size = np.searchsorted(group, group, side="right") - first
-    place = np.arange(len(starts)) - first
+    edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    count = np.diff(np.append(edge, len(group)))
+    first, size = np.repeat(edge, count), np.repeat(count, count)
+    place = order - first
     run, most = 1, int(size.max(initial=0))
     while run < most:
         busy = np.flatnonzero(size > run)  # groups of one run are done
@@ -139,23 +151,17 @@ def suffix_sort(h: Hashed, starts: np.ndarray, group: np.ndarray, width: int) ->
     return order
 
 
-def leading(data: np.ndarray, starts: np.ndarray, skip: int) -> np.ndarray:
-    """Eight bytes of each suffix as one number."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    for j in range(skip, skip + 8):
-        out = (out << U(8)) | data[starts + j].astype(np.uint64)
-    return out
-
-
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    """Whether substrings are equal, byte by byte."""
+def same_bytes(h: Hashed, a: np.ndarray, b: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Whether substrings of eight bytes or more are equal, eight bytes at a time."""
     length = np.broadcast_to(length, a.shape)
     ok = np.ones(len(a), dtype=bool)
-    for j in range(int(length.max(initial=0))):
-        at = np.flatnonzero(ok & (length > j))
+    at, words = np.arange(len(a)), h.words()
+    for j in range(0, int(length.max(initial=0)), 8):
+        at = at[ok[at] & (length[at] > j)]
         if not at.size:
             break
-        ok[at] = data[a[at] + j] == data[b[at] + j]
+        skip = np.minimum(j, length[at] - 8)
+        ok[at] = words[a[at] + skip] == words[b[at] + skip]
     return ok
 
 
@@ -234,7 +240,7 @@ def segments(chunk: Chunk, gram: int = GRAM, width: int = WIDTH) -> list[np.ndar
     head = np.maximum.accumulate(np.where(new_sub, np.arange(len(k)), 0))
     again = ~new_sub
     rest = np.flatnonzero(again)
-    again[rest] = same_bytes(h.data, b[rest], b[head[rest]], m[rest] + w - 1)  # what only shares a digest stays in doubt
+    again[rest] = same_bytes(h, b[rest], b[head[rest]], m[rest] + w - 1)  # what only shares a digest stays in doubt
     false = np.zeros(len(k), dtype=bool)
     false[rest] = ~again[rest]
     kinds = np.add.reduceat((new_sub | false).astype(np.int64), np.flatnonzero(new_key))
@@ -259,17 +265,18 @@ def segments(chunk: Chunk, gram: int = GRAM, width: int = WIDTH) -> list[np.ndar
 
 
 def windows(chunk: Chunk, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of first windows, their digest's halves); of equal windows of the chunk the rest is ``None`` of it."""
+    """(starts in suffix order, class of each, whether it equals the one before)."""
     h = chunk.hashed
-    order = np.lexsort((leading(h.data, starts, 8), leading(h.data, starts, 0)))
-    starts = starts[order]
-    a, b = leading(h.data, starts, 0), leading(h.data, starts, 8)
+    a, b = h.words()[starts], h.words()[starts + 8]
+    order = np.lexsort((b, a))
+    starts, a, b = starts[order], a[order], b[order]
     group = np.cumsum(np.concatenate(([0], ((a[1:] != a[:-1]) | (b[1:] != b[:-1])).astype(np.int64))))
     starts = starts[suffix_sort(h, starts, group, width)]
     same = np.zeros(len(starts), dtype=bool)
     if len(starts) > 1:
-        near = np.flatnonzero(h.common(starts[1:], starts[:-1], width) >= width)
-        same[near + 1] = same_bytes(h.data, starts[near + 1], starts[near], width)
+        # The common extension of neighbours counts from WIDTH on; equal hashes of WIDTH bytes tell that.
+        near = np.flatnonzero(h.of(starts[1:], width) == h.of(starts[:-1], width))
+        same[near + 1] = same_bytes(h, starts[near + 1], starts[near], width)
     return starts, np.cumsum(~same), same
 
 
@@ -329,11 +336,70 @@ def judged(rows: DataFrame) -> DataFrame:
     return met.filter((F.col("kind") == DECIDED) | later | doubt).select("doc", "start", "n", doubt.alias("doubt"))
 
 
-WINDOW_ROW = "key long, sub long, doc long, start long, removed boolean"
-
-
-def find_windows(joined: DataFrame) -> DataFrame:
-    """Window rows of doubtful segments: those of a chunk's later copies are removed at once."""
+#: Rows of one gram in a chunk, and over all chunks, from which on it is hot; rows compared together.
+HOT_IN_CHUNK, HOT_GRAM, TOGETHER = 16, 4096, 12_000
+MARKED, BODY, WINDOW, REMOVED = 0, 1, 2, 3
+PIECE_ROW = "key long, sub long, kind int, doc long, start long, n long, body binary"
+
+
+def piece_rows(kind: int, key: np.ndarray, sub: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, body: list[bytes] | None = None) -> pa.RecordBatch:
+    cols = [pa.array(key), pa.array(sub), pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(doc), pa.array(start), pa.array(n)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(body if body is not None else [None] * len(key), pa.binary())], [x.split()[0] for x in PIECE_ROW.split(", ")])
+
+
+def removed_rows(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Windows to remove, in runs; dealt by document."""
+    doc, start, n = runs_of(doc, start, np.ones(len(doc), dtype=np.int64))
+    spread = mix(doc.astype(np.uint64) * U(31) + start.astype(np.uint64)).view(np.int64)
+    return piece_rows(REMOVED, spread, spread, doc, start, n)
+
+
+def window_rows(chunk: Chunk, at: np.ndarray) -> pa.RecordBatch:
+    doc, start = chunk.place(at)
+    key, sub = (mix(chunk.hashed.of(at, WIDTH, k)).view(np.int64) for k in (0, 1))
+    return piece_rows(WINDOW, key, sub, doc, start, np.ones(len(at), dtype=np.int64))
+
+
+def collapsed(chunk: Chunk, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first windows, later ones) among windows of the chunk, by (id, place)."""
+    at, cls, same = windows(chunk, starts)
+    shared = same | np.append(same[1:], False)  # windows of classes with two members or more
+    alone, at, cls = at[~shared], at[shared], cls[shared]
+    doc, pos = chunk.place(at)
+    order = np.lexsort((pos, doc, cls))
+    at, cls, doc, pos = at[order], cls[order], doc[order], pos[order]
+    head = np.maximum.accumulate(np.where(np.concatenate(([True], cls[1:] != cls[:-1])), np.arange(len(cls)), 0)) if len(cls) else order
+    # A place that stands in two chunks' pieces is one window, not a copy of itself.
+    later = (doc != doc[head]) | (pos != pos[head])
+    return np.sort(np.concatenate((alone, at[~later]))), at[later]
+
+
+def find_pieces(joined: DataFrame) -> DataFrame:
+    """Doubtful segments, collapsed within each chunk: bodies of first windows, and later ones removed."""
+
+    def rows_of(chunk: Chunk, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, later = collapsed(chunk, starts)
+        if later.size:
+            yield removed_rows(*chunk.place(later))
+        if not first.size:
+            return
+        g, anchor = anchors(chunk.hashed, GRAM, WIDTH)
+        new = np.concatenate(([True], (first[1:] != first[:-1] + 1) | (anchor[first[1:]] != anchor[first[:-1]]) | (chunk.piece(first[1:]) != chunk.piece(first[:-1]))))
+        begin = first[new]
+        n = np.diff(np.append(np.flatnonzero(new), len(first)))
+        key = g[anchor[begin]].view(np.int64)
+        names, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        hot = count[which] >= HOT_IN_CHUNK
+        if hot.any():
+            yield window_rows(chunk, first[np.repeat(hot, n)])
+            hot_names = names[count >= HOT_IN_CHUNK]
+            zero = np.zeros(len(hot_names), dtype=np.int64)
+            yield piece_rows(MARKED, hot_names, zero, zero, zero, zero)
+        if not hot.all():
+            begin, n, key = begin[~hot], n[~hot], key[~hot]
+            raw = chunk.hashed.data.tobytes()
+            body = [raw[b : b + k + WIDTH - 1] for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+            yield piece_rows(BODY, key, np.zeros(len(key), dtype=np.int64), *chunk.place(begin), n, body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doubts: dict[int, list[tuple[int, int]]] = {}
@@ -357,27 +423,76 @@ def find_windows(joined: DataFrame) -> DataFrame:
             for doc in chunk.ids[:-1].tolist():
                 if doc != chunk.ids[-1]:
                     doubts.pop(doc, None)
-            if not starts:
-                continue
-            at, cls, _ = windows(chunk, np.unique(np.concatenate(starts)))
-            doc, pos = chunk.place(at)
-            order = np.lexsort((pos, doc, cls))
-            at, cls, doc, pos = at[order], cls[order], doc[order], pos[order]
-            later = np.concatenate(([False], cls[1:] == cls[:-1]))
-            h = chunk.hashed
-            key, sub = mix(h.of(at, WIDTH, 0)), mix(h.of(at, WIDTH, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sub.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(later)], [x.split()[0] for x in WINDOW_ROW.split(", ")])
+            if starts:
+                yield from rows_of(chunk, np.unique(np.concatenate(starts)))
+
+    return joined.mapInArrow(run, PIECE_ROW)
+
 
-    return joined.mapInArrow(run, WINDOW_ROW)
+def all_windows(pieces: list[tuple[int, int, bytes]]) -> tuple[Chunk, np.ndarray]:
+    chunk = Chunk(pieces)
+    return chunk, np.concatenate([np.arange(b, e - WIDTH + 1) for b, e in zip(chunk.begin.tolist(), chunk.end.tolist(), strict=True)])
+
+
+def compare_grams(pieces: DataFrame) -> DataFrame:
+    """Bodies of one gram put in suffix order together; those of hot grams become window rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        done: list[tuple[int, int, bytes]] = []  # of grams that have ended
+        gram, hot = None, False
+
+        def compare(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            chunk, starts = all_windows(rows)
+            _, later = collapsed(chunk, starts)
+            if later.size:
+                yield removed_rows(*chunk.place(later))
+
+        def explode(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(rows), 4096):
+                yield window_rows(*all_windows(rows[lo : lo + 4096]))
+
+        for batch in batches:
+            kinds = batch.column(2).to_numpy()
+            through = kinds >= WINDOW
+            if through.any():
+                yield batch.filter(pa.array(through))
+            own = batch.filter(pa.array(~through))
+            cols = [own.column(k).to_pylist() for k in (0, 2, 3, 4, 6)]
+            for key, kind, doc, start, body in zip(*cols, strict=True):
+                if key != gram:
+                    if hot:
+                        yield from explode(held)
+                    elif len(held) > 1:  # a body alone has nothing to meet
+                        done += held
+                    held, gram, hot = [], key, False
+                    if len(done) >= TOGETHER:
+                        yield from compare(done)
+                        done = []
+                if kind == MARKED:
+                    hot = True
+                    continue
+                held.append((doc, start, body))
+                if hot and len(held) >= 1024 or len(held) > HOT_GRAM:
+                    hot = True
+                    yield from explode(held)
+                    held = []
+        if hot:
+            yield from explode(held)
+        elif len(held) > 1:
+            done += held
+        if done:
+            yield from compare(done)
+
+    met = pieces.repartition("key").sortWithinPartitions("key", "kind")
+    return met.mapInArrow(run, PIECE_ROW).select("key", "sub", "kind", "doc", "start", "n")
 
 
 def first_windows(rows: DataFrame) -> DataFrame:
-    """(doc, start) of every window that stands earlier somewhere else."""
+    """(doc, start, n) of windows to remove: runs that are known, and all but the first of each digest."""
     at = F.struct("doc", "start")
-    cls = Window.partitionBy("key", "sub")
-    here = F.when(~F.col("removed"), at)
-    met = rows.repartition("key").withColumn("first", F.min(here).over(cls))
-    return met.filter(F.col("removed") | (F.col("first") != at)).select("doc", "start")
+    met = rows.repartition("key").withColumn("first", F.min(at).over(Window.partitionBy("key", "sub", "kind")))
+    return met.filter((F.col("kind") == REMOVED) | (F.col("first") != at)).select("doc", "start", "n")
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -409,19 +524,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("raw_id"), F.col(text_col).alias("text")).select(F.coalesce("raw_id", last).alias("doc_id"), "text")
     found = judged(find_segments(rows)).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "doubt")).alias("spans"))
     joined = rows.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    dups = first_windows(find_windows(joined)).groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    both = joined.join(dups, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "starts")
+    dups = first_windows(compare_grams(find_pieces(joined))).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("dups"))
+    both = joined.join(dups, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "dups")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
                 cols: list[list] = [[], [], [], [], []]
-                for text, spans, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for text, spans, dups in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     raw = text_bytes(text)
-                    sure = [s for s in spans or [] if not s["doubt"]]
-                    begin = np.array([s["start"] for s in sure] + (starts or []), dtype=np.int64)
-                    n = np.array([s["n"] for s in sure] + [1] * len(starts or []), dtype=np.int64)
+                    sure = [s for s in spans or [] if not s["doubt"]] + (dups or [])
+                    begin, n = (np.array([s[c] for s in sure], dtype=np.int64) for c in ("start", "n"))
                     kept, removed, runs = cut(raw, begin, n)
                     for c, v in zip(cols, (len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                         c.append(v)
