@@ -16,11 +16,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilo.llm import exact_dedup, language_id, packing, secrets, simhash
+from sigilo.llm import exact_dedup, language_id, near_copies, packing, secrets
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bits by which near copies' fingerprints may differ.
-DISTANCE = 3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +39,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the smallest id of each group of near copies stays."""
-    out = simhash.near_dedup(docs, distance=DISTANCE)
+    """Near-dedup: of each group linked by five-word similarities of 0.8 or more the smallest id stays."""
+    out = near_copies.near_copies(docs)
     dropped = out.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
@@ -65,7 +63,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: The trained, fingerprint and tokenizer stages are beyond SQL; tests compare them with plain versions.
+#: The trained, near-copy and tokenizer stages are beyond SQL; tests compare them with plain versions.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,150 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+Bands. A text is the set of its shingles' hashes. ``BANDS`` keys of ``ROWS``
+min-hashes each bring texts together; of two texts of similarity 0.8 the share
+that meets under no key is (1 - 0.8**ROWS)**BANDS, about 1e-7, and less above.
+
+Checks. A pair links only if its similarity, computed over both whole sets, is
+at least the limit. Every member of a bucket is first checked against the
+bucket's smallest; then, in buckets that still hold several components,
+members outside the smallest's component are checked against all that are in
+another component than theirs. What two members of one component would add to
+it is nothing, so a large group of copies costs a pair each and the components
+are those of all pairs that meet. Equal sets are one row from the start.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+from .components import connected_components
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 40, 5
+SEED = 42
+#: Parts into which a text's partners are dealt where the text's set is sent to them.
+SALTS = 32
+_rng = np.random.default_rng(20240611)
+FACTORS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a whole text's word shingles; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "replace").lower().split()  # A-Z and ASCII white space only
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, h = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([h(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
+    return np.unique(np.array([h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band: its min-hashes, and the band, in one integer."""
+    low = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(found), 1024):
+        x = found[lo : lo + 1024] * FACTORS + SHIFTS
+        low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(axis=1, keepdims=True))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest, size, keys) of every row: its set's 128-bit digest and size, and its bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "digest", "size", "keys"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have at least the similarity."""
+    pairs = checkpointed(pairs.select("u", "v").distinct())
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                sets = [shingles(t, shingle).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "body"])
+
+    # A node's text is that of any one row that has its digest: an id may stand for several texts.
+    own = owners.join(needed, "node", "left_semi").select("node", "digest")
+    rows = docs.join(own.select(F.col("node").alias("doc_id"), "node", "digest"), "doc_id").select("node", "text")
+    sets = rows.mapInArrow(sets_of, "node long, body binary").groupBy("node").agg(F.collect_set("body").alias("bodies"))
+    sets = checkpointed(sets)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    to_u = salted.select("u", "salt").distinct().join(sets.select(F.col("node").alias("u"), F.col("bodies").alias("a")), "u")
+    met = salted.join(sets.select(F.col("node").alias("v"), F.col("bodies").alias("b")), "v").join(to_u, ["u", "salt"]).select("u", "v", "a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = ([np.frombuffer(s, np.uint64) for s in side] for side in (a, b))
+                keep.append(any(alike(p, q, similarity) for p in x for q in y))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(check, "u long, v long")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets' Jaccard similarity is at least the limit."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every id: the smallest id reachable over pairs of similar texts.
+
+    Texts without a word are equal to each other. Null ids take no part. Rows
+    of one id are one node, which links where any of its texts does.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
+    rows = checkpointed(sketches(docs, shingle))
+    # Equal sets: the smallest id is the node; other ids are tied to it without a check.
+    nodes = checkpointed(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    owners = nodes.select("node", "digest")
+    tied = rows.select("doc_id", "digest").join(owners, "digest").filter(F.col("doc_id") != F.col("node")).select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
+
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    of_key = Window.partitionBy("key")
+    met = keyed.withColumn("pivot", F.min("node").over(of_key)).withColumn("last", F.max("node").over(of_key))
+    met = met.withColumn("pivot_size", F.min(F.struct("node", "size")).over(of_key)["size"]).filter(F.col("pivot") != F.col("last"))
+    met = checkpointed(met.select("key", "node", "size", "pivot", "pivot_size"))
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9  # noqa: E731  sizes further apart cannot be alike
+
+    first = met.filter((F.col("node") != F.col("pivot")) & fits(F.col("size"), F.col("pivot_size")))
+    edges = checkpointed(verified(first.select(F.col("pivot").alias("u"), F.col("node").alias("v")), docs, owners, shingle, similarity).unionByName(tied))
+    roots = checkpointed(connected_components(edges))
+
+    own = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+    own = checkpointed(own.select("key", "node", "size", "root", F.coalesce("pivot_root", "pivot").alias("pivot_root")))
+    outside = own.filter(F.col("root") != F.col("pivot_root")).select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+    crossed = outside.join(own, "key").filter((F.col("root") != F.col("a_root")) & (F.col("a") != F.col("node")) & fits(F.col("a_size"), F.col("size")))
+    more = verified(crossed.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")), docs, owners, shingle, similarity)
+    found = connected_components(edges.unionByName(more))
+    ids = rows.select("doc_id").distinct()
+    return ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

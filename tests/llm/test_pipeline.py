@@ -33,3 +33,39 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
 def test_run_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_finds_every_similar_pair(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [fresh(rng.randrange(12, 260)) for _ in range(60)]
+    for base in texts[:60]:  # planted copies, from nearly equal to clearly different
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 2 + len(copy) // 20)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(copy)
+    chain = fresh(200)  # each like the next, the ends unlike each other
+    for _ in range(8):
+        chain = chain[8:] + fresh(8)
+        texts.append(chain)
+    header = fresh(12)
+    texts += [header + fresh(6) for _ in range(20)]  # much in common, below the limit
+    texts = [" ".join(t) for t in texts] + ["", "", "a b"]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    find = lambda k: k if root[k] == k else find(root[k])
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(k, texts[k], "en") for k in order], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert len(pairs) > 100
+    assert kept == {k for k in range(len(texts)) if find(k) == k}
