@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WIDTH, GRAM = 100, 32
 #: Bytes that a task handles together, and the longest piece of one text.
 CHUNK_BYTES, PIECE = 1_500_000, 4_000_000
@@ -243,6 +245,7 @@ def segments(chunk: Chunk, gram: int = GRAM, width: int = WIDTH) -> list[np.ndar
     again[rest] = same_bytes(h, b[rest], b[head[rest]], m[rest] + w - 1)  # what only shares a digest stays in doubt
     false = np.zeros(len(k), dtype=bool)
     false[rest] = ~again[rest]
+    again &= (d != d[head]) | (p != p[head])  # a row that stands in the chunk twice is no copy of itself
     kinds = np.add.reduceat((new_sub | false).astype(np.int64), np.flatnonzero(new_key))
     several = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(new_key), len(k))))
     kind = np.where(again, DECIDED, np.where(several, DOUBT, SEGMENT))
@@ -510,6 +513,24 @@ def cut(raw: bytes, begin: np.ndarray, n: np.ndarray, width: int = WIDTH) -> tup
     return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, raw_id): doc_id is one number for each (id, text), ordered by id, null ids last.
+
+    Where every id has one text it is the id itself, and texts are not moved.
+    """
+    last = F.lit((1 << 63) - 1)
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    tagged = rows.select(F.coalesce("raw_id", last).alias("id"), F.col("raw_id").isNull().alias("none"), digest.alias("digest"), "text", "raw_id")
+    kinds = tagged.groupBy("id").agg(F.min(F.struct("none", "digest")).alias("low"), F.max(F.struct("none", "digest")).alias("high"))
+    if not kinds.filter(F.col("low") != F.col("high")).limit(1).count():
+        return tagged.select(F.col("id").alias("doc_id"), "text", "raw_id")
+    by = ["id", "none", "digest"]
+    names = tagged.select(*by).distinct().repartitionByRange(*by).sortWithinPartitions(*by)
+    # The row ids of a checkpoint are its partition and a count within it: ordered like the range partitions.
+    names = checkpointed(names).withColumn("doc_id", F.monotonically_increasing_id())
+    return tagged.join(names, by).select("doc_id", "text", "raw_id")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row.
 
@@ -517,15 +538,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole. A byte goes if a string of WIDTH bytes over it also starts earlier:
     in a smaller id, or in the same text before. Rows that repeat an id and
     text are one document and get equal results; different texts of one id
-    share what is removed, by place. Null ids come after all others and count
-    as one document. Other columns are ignored.
+    are documents of their own, in the order of their digests. Null ids come
+    after all others. Other columns are ignored.
     """
-    last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("raw_id"), F.col(text_col).alias("text")).select(F.coalesce("raw_id", last).alias("doc_id"), "text")
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("raw_id"), F.col(text_col).alias("text")))
     found = judged(find_segments(rows)).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "doubt")).alias("spans"))
-    joined = rows.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
+    joined = rows.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "raw_id")
     dups = first_windows(compare_grams(find_pieces(joined))).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("dups"))
-    both = joined.join(dups, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "dups")
+    both = joined.join(dups, F.col("doc_id") == F.col("doc"), "left").select("raw_id", "text", "spans", "dups")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -541,5 +561,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], [x.split()[0] for x in OUT.split(", ")])
 
-    out = both.mapInArrow(finish, OUT)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
+    return both.mapInArrow(finish, OUT)

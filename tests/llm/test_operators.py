@@ -337,3 +337,20 @@ def test_null_ids_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, long), (1, long), (2, long)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.substring_dedup(twice).collect())
     assert got[0] == got[1] and got[2] == (2, 240)
+
+
+def test_substring_dedup_keeps_one_of_repeated_rows(spark):
+    rng = random.Random(4)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b, header = line(400), line(300), line(150)
+    rows = [(1, a), (2, b), (1, a), (None, header + line(200)), (None, b[:50] + line(350)), (None, header + line(220)), (7, a + line(90)), (None, line(500)), (None, b + a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = set()
+    for parts in (1, 4):  # together in one chunk, and apart
+        out = suffix_dedup.substring_dedup(docs.repartition(parts, "doc_id") if parts > 1 else docs.coalesce(1)).collect()
+        assert len(out) == len(rows)
+        results.add(tuple(sorted((r.doc_id or 1 << 70, r.n_bytes, r.n_removed, r.kept_sha256) for r in out)))
+    assert len(results) == 1
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in out}
+    assert got[1, 400] == got[2, 300] == got[None, 400] == got[None, 500] == 0 and got[7, 490] == 400
+    assert sorted((got[None, 350], got[None, 370])) == [0, 150] and got[None, 700] == 700
