@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -32,6 +32,8 @@ ORDERINGS, DIMS, BITS = 6, 6, 8
 BLOCK = (1024, 65536)
 #: Queries whose true neighbours are found to set the window; a documented bound.
 CALIBRATION = 128
+#: Queries that one block compares at once, on average; more are split over copies of the block's points.
+BLOCK_QUERIES = 8192
 RECALL = 0.97
 SEED = 7
 
@@ -148,18 +150,25 @@ def compare(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame
     return pd.concat(out)
 
 
-def in_blocks(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(query, rep, score): the best ``k`` points for each query over the blocks it is sent to."""
-    asked, there = queries.groupBy("curve", "near_block"), points.groupBy("ordering", "block")
+def in_blocks(queries: DataFrame, points: DataFrame, k: int, parts: int = 1) -> DataFrame:
+    """(query, rep, score): the best ``k`` points for each query over the blocks it is sent to.
+
+    A block's queries are dealt into ``parts`` groups, each with all its points.
+    """
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)))
+    points = points.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    asked, there = queries.groupBy("curve", "near_block", "part"), points.groupBy("ordering", "block", "part")
     return asked.cogroup(there).applyInPandas(lambda a, b: compare(a, b, k), "query long, rep long, score double")
 
 
-def calibrate(points: DataFrame, ranks: DataFrame, k: int, recall: float, sample: int) -> int:
-    """The window that meets ``recall`` of the true neighbours of a bounded sample of vectors."""
-    chosen = points.orderBy(F.xxhash64("rep"), "rep").limit(sample).select(F.col("rep").alias("query"), "v").collect()
-    if not chosen:
-        return 0
-    ids, q = np.array([r.query for r in chosen]), np.array([r.v for r in chosen])
+def parts_of(n_queries: int, n_points: int, window: int, size: int) -> int:
+    """Groups into which a block's queries are dealt, for BLOCK_QUERIES in each on average."""
+    met = n_queries * min(1.0, (2 * window + size) / max(n_points, 1))
+    return max(1, int(np.ceil(met / BLOCK_QUERIES)))
+
+
+def true_neighbours(points: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(query, rep, score): the ``k`` best points of each query, cut per batch, per partition and then over all."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +176,22 @@ def calibrate(points: DataFrame, ranks: DataFrame, k: int, recall: float, sample
                 continue
             rep, v = batch.column(0).to_numpy(), np.stack(batch.column(1).to_numpy(zero_copy_only=False))
             scores = q @ v.T
-            rows, cols = best_of(scores, rep, k + 1)
+            rows, cols = best_of(scores, rep, k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(rep[cols]), pa.array(scores[rows, cols])], ["query", "rep", "score"])
 
-    found = points.select("rep", "v").mapInArrow(exact, "query long, rep long, score double").toPandas()
+    found = points.select("rep", "v").mapInArrow(exact, "query long, rep long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
+    return found.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def calibrate(points: DataFrame, ranks: DataFrame, k: int, recall: float, sample: int) -> int:
+    """The window that meets ``recall`` of the true neighbours of a bounded sample of vectors."""
+    chosen = points.orderBy(F.xxhash64("rep"), "rep").limit(sample).select(F.col("rep").alias("query"), "v").collect()
+    if not chosen:
+        return 0
+    ids, q = np.array([r.query for r in chosen]), np.array([r.v for r in chosen])
+
+    found = true_neighbours(points, ids, q, k + 1).toPandas()  # sample x (k + 1) rows
     found = found[found["query"] != found["rep"]].sort_values(["query", "score", "rep"], ascending=[True, False, True]).groupby("query").head(k)
     if not len(found):
         return 0
@@ -222,7 +243,8 @@ def search(
     own = queries.select(F.col("query").alias("rep")).distinct()
     low, high = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / size), F.floor((F.col("rank") + window) / size)
     sent = laid.join(own, "rep").select(F.col("ordering").alias("curve"), F.explode(F.sequence(low, high)).alias("near_block"), F.col("rep").alias("query"), F.col("v").alias("query_v"))
-    met = in_blocks(sent, laid.select("ordering", "block", "rep", "v"), k + 1)
+    parts = parts_of(own.count(), points.count(), window, size)
+    met = in_blocks(sent, laid.select("ordering", "block", "rep", "v"), k + 1, parts)
     met = met.groupBy("query", "rep").agg(F.max("score").alias("score"))  # met in several orderings
 
     # Each query vector's best classes; then their ids, and the query's own id out.

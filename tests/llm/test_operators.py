@@ -354,3 +354,23 @@ def test_substring_dedup_keeps_one_of_repeated_rows(spark):
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in out}
     assert got[1, 400] == got[2, 300] == got[None, 400] == got[None, 500] == 0 and got[7, 490] == 400
     assert sorted((got[None, 350], got[None, 370])) == [0, 150] and got[None, 700] == 700
+
+
+def test_neighbours_send_the_driver_a_bounded_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    v = np.random.default_rng(5).standard_normal((400, 8))
+    points = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "rep long, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = neighbours.true_neighbours(points, np.arange(5), v[:5], 6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 30
+    assert all({r.rep for r in found if r.query == q} == set(np.argsort(-(v @ v[q]))[:6].tolist()) for q in range(5))
+    df = points.withColumnsRenamed({"rep": "vec_id", "v": "embedding"})
+    whole = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, k=5).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 30)
+    assert neighbours.parts_of(100, 400, 200, 400) == 4
+    split = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, k=5).collect()))
+    assert [x[:3] for x in split] == [x[:3] for x in whole] and np.allclose([x[3] for x in split], [x[3] for x in whole])
