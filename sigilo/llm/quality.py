@@ -1,22 +1,27 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters folded to 32 symbols, ORDER of them to a gram.
-Texts are laid in *chunks* of a few megabytes, folded and compressed, each one
-row. Counts of trusted grams, their contexts and continuations are grouped by
-gram over Spark's shuffle partitions (the shards). Every chunk asks for each
-of its distinct grams once; the requests are joined with the shards of all
-orders, interpolated, and the answers return to the chunk, where each
-document's log-probability is summed over its whole text. A hot gram is one
-request per chunk, not one per occurrence, and nothing is broadcast but ids of
-trusted documents below a checked number.
-
-A document is kept if its perplexity is at most the quantile of its language's
-trusted documents, with an allowance that shrinks with the text's length.
+The model is over the characters of small-letter text, ORDER of them to a gram.
+Code points below DIRECT are symbols of their own, all others share the rest
+of the alphabet by a hash, so accents and other scripts carry weight and the
+tables grow with the input. Texts are laid in *chunks*, each one compressed
+row of a table bucketed by chunk. Counts of trusted grams, their contexts and
+continuations are grouped by gram over Spark's shuffle partitions (the
+shards). Every chunk asks for each of its distinct grams once; requests are
+joined with the shards of all orders and interpolated, and the answers return
+to the chunk's bucket, where each document's log-probability is summed over
+its whole text. Texts themselves are written once and never shuffled. A hot
+gram is one request per chunk, not one per occurrence, and nothing is
+broadcast but ids of trusted documents below a checked number.
+
+A share of the trusted documents, chosen by a hash of id and text, is held out
+of the counts. A document is kept if its perplexity is at most the quantile of
+the held-out documents of its language and of like length.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,35 +33,29 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-ORDER, BITS = 5, 5
+ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
-CHUNK_CHARS = 4_000_000
+#: Code points below this are their own symbols; the others share what is left by a hash.
+DIRECT = 768
+#: Symbols in a chunk, and those that a task works on at once.
+CHUNK_CHARS, BLOCK = 16_000_000, 4_000_000
 #: Ids of trusted documents are broadcast up to this number, and joined by shuffle beyond it.
 BROADCAST_IDS = 4_000_000
-QUANTILE, SLACK = 0.995, 6.0
+#: One trusted document in HELD_OUT sets the thresholds and is not counted.
+QUANTILE, HELD_OUT = 0.995, 4
 
 _SYMBOL: list[np.ndarray] = []
 
 
 def symbols() -> np.ndarray:
-    """By code point: 0 white space, 1-26 letters a-z, then other letters by kind, digits and marks."""
+    """By code point: 0 white space, its small letter's code point, or a shared symbol."""
     if not _SYMBOL:
-        out = np.full(sys.maxunicode + 1, 31, dtype=np.uint8)
-        for c in range(0x3000):
+        out = np.zeros(sys.maxunicode + 1, dtype=np.uint16)
+        for c in range(sys.maxunicode + 1):
             s = chr(c)
-            low = s.lower()[0]
-            if s.isspace():
-                out[c] = 0
-            elif "a" <= low <= "z":
-                out[c] = ord(low) - 96
-            elif s.isalpha():
-                out[c] = 27
-            elif s.isdigit():
-                out[c] = 28
-            elif s in ".,;:!?'\"-()":
-                out[c] = 29
-            elif c < 128:
-                out[c] = 30
+            if not s.isspace():
+                low = ord(s.lower()[0])
+                out[c] = low if low < DIRECT else DIRECT + low * 2654435761 % (1 << 32) % (SYMBOLS - DIRECT)
         _SYMBOL.append(out)
     return _SYMBOL[0]
 
@@ -68,50 +67,42 @@ def fold(text: str | None) -> np.ndarray:
     return a[~(gap & np.concatenate(([True], gap[:-1])))] if len(a) else a
 
 
-def grams(a: np.ndarray) -> np.ndarray:
-    """The gram that ends at each symbol, as a number; before the text stand blanks."""
-    a = np.concatenate((np.zeros(ORDER - 1, dtype=np.uint8), a)).astype(np.int32)
-    code = np.zeros(len(a) - ORDER + 1, dtype=np.int32)
-    for k in range(ORDER):
-        code = (code << BITS) | a[k : len(a) - ORDER + 1 + k]
-    return code
-
-
-CHUNK = "chunk long, ids binary, langs array<string>, trusted binary, sizes binary, symbols binary"
+CHUNK = "chunk long, ids binary, langs array<string>, use binary, sizes binary, symbols binary"
+CHUNK_NAMES = [x.split()[0] for x in CHUNK.split(", ")]
+NO_ID = -(1 << 62)
+#: What a document is to the model.
+OTHER, COUNTED, HELD = 0, 1, 2
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, lang, trusted) folded and laid in chunks, each one compressed row."""
+    """Documents (doc_id, text, lang, use) folded and laid in chunks, each one compressed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([r[0] for r in rows], dtype=np.int64)
-            body = np.concatenate([r[3] for r in rows])
-            raw = body.tobytes()
-            # Chunks are told apart by their contents' place: ids and length.
-            name = (sum(ids.tolist()) * 0x9E3779B97F4A7C15 + int(ids[0]) * 0xD1342543DE82EF95 + len(raw)) % (1 << 64)
+            raw = np.concatenate([r[3] for r in rows]).tobytes()
+            # uuid4: a task that runs again replaces its rows, names and all.
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name - (1 << 64) if name >= 1 << 63 else name], pa.int64()),
-                    pa.array([ids.tobytes()], pa.binary()),
+                    pa.array([uuid.uuid4().int % (1 << 63)], pa.int64()),
+                    pa.array([np.array([r[0] for r in rows], dtype=np.int64).tobytes()], pa.binary()),
                     pa.array([[r[1] for r in rows]], pa.list_(pa.string())),
-                    pa.array([np.array([r[2] for r in rows], dtype=bool).tobytes()], pa.binary()),
+                    pa.array([np.array([r[2] for r in rows], dtype=np.uint8).tobytes()], pa.binary()),
                     pa.array([np.array([len(r[3]) for r in rows], dtype=np.int64).tobytes()], pa.binary()),
                     pa.array([pack.compress(raw)], pa.binary()),
                 ],
-                [x.split()[0] for x in CHUNK.split(", ")],
+                CHUNK_NAMES,
             )
             rows.clear()
             return out
 
         size = 0
         for batch in batches:
-            for doc, text, lang, trusted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc, text, lang, use in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 a = fold(text)
-                rows.append((-(1 << 62) if doc is None else doc, lang, bool(trusted), a))
+                rows.append((NO_ID if doc is None else doc, lang, use, a))
                 size += len(a) + 16
                 if size >= CHUNK_CHARS:
                     yield flush()
@@ -119,35 +110,63 @@ def chunks(docs: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(run, CHUNK)
-
-
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, trusted, sizes and symbols of a chunk row."""
-    ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-    raw = zstandard.ZstdDecompressor().decompress(row["symbols"], max_output_size=max(1, int(sizes.sum())))
-    return ids, np.frombuffer(row["trusted"], bool), sizes, np.frombuffer(raw, np.uint8)
-
-
-def texts_of(row: dict) -> Iterator[tuple[bool, np.ndarray]]:
-    _, trusted, sizes, body = opened(row)
-    end = np.cumsum(sizes)
-    for k in range(len(sizes)):
-        yield bool(trusted[k]), body[end[k] - sizes[k] : end[k]]
+    return docs.select("doc_id", "text", "lang", "use").mapInArrow(run, CHUNK)
+
+
+class Laid:
+    """A chunk row, opened: uses and sizes of its documents, and their symbols one after the other."""
+
+    def __init__(self, row: dict) -> None:
+        self.use, self.sizes = np.frombuffer(row["use"], np.uint8), np.frombuffer(row["sizes"], np.int64)
+        self.end = np.cumsum(self.sizes)
+        self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["symbols"], max_output_size=max(1, 2 * int(self.sizes.sum()))), np.uint16)
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of the first, the gram that ends at each symbol); before every text stand blanks."""
+        begin = self.end - self.sizes
+        for lo in range(0, len(self.body), BLOCK):
+            hi = min(len(self.body), lo + BLOCK)
+            own = self.body[lo:hi].astype(np.int64)
+            code = own.copy()
+            first = np.searchsorted(self.end, lo, side="right")
+            last = np.searchsorted(begin, hi)
+            starts = begin[first:last][self.sizes[first:last] > 0]
+            for back in range(1, ORDER):
+                before = np.zeros(hi - lo, dtype=np.int64)
+                at = max(lo - back, 0)
+                before[at + back - lo :] = self.body[at : max(at, hi - back)]
+                for k in range(back):  # the symbols right behind a text's start have no more before them
+                    there = starts + k - lo
+                    before[there[(there >= 0) & (there < hi - lo)]] = 0
+                code |= before << (BITS * back)
+            yield lo, code
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key."""
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
 def trusted_counts(laid: DataFrame) -> DataFrame:
-    """(gram, n) over all trusted texts, counted per chunk first."""
+    """(gram, n) over all trusted texts that are not held out, counted per chunk first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                own = [grams(a) for ok, a in texts_of(row) if ok and len(a)]
-                if own:
-                    code, n = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], ["gram", "n"])
+            for k in range(len(batch)):
+                chunk = Laid(batch.slice(k, 1).to_pylist()[0])
+                keys, counts = [], []
+                for lo, code in chunk.blocks():
+                    counted = np.repeat(chunk.use == COUNTED, chunk.sizes)[lo : lo + len(code)]
+                    key, n = np.unique(code[counted], return_counts=True)
+                    keys.append(key)
+                    counts.append(n)
+                key, n = merged(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
 
-    return laid.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return laid.select(*CHUNK_NAMES).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def requests(laid: DataFrame) -> DataFrame:
@@ -155,15 +174,15 @@ def requests(laid: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                there = np.zeros(1 << (ORDER * BITS), dtype=bool)
-                for _, a in texts_of(row):
-                    if len(a):
-                        there[grams(a)] = True
-                code = np.flatnonzero(there).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row["chunk"], np.int64)), pa.array(code)], ["chunk", "gram"])
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                found = [np.unique(code) for _, code in Laid(row).blocks()]
+                gram = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                for lo in range(0, len(gram), 1 << 17):
+                    part = gram[lo : lo + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"], np.int64)), pa.array(part)], ["chunk", "gram"])
 
-    return laid.mapInArrow(run, "chunk long, gram int")
+    return laid.select(*CHUNK_NAMES).mapInArrow(run, "chunk long, gram long")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -185,7 +204,7 @@ def log_probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before
         tables[k] = tables[k + 1].groupBy(low(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))
         tables[k] = checkpointed(tables[k])
-    out = asked
+    out = asked.select("gram")
     d = {}
     for k in range(1, ORDER + 1):
         d[k] = discounts(tables[k])
@@ -207,20 +226,24 @@ def log_probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return out.select("gram", F.log(p).cast("float").alias("logp"))
 
 
-SCORE = "doc_id long, lang string, trusted boolean, n_symbols long, log_ppl double"
+SCORE = "doc_id long, lang string, use int, n_symbols long, log_ppl double"
 
 
 def answered(row: dict, gram: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
     """Each document's mean negative log-probability, from its chunk's answers."""
-    ids, trusted, sizes, body = opened(row)
+    chunk = Laid(row)
     order = np.argsort(gram)
     gram, logp = gram[order], logp[order].astype(np.float64)
-    end, total = np.cumsum(sizes), np.zeros(len(sizes))
-    for k in range(len(sizes)):
-        if sizes[k]:
-            total[k] = -logp[np.searchsorted(gram, grams(body[end[k] - sizes[k] : end[k]]))].mean()
-    known = [None if i == -(1 << 62) else i for i in ids.tolist()]
-    return pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(row["langs"], pa.string()), pa.array(trusted), pa.array(sizes), pa.array(total)], [x.split()[0] for x in SCORE.split(", ")])
+    total = np.zeros(len(chunk.sizes))
+    for lo, code in chunk.blocks():
+        found = logp[np.searchsorted(gram, code)]
+        owner = np.searchsorted(chunk.end, np.arange(lo, lo + len(code)), side="right")
+        first, last = owner[0], owner[-1]
+        total[first : last + 1] += np.bincount(owner - first, found, last - first + 1)
+    known = [None if i == NO_ID else i for i in np.frombuffer(row["ids"], np.int64).tolist()]
+    ppl = -total / np.maximum(chunk.sizes, 1)
+    cols = [pa.array(known, pa.int64()), pa.array(row["langs"], pa.string()), pa.array(chunk.use.astype(np.int32)), pa.array(chunk.sizes), pa.array(ppl)]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORE.split(", ")])
 
 
 def score(laid: DataFrame, answers: DataFrame) -> DataFrame:
@@ -231,42 +254,65 @@ def score(laid: DataFrame, answers: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(len(batch)):
                 part = batch.slice(k, 1)
-                row = part.select(["ids", "langs", "trusted", "sizes", "symbols"]).to_pylist()[0]
+                row = part.select(CHUNK_NAMES).to_pylist()[0]
                 lists = [part.column(c)[0] for c in (6, 7)]
                 gram, logp = (np.asarray(x.values) if x.is_valid else np.zeros(0) for x in lists)
                 yield answered(row, gram, logp)
 
-    joined = laid.join(listed, "chunk", "left").select(*[x.split()[0] for x in CHUNK.split(", ")], "grams", "logps")
+    joined = laid.join(listed, "chunk", "left").select(*CHUNK_NAMES, "grams", "logps")
     return joined.mapInArrow(run, SCORE)
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
-) -> DataFrame:
+def stored(laid: DataFrame) -> tuple[DataFrame, str]:
+    """The chunks as a table bucketed by chunk in the shared warehouse, and its name: readers need no shuffle."""
+    spark = laid.sparkSession
+    name = f"quality_chunks_{uuid.uuid4().hex}"
+    laid.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
+    """(of_lang, of_band, band_limit): of held-out trusted documents, by language and length, neighbouring lengths included."""
+    held = scored.filter((F.col("use") == HELD) & (F.col("n_symbols") > 0)).select("lang", "log_ppl", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    return held.groupBy(F.col("lang").alias("of_lang"), F.col("band").alias("of_band")).agg(F.percentile_approx("log_ppl", F.lit(quantile), F.lit(10_000)).alias("band_limit"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, trusted, kept of every row.
 
-    Trusted text is that of ids labelled quality 1 and not toxic. Empty and
-    null texts have perplexity 1 and are not kept. A language without trusted
-    documents is held to the widest threshold of all languages; without any
-    trusted text nothing is dropped but empty texts. Null languages are one of
-    their own. Repeated rows give repeated rows.
+    Trusted text is that of ids labelled quality 1 and not toxic; one in
+    ``held_out`` of these documents is not counted and sets the thresholds. A
+    length that no held-out document of the language comes near is held to the
+    language's widest threshold, a language without any to the widest of all;
+    without any trusted text nothing is dropped but empty texts. Empty and null
+    texts have perplexity 1 and are not kept. Null ids are never trusted; null
+    languages are one of their own. Repeated rows give repeated rows, each
+    counted; ties at a threshold are kept. Whole texts are read however long;
+    other columns, whatever their names, are ignored; an empty table gives an
+    empty result.
     """
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    good = good.select(F.col("doc_id").alias("good_id")).distinct()
+    good = good.select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull())
-    laid = checkpointed(chunks(rows))
+    held = F.pmod(F.xxhash64("doc_id", "text"), F.lit(held_out)) == 0
+    rows = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("use", F.when(F.col("good_id").isNull(), OTHER).when(held, HELD).otherwise(COUNTED))
+    laid, name = stored(chunks(rows))
     counts = checkpointed(trusted_counts(laid))
-    wanted = requests(laid)
-    logp = log_probabilities(wanted.select("gram").distinct(), counts)
+    wanted = requests(laid).repartition("gram")
+    # Grouped with the chunk kept, so that both uses read one exchange.
+    logp = log_probabilities(wanted.groupBy("gram").agg(F.min("chunk").alias("one")), counts)
     scored = checkpointed(score(laid, wanted.join(logp, "gram")))
-    limits = scored.filter("trusted AND n_symbols > 0").groupBy("lang").agg(F.percentile_approx("log_ppl", F.lit(quantile), F.lit(10_000)).alias("limit"))
-    limits = checkpointed(limits)
-    widest = limits.agg(F.max("limit")).first()[0]
-    held = scored.join(limits.withColumnRenamed("lang", "of_lang"), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    limit = F.coalesce("limit", F.lit(float("inf") if widest is None else widest)) + slack / F.sqrt(F.greatest("n_symbols", F.lit(1)))
-    return held.select(
-        "doc_id", "lang", "n_symbols", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), "trusted", ((F.col("n_symbols") > 0) & (F.col("log_ppl") <= limit)).alias("kept")
-    )
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    scored = scored.withColumn("band", F.length(F.bin(F.greatest("n_symbols", F.lit(1)))))
+    limits = checkpointed(thresholds(scored, quantile))
+    by_lang = limits.groupBy(F.col("of_lang").alias("wide_lang")).agg(F.max("band_limit").alias("lang_limit"))
+    widest = limits.agg(F.max("band_limit")).first()[0]
+    found = scored.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("band") == F.col("of_band")), "left")
+    found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("wide_lang")), "left")
+    limit = F.coalesce("band_limit", "lang_limit", F.lit(float("inf") if widest is None else widest))
+    return found.select(
+        "doc_id", "lang", "n_symbols", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), (F.col("use") != OTHER).alias("trusted"),
+        ((F.col("n_symbols") > 0) & (F.col("log_ppl") <= limit)).alias("kept"),
+    )
