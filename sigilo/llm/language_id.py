@@ -3,9 +3,10 @@
 Texts become normalised TF-IDF vectors of character 1- to 3-grams, hashed into
 a fixed number of bins. Document frequencies are summed in Spark over every
 training row. Centroids come from spherical k-means over a bounded sample of
-labelled rows, ``SAMPLE`` per language by default, chosen by a hash of the id.
-A text is given the language of its nearest centroid; it is rejected where its
-cosine is below a floor that training texts of like length lie above.
+labelled texts, the ``SAMPLE`` of the smallest hashes in each language by
+default. A text is given the language of its nearest centroid; it is rejected
+where its cosine is below the floor of that language and the text's length.
+Floors are low quantiles of the cosines of all training rows.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 BINS = 1 << 15
+#: Distinct texts per language on which centroids are fitted: a documented bound.
 SAMPLE = 600
 CENTROIDS = 3
+#: A floor is this part of this quantile of the training rows' cosines.
+FLOOR_PART, FLOOR_QUANTILE = 0.75, 0.005
 UNDETERMINED = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -70,26 +74,28 @@ def vector(found: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> np.ndarray:
 
 def is_training(id_col: str) -> Column:
     """Rows that may be learned from: crc32 of the id as text, mod 3, is not 1."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
 class Model:
-    """idf by bin; centroids (bins x n); the language of each; cosine floors by length."""
+    """idf by bin; centroids (bins x n); the language of each; cosine floors by language and number of bits of the length."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floors: list[tuple[int, float]]) -> None:
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floors: dict[str, dict[int, float]]) -> None:
         self.idf, self.centroids, self.langs, self.floors = idf, centroids, langs, floors
 
+    def nearest(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[str, float, int]:
+        """(language, cosine, bits of the length) of a text by its bins; ties go to the language that sorts first."""
+        cos = vector(found, self.idf) @ self.centroids[found[0]]
+        best = int(np.argmax(cos))
+        return self.langs[best], float(min(1.0, max(0.0, cos[best]))), int(found[1].sum()).bit_length()
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected) of a whole text."""
         found = gram_counts(text)
         if found is None or not self.langs:
             return UNDETERMINED, 0.0, True
-        cos = vector(found, self.idf) @ self.centroids[found[0]]
-        best = int(np.argmax(cos))
-        score = float(min(1.0, max(0.0, cos[best])))
-        n = int(found[1].sum())
-        floor = next((f for least, f in reversed(self.floors) if n >= least), 0.0)
-        return self.langs[best], score, score < floor
+        lang, score, bits = self.nearest(found)
+        return lang, score, score < self.floors.get(lang, {}).get(bits, 0.0)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -110,8 +116,9 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """A model from rows whose language is known and whose id is not held out.
 
-    Document frequencies cover every such row; centroids are fitted on at most
-    ``sample`` rows per language.
+    Document frequencies and floors cover every such row; centroids are fitted
+    on at most ``sample`` distinct texts per language. Without any row to learn
+    from the model knows no language.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & is_training("doc_id"))
@@ -132,16 +139,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sums = rows.select("text", "lang").mapInArrow(frequencies, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     counts = {r.lang: r.n for r in sums if r.bin == -1}
     if not counts:
-        return Model(np.ones(BINS), np.zeros((BINS, 0)), [], [])
+        return Model(np.ones(BINS), np.zeros((BINS, 0)), [], {})
     df = np.zeros(BINS)
     for r in sums:
         if r.bin >= 0:
             df[r.bin] = r.n
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
 
-    # As many rows of each language, by a hash of the id and text; 1.2 times as many are let through for the limit below.
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.2 * sample / n)))])
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # The texts of the smallest hashes in each language; a first cut spreads a language over tasks.
+    hashed = rows.filter(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    names = hashed.select("lang", "h").distinct()
+    for by in (("lang", F.pmod("h", F.lit(64))), ("lang",)):
+        names = names.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("place") <= sample).drop("place")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,38 +160,57 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 [pa.array([g[0] for g in got], pa.string()), pa.array([g[1][0].tobytes() for g in got], pa.binary()), pa.array([g[1][1].astype(np.int32).tobytes() for g in got], pa.binary())], ["lang", "bins", "counts"]
             )
 
-    chosen = rows.filter(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(vectors, "lang string, bins binary, counts binary")
+    # ``sample`` rows per language: bounded, so they may be broadcast and reach the driver.
+    chosen = hashed.join(F.broadcast(names), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
     parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for r in chosen.limit(2 * sample * len(counts)).collect():
+    for r in chosen.mapInArrow(vectors, "lang string, bins binary, counts binary").collect():
         parts.setdefault(r.lang, []).append((np.frombuffer(r.bins, np.int32), np.frombuffer(r.counts, np.int32)))
-    centroids, langs, seen = [], [], []
+    if not parts:
+        return Model(np.ones(BINS), np.zeros((BINS, 0)), [], {})
+    centroids, langs = [], []
     for lang in sorted(parts):
-        own = sorted(parts[lang], key=lambda f: (len(f[0]), f[0].tobytes()))[:: max(1, len(parts[lang]) // sample)][:sample]
+        own = sorted(parts[lang], key=lambda f: (f[0].tobytes(), f[1].tobytes()))
         x = np.zeros((len(own), BINS), dtype=np.float32)
         for i, f in enumerate(own):
             x[i, f[0]] = vector(f, idf)
         c = k_means(x, k)
         centroids.append(c)
         langs += [lang] * len(c)
-        seen += [(int(f[1].sum()), float(s)) for f, s in zip(own, (x @ c.T).max(axis=1), strict=True)]
-    return Model(idf, np.ascontiguousarray(np.concatenate(centroids).T), langs, floors_of(seen))
+    model = Model(idf, np.ascontiguousarray(np.concatenate(centroids).T), langs, {})
+    model.floors = floors_of(rows, model)
+    return model
 
 
-def floors_of(seen: list[tuple[int, float]], part: float = 0.5) -> list[tuple[int, float]]:
-    """Rejection floors by length: ``part`` of the lowest cosine of training texts up to twice as long."""
-    lows: dict[int, float] = {}
-    for n, cos in seen:
-        b = max(n, 1).bit_length()
-        lows[b] = min(lows.get(b, 1.0), cos)
-    out, floor = [], 1.0
-    for b in sorted(lows, reverse=True):  # a shorter text is never held to more than a longer one
-        floor = min(floor, part * lows[b])
-        out.append((1 << (b - 1), floor))
-    return sorted(out)
+def floors_of(rows: DataFrame, model: Model) -> dict[str, dict[int, float]]:
+    """Rejection floors by language and bits of the length, from all training rows (text, lang) that are told right."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (found := gram_counts(text)) is not None:
+                    near, cos, bits = model.nearest(found)
+                    if near == lang:
+                        got.append((lang, bits, cos))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "bits", "cos"])
+
+    scored = rows.select("text", "lang").mapInArrow(judged, "lang string, bits int, cos double")
+    lows: dict[str, dict[int, float]] = {}
+    for r in scored.groupBy("lang", "bits").agg(F.percentile_approx("cos", F.lit(FLOOR_QUANTILE), F.lit(10_000)).alias("low")).collect():
+        lows.setdefault(r.lang, {})[r.bits] = r.low
+    out: dict[str, dict[int, float]] = {}
+    for lang, own in lows.items():
+        floor, out[lang] = 1.0, {}
+        for bits in range(48, 0, -1):  # a shorter text is never held to more than a longer one
+            floor = min(floor, FLOOR_PART * own.get(bits, 1.0))
+            out[lang][bits] = min(floor, FLOOR_PART * min(own.values())) if bits < min(own) else floor
+        longest = out[lang][max(own)]
+        out[lang] |= {bits: longest for bits in range(max(own) + 1, 49)}
+    return out
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """All columns of ``docs`` and the prediction in columns ``names`` (replacing any of these)."""
+    """All columns of ``docs`` and the prediction in columns ``names``, which take the place of any that are called so."""
     own = [c for c in docs.columns if c not in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in own])
     at = own.index(text_col)
@@ -207,7 +235,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Null texts and texts without a letter are ``und`` with score 0 and count
     as rejected; so is everything where no row can be learned from. The label,
     the source and the id are not inputs of a prediction. Ties go to the
-    language that sorts first. Repeated rows give equal rows.
+    language that sorts first. Null ids are not held out. Repeated rows give
+    equal rows; centroids learn from each text once. Whole texts are read, however long;
+    other columns, whatever their names, are ignored; an empty table gives an
+    empty result.
     """
     model = train(docs, id_col, text_col, lang_col, sample, k)
     out = predict(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
