@@ -3,18 +3,20 @@
 Each task packs the documents of its own input, a *chunk* at a time, so
 nothing is shuffled. Within a chunk, whole windows are cut from documents
 longer than the longest tier; every document and every rest is routed to the
-smallest tier that holds it. Tiers are packed from the longest down: a piece
-opens a window and the gap behind it is filled from shorter tiers, longest
-fitting piece first; what no whole piece fits is filled by cutting one. Pieces
-left of the last, open window are laid in shorter tiers where these are
-exactly full. Windows of a chunk are then dealt to step groups so that every
-group holds equally long windows and a like share of attention work.
+smallest tier that holds it. Tiers are packed from the longest down, each in
+windows of its own length: a tier's piece opens a window, and the gap behind
+it is filled from that tier and shorter ones, longest fitting piece first;
+what no whole piece fits is filled by cutting the shortest one, whose rest goes
+to the tier that holds it. So all windows are full but the last of a chunk,
+which is laid in full windows of the shorter tiers and one padded rest. Windows
+are then dealt to step groups so that every group holds equally long windows
+and a like share of attention work.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,45 +34,66 @@ CHUNK_TOKENS = 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, pad long"
 
 
-def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
+Piece = tuple[int, int, int]
+
+
+class Shelves:
+    """Pieces (document, start, length) by the smallest tier that holds them, each shelf by length."""
+
+    def __init__(self, tiers: tuple[int, ...]) -> None:
+        self.up = sorted(tiers)
+        self.shelves: dict[int, list[Piece]] = {t: [] for t in self.up}
+
+    def put(self, piece: Piece) -> None:
+        insort(self.shelves[self.up[bisect_left(self.up, piece[2])]], piece, key=length_of)
+
+    def longest(self, tier: int, room: int) -> Piece | None:
+        """The longest piece of ``tier`` or shorter ones that fits in ``room``."""
+        for t in reversed(self.up):
+            if t <= tier and (at := bisect_right(self.shelves[t], room, key=length_of)):
+                return self.shelves[t].pop(at - 1)
+        return None
+
+    def shortest(self, tier: int) -> Piece | None:
+        """The shortest piece of ``tier`` or shorter ones."""
+        return next((self.shelves[t].pop(0) for t in self.up if t <= tier and self.shelves[t]), None)
+
+
+def length_of(piece: Piece) -> int:
+    return piece[2]
+
+
+def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]]:
     """Windows, each a list of pieces (document, start, length); every token of every document once."""
-    window = max(tiers)
-    shelves: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}
-    up = sorted(tiers)
-    out: list[list[tuple[int, int, int]]] = []
+    longest, shelves = max(tiers), Shelves(tiers)
+    out: list[list[Piece]] = []
+    rests = []
     for doc, n in enumerate(lengths):
-        whole = n // window
-        out += [[(doc, k * window, window)] for k in range(whole)]
-        if rest := n - whole * window:
-            shelves[next(t for t in up if rest <= t)].append((doc, whole * window, rest))
-    for pieces in shelves.values():  # the longest are taken from the end
-        pieces.sort(key=lambda p: (p[2], -p[0]))
-    spare: list[tuple[int, int, int]] = []  # a cut piece's rest, which opens the next window
-    while spare or any(shelves.values()):
-        room, pieces = window, []
-        while room and (spare or any(shelves.values())):
-            if spare:
-                piece = spare.pop()
+        whole = n // longest * longest
+        out += [[(doc, at, longest)] for at in range(0, whole, longest)]
+        if whole < n:
+            rests.append((doc, whole, n - whole))
+    for piece in sorted(rests, key=lambda p: (p[2], -p[0])):
+        shelves.shelves[shelves.up[bisect_left(shelves.up, piece[2])]].append(piece)
+    for tier in reversed(shelves.up):
+        while shelves.shelves[tier]:
+            window, room = [shelves.shelves[tier].pop()], tier
+            room -= window[0][2]
+            while room and (piece := shelves.longest(tier, room) or shelves.shortest(tier)):
+                doc, start, n = piece
+                take = min(n, room)
+                window.append((doc, start, take))
+                room -= take
+                if take < n:
+                    shelves.put((doc, start + take, n - take))
+            if room:  # nothing of this tier and shorter ones is left
+                out += split_tail(window, tier - room, shelves.up)
             else:
-                for t in sorted(tiers, reverse=True):  # the longest piece that fits, from the longest tier
-                    if at := bisect_right(shelves[t], room, key=lambda p: p[2]):
-                        piece = shelves[t].pop(at - 1)
-                        break
-                else:  # none fits whole: the shortest is cut
-                    piece = shelves[min(t for t in tiers if shelves[t])].pop(0)
-            doc, start, n = piece
-            take = min(n, room)
-            pieces.append((doc, start, take))
-            room -= take
-            if take < n:
-                spare.append((doc, start + take, n - take))
-        out.append(pieces)
-    if out and (used := sum(p[2] for p in out[-1])) < window:
-        out[-1:] = split_tail(out[-1], used, up)
+                out.append(window)
     return out
 
 
-def split_tail(pieces: list[tuple[int, int, int]], used: int, tiers: list[int]) -> list[list[tuple[int, int, int]]]:
+def split_tail(pieces: list[Piece], used: int, tiers: list[int]) -> list[list[Piece]]:
     """The last, open window as full windows of the shorter tiers and one padded rest."""
     sizes, left = [], used
     for t in sorted(tiers, reverse=True):
@@ -93,11 +116,11 @@ def split_tail(pieces: list[tuple[int, int, int]], used: int, tiers: list[int])
 
 
 def padded(used: int, tiers: tuple[int, ...] = TIERS) -> int:
-    """The length a window of ``used`` tokens is stored in."""
-    return used if used in tiers else max(tiers)
+    """The length a window of ``used`` tokens is stored in: a power of two needs no padding."""
+    return used if used & (used - 1) == 0 else max(tiers)
 
 
-def step_groups(windows: list[list[tuple[int, int, int]]], tiers: tuple[int, ...], group: int) -> list[int]:
+def step_groups(windows: list[list[Piece]], tiers: tuple[int, ...], group: int) -> list[int]:
     """A step group per window: windows of one stored length, dealt by falling attention work, to and fro."""
     out, base = [0] * len(windows), 0
     by_size: dict[int, list[int]] = {}
@@ -126,8 +149,10 @@ def pack(
 
     A document is its ids and ``end_id``; null and empty texts are that id
     alone. Sequence ids are unique over the table: the task's number, then a
-    count within it. Repeated rows are packed like any other; other columns
-    are ignored; an empty table gives no pieces.
+    count within it. Null ids, ties in length and repeated rows are packed like
+    any other rows. A very long text is cut in whole windows; it is held in
+    memory once. Other columns, whatever their names, are ignored; an empty
+    table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

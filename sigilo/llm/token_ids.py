@@ -35,7 +35,9 @@ class TokenIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: What was met since the memo was last full, and what was met before.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -54,13 +56,19 @@ class TokenIds:
             own = (text or "").split() if not ODD.search(text or "") else [text or ""]
             ids = [get(r) for r in own]
             if None in ids:
-                fresh.update((r, None) for r, i in zip(own, ids, strict=True) if i is None)
+                for k, i in enumerate(ids):
+                    if i is None:
+                        if (known := self.older.get(own[k])) is not None:
+                            ids[k] = self.memo[own[k]] = known
+                        else:
+                            fresh[own[k]] = None
             runs.append(own)
             found.append(ids)
         if fresh:
             words = list(fresh)
             fresh = dict(zip(words, self.by_library(words), strict=True))
             if len(self.memo) + len(fresh) > MEMO_RUNS:
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
+                get = self.memo.get
             self.memo.update((r, i) for r, i in fresh.items() if len(r) <= MEMO_CHARS)
         return [b"".join([i if i is not None else fresh[r] for r, i in zip(own, ids, strict=True)] if None in ids else ids) for own, ids in zip(runs, found, strict=True)]
