@@ -13,19 +13,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where one machine runs all."""
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        return place.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    return tempfile.mkdtemp(prefix="shared-")
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder, lineage cut."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, *used: list[str]) -> str:
+    """``name``, with underscores before it until no column of any of the lists is called so."""
+    taken = {c.lower() for columns in used for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, in order; extra columns of any name fall away."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -31,17 +31,19 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, n_bytes, check, n_points) of every row; texts stay behind."""
+    """(id, digest, n_bytes, check, n_points, place) of every row; texts stay behind. ``place`` is a hash of id and text."""
     return docs.select(
         F.col(id_col).alias("doc_id"),
         normalised(F.col(text_col)).alias("norm"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("place"),
     ).select(
         "doc_id",
         F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
         F.octet_length("norm").alias("n_bytes"),
         F.xxhash64("norm").alias("check"),
         "n_points",
+        "place",
     )
 
 
@@ -72,9 +74,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id is never preferred. Repeated rows (same id, equal text) form one
     group of that many rows; all rows with the kept id and length are marked
     kept. Other columns, whatever their names, are ignored. An empty table
-    gives an empty result.
+    gives an empty result. Whole texts are digested, however long.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
+    rows = checkpointed(digests(docs, id_col, text_col).drop("place"))
     best = merge_runs(rows, runs, fan_in)
     return rows.join(best, KEY).select(
         "doc_id",
@@ -83,3 +85,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+    """(place, copies): hashes of id and text of the rows that stay, and how many rows repeat each as a whole."""
+    rows = checkpointed(digests(docs, id_col, text_col))
+    best = merge_runs(rows, runs, fan_in).select(*KEY, F.col("keep_id").alias("doc_id"), F.col("keep_points").alias("n_points"))
+    # The key holds the id, so that a digest of many rows is no hot key here.
+    same = [rows[c] == best[c] for c in (*KEY, "n_points")]
+    kept = rows.join(best, [*same, rows["doc_id"].eqNullSafe(best["doc_id"])], "left_semi")
+    each = kept.groupBy(*KEY, "doc_id", "place").agg(F.count("*").alias("copies"))
+    # Texts of one id that differ in white space alone: the one of the smallest hash stays.
+    first = each.groupBy(*KEY, "doc_id").agg(F.min(F.struct("place", "copies")).alias("first"))
+    return first.select("first.place", "first.copies")

@@ -15,13 +15,14 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -50,6 +51,17 @@ LONG_HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 LONG_TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
 
 
+def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans as disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, stop, value) of base spans and tokens; code points, end exclusive."""
     out = []
@@ -58,10 +70,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         out += [(1, *m.span(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     out += [(2, *m.span(), m[0]) for m in LONG_HEX.finditer(text)]
-    base = sorted((s, e) for _, s, e, _ in out)
+    base, at = united((s, e) for _, s, e, _ in out), 0
     for m in LONG_TOKEN.finditer(text):
         v = m[0]
-        if any(s < m.end() and m.start() < e for s, e in base):
+        while at < len(base) and base[at][1] <= m.start():  # tokens come in order: these end before all that follow
+            at += 1
+        if at < len(base) and base[at][0] < m.end():
             continue
         if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v) and entropy(v) >= 3.5:
             out.append((3, *m.span(), v))
@@ -69,19 +83,25 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """doc_id, repo, owner and the candidate spans of every row (values as SHA-256)."""
+    """doc_id, text_key (the text's MD5), repo, owner and the candidate spans of every row (values as SHA-256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
-            for text in batch.column(3).to_pylist():
+            for text in batch.column(4).to_pylist():
                 spans.append([{"kind": k, "start": s, "stop": e, "value": hashlib.sha256(v.encode()).hexdigest(), "looks_live": not PLACEHOLDER.search(v)} for k, s, e, v in candidates(text or "")])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, TYPE)], ["doc_id", "repo", "owner", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, TYPE)], ["doc_id", "text_key", "repo", "owner", "spans"])
 
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text")
-    )
-    return rows.mapInArrow(run, f"doc_id long, repo string, owner string, spans {SPAN}")
+        F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"),
+        F.col(text_col).alias("text"),
+    )
+    return rows.mapInArrow(run, f"doc_id long, text_key string, repo string, owner string, spans {SPAN}")
+
+
+def text_key(text: Column) -> Column:
+    """What stands for a text where its spans are brought to it: equal texts have equal spans."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def ownership(found: DataFrame, copied_owners: int = 3) -> DataFrame:
@@ -105,12 +125,15 @@ def digest_of(spans: Column) -> Column:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3) -> DataFrame:
-    """One row per document: doc_id, spans (kind, start, stop, value, n_owners, n_repos, live).
+    """One row per document: doc_id, text_key, spans (kind, start, stop, value, n_owners, n_repos, live).
 
     ``docs`` has a column for the repository (a document by default) and one
-    for its owner (the source). Null texts are empty; null repositories or
+    for its owner (the source). Null texts are empty; null ids, repositories or
     owners are one of their own. Documents without candidates have an empty
-    array. Repeated rows give repeated rows, each counted as one more span.
+    array. Spans that start alike are ordered by kind. Repeated rows give
+    repeated rows, each counted as one more span, of one repository. Whole
+    texts are read, in time linear in their length; other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
     found = checkpointed(scan(docs, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
     owned = ownership(found, copied_owners)
@@ -124,7 +147,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "value", "n_owners", "n_repos", "live"))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string,n_owners:bigint,n_repos:bigint,live:boolean>>")
-    return found.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return found.select("row", "doc_id", "text_key").join(judged, "row", "left").select("doc_id", "text_key", F.coalesce("spans", empty).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -143,22 +166,37 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+#: Parts into which rows of one text are dealt where its spans are brought to them.
+SALTS = 16
+
+
+def masked(text: str, starts: list[int], stops: list[int]) -> str:
+    """``text`` with asterisks over the spans, which may overlap."""
+    out, last = [], 0
+    for s, e in united(zip(starts, stops, strict=True)):
+        out += [text[last:s], "*" * (e - s)]
+        last = e
+    return "".join([*out, text[last:]])
+
+
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every live span masked by asterisks of its length; other rows as they were.
 
-    Only documents with a live span are matched to it; documents stay, and so
-    do values that were copied around.
+    Spans are brought to their rows by the text alone, so null ids and several
+    texts of one id make no difference. All columns stay, whatever their names;
+    documents stay, and so do values that were copied around.
     """
-    live = (
-        scanned.select("doc_id", F.filter("spans", lambda s: s["live"]).alias("live_spans"))
-        .filter(F.size("live_spans") > 0)
-        .groupBy("doc_id")
-        .agg(F.first("live_spans").alias("live_spans"))
-    )
-    masked = F.aggregate(
-        F.coalesce("live_spans", F.array()),
-        F.col(text_col),
-        lambda t, s: F.overlay(t, F.repeat(F.lit("*"), s["stop"] - s["start"]), s["start"] + 1, s["stop"] - s["start"]),
-    )
-    joined = docs.join(live.withColumnRenamed("doc_id", "live_doc"), F.col(id_col) == F.col("live_doc"), "left")
-    return joined.select(*[masked.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    key, salt, begin, end = (fresh(n, docs.columns) for n in ("text_key", "salt", "starts", "stops"))
+    live = scanned.select("text_key", F.filter("spans", lambda s: s["live"]).alias("live")).filter(F.size("live") > 0).groupBy("text_key").agg(F.first("live").alias("live"))
+    live = live.select(F.col("text_key").alias(key), F.col("live.start").alias(begin), F.col("live.stop").alias(end), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, s, e) for t, s, e in zip(texts, starts, stops, strict=True)], dtype=object)
+
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumn(key, text_key(text)).withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)).cast("int"))
+    joined = keyed.join(live, [key, salt], "left")
+    # Only texts with a live span are sent to Python.
+    new = F.coalesce(mask(F.when(F.col(begin).isNotNull(), text), F.col(begin), F.col(end)), text)
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -1,12 +1,29 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A fingerprint is cut into ``SEGMENTS`` segments on a ring. If two fingerprints
-differ in at most t bits, then from some segment on, every chain of l
-consecutive segments differs in at most l * t / SEGMENTS bits. The first
-``CHAIN`` segments from each start are a key: one side of a join sends it as
-it is, the other with every change that these budgets allow, and whatever
-meets is checked over all bits. Equal fingerprints are one row from the start,
-so neither a hot group of copies nor its pairs are ever expanded.
+A fingerprint is cut into segments on a ring. If two fingerprints differ in at
+most t bits, then from some segment on, every chain of l consecutive segments
+differs in at most l * t / segments bits.
+
+``near_dedup`` links fingerprints at a small distance: the first CHAIN segments
+from each start are a key: one side of a join sends it as it is, the other
+with every change that these budgets allow; what meets must keep within the
+budgets of all longer chains from that start, and the longest chain is the
+whole fingerprint. Equal fingerprints are one row from the start, so neither a
+hot group of copies nor its pairs are ever expanded.
+
+``near_texts`` links texts whose shingle sets have a Jaccard similarity of 0.8
+or more. Their fingerprints may differ in a third of the bits, where no chain
+of segments is a selective key; so texts meet by BANDS keys of ROWS
+min-hashes each, of which two texts of similarity 0.8 share none once in some
+300,000 pairs. Pairs are pruned by the pigeonring's chains at WIDE bits (a pair
+at 0.8 differs in 10 bits on average, 26 lie 5 standard deviations off), and
+what is left links if its similarity, computed over both whole sets, is at
+least the limit. Every member of a bucket is first checked against the
+bucket's smallest; then, in buckets that still hold several components, members
+outside the smallest's component are checked against all that are in another
+component than theirs. What two members of one component would add to it is
+nothing, so a large group of copies costs a pair each, and the components are
+those of all pairs that meet. Equal sets are one row from the start.
 """
 
 from __future__ import annotations
@@ -26,27 +43,44 @@ from .components import connected_components
 BITS, SEGMENTS, CHAIN = 64, 4, 2
 WIDTH = BITS // SEGMENTS
 SEED = 42
+#: Of ``near_texts``: words of a shingle, similarity, min-hash keys and their rows, and the pruning distance over RING segments.
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 24, 4
+WIDE, RING = 26, 8
+#: Parts into which a text's partners are dealt where the text's set is sent to them.
+SALTS = 32
+_rng = np.random.default_rng(20240611)
+FACTORS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The SimHash of a whole text: majority of XXH64 bits over word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of a whole text's word shingles, repeats included; fewer words are one shingle, none are none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [h(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-        hashes = [h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    raw = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+        return np.array([h(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
+    return np.array([h(joined[s:e], SEED) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero for none."""
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(raw), 65536):
         ones += np.unpackbits(raw[lo : lo + 65536], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The SimHash of a whole text: majority of XXH64 bits over word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the 64 bits as a signed integer."""
 
@@ -62,7 +96,7 @@ def allowed_changes(distance: int) -> list[int]:
     """Changes of a key of CHAIN segments whose every prefix stays within its budget."""
     budget = [(k + 1) * distance // SEGMENTS for k in range(CHAIN)]
     if budget[0]:
-        raise ValueError(f"distance must be below {SEGMENTS}, the number of segments")
+        raise ValueError(f"distance must be below {SEGMENTS}, the number of segments; near_texts links texts further apart")
     out = []
     for n in range(budget[-1] + 1):
         for bits in combinations(range(CHAIN * WIDTH), n):
@@ -73,24 +107,40 @@ def allowed_changes(distance: int) -> list[int]:
     return out
 
 
+def turned(fp: Column, start: int, segments: int) -> Column:
+    """The fingerprint turned so that segment ``start`` comes first."""
+    n = start * (BITS // segments)
+    return fp if n == 0 else F.shiftleft(fp, n).bitwiseOR(F.shiftrightunsigned(fp, BITS - n))
+
+
 def chain_key(fp: Column, start: int) -> Column:
     """The CHAIN segments from ``start`` on the ring, and the start, in one integer."""
-    turned = fp if start == 0 else F.shiftleft(fp, start * WIDTH).bitwiseOR(F.shiftrightunsigned(fp, BITS - start * WIDTH))
-    return F.shiftrightunsigned(turned, BITS - CHAIN * WIDTH).bitwiseOR(F.lit(start << (CHAIN * WIDTH)))
+    return F.shiftrightunsigned(turned(fp, start, SEGMENTS), BITS - CHAIN * WIDTH).bitwiseOR(F.lit(start << (CHAIN * WIDTH)))
+
+
+def within(diff: Column, start: int, distance: int, segments: int, least: int = 1) -> Column:
+    """Whether every chain of ``least`` segments or more from ``start`` keeps within its budget; the longest is all bits."""
+    ring, width = turned(diff, start, segments), BITS // segments
+    ok = F.lit(True)
+    for n in range(least, segments + 1):
+        ok = ok & (F.bit_count(F.shiftrightunsigned(ring, BITS - n * width)) <= n * distance // segments)
+    return ok
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints that differ in 1 to ``distance`` bits, found by pigeonring."""
-    starts = F.array(*[chain_key(F.col("fp"), k) for k in range(SEGMENTS)])
-    keyed = fps.select("fp", F.explode(starts).alias("key"))
+    starts = F.array(*[F.struct(chain_key(F.col("fp"), k).alias("key"), F.lit(k).alias("start")) for k in range(SEGMENTS)])
+    keyed = fps.select("fp", F.explode(starts).alias("s")).select("fp", "s.key", "s.start")
     masks = allowed_changes(distance)
     # A single changed bit is tried from the side that has it unset: each such pair meets once.
-    tried = keyed.select("fp", "key", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    tried = keyed.select("fp", "key", "start", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
     tried = tried.filter((F.bit_count("mask") != 1) | (F.col("key").bitwiseAND(F.col("mask")) == 0))
-    left = tried.select(F.col("fp").alias("u"), F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
-    met = left.join(keyed.withColumnRenamed("fp", "v"), "key").filter(F.col("u") != F.col("v"))
-    near = met.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left = tried.select(F.col("fp").alias("u"), "start", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+    met = left.join(keyed.select(F.col("fp").alias("v"), "key"), "key").filter(F.col("u") != F.col("v"))
+    diff, ok = F.col("u").bitwiseXOR(F.col("v")), F.lit(False)
+    for k in range(SEGMENTS):  # longer chains from the start that met, and last all bits
+        ok = F.when(F.col("start") == k, within(diff, k, distance, SEGMENTS, CHAIN + 1)).otherwise(ok)
+    return met.filter(ok).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,8 +150,9 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str
     other fingerprints linked directly. Null and empty texts and texts of
     white space have fingerprint zero and are linked like any other. Null ids
     get their component like others but never name one unless all are null.
-    Repeated rows and ties share a fingerprint and so a component. Other
-    columns are ignored; an empty table gives an empty result.
+    Repeated rows and ties share a fingerprint and so a component. Whole texts
+    are read, however long. Other columns, whatever their names, are ignored;
+    an empty table gives an empty result.
     """
     rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
@@ -112,3 +163,123 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str
     names = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = owned.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+# Texts of a given similarity.
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band: its min-hashes, and the band, in one integer."""
+    low = np.full((BANDS * ROWS, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(found), 1024):
+        x = found[lo : lo + 1024] * FACTORS + SHIFTS
+        low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(axis=1, keepdims=True))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(low.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, place, digest, size, fp, keys) of every row: its set's 128-bit digest and size, its fingerprint and its bands' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)),
+                    pa.array([band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "place", "digest", "size", "fp", "keys"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, place long, digest binary, size long, fp long, keys array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have at least the similarity."""
+    pairs = checkpointed(pairs.select("u", "v").distinct())
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(2).to_pylist()]
+                own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "body"]).filter(pa.array(own, pa.bool_()))
+
+    # A node's text is that of the row it is named for; rows that share the row's hash by chance have another digest.
+    own = nodes.join(needed, "node", "left_semi").select("node", "digest", F.col("first.place").alias("place"))
+    sets = docs.join(own, "place").select("node", "digest", "text").mapInArrow(sets_of, "node long, body binary")
+    sets = checkpointed(sets.groupBy("node").agg(F.first("body").alias("body")))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    to_u = salted.select("u", "salt").distinct().join(sets.select(F.col("node").alias("u"), F.col("body").alias("a")), "u")
+    met = salted.join(sets.select(F.col("node").alias("v"), F.col("body").alias("b")), "v").join(to_u, ["u", "salt"]).select("u", "v", "a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in both]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(check, "u long, v long")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets' Jaccard similarity is at least the limit."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, place, component_id, stays of every row: components over pairs of similar texts.
+
+    ``place`` is Spark's xxhash64 of id and text. component_id is the smallest
+    id of the component; null ids never name one unless all are null. In each
+    component the row of the smallest id (then of the smallest place) stays,
+    and rows that repeat it as a whole are marked alike. Different texts of one
+    id are rows of their own. Null and empty texts and texts without a word
+    are equal to each other. Whole texts are read, however long; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
+    """
+    place = F.xxhash64(F.col(id_col), F.col(text_col))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("place"), F.col(text_col).alias("text"))
+    rows = checkpointed(sketches(docs, shingle))
+    # Equal sets are one node, named for the row that would stay. Numbers of a checkpoint's rows do not change.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    nodes = checkpointed(rows.groupBy("digest").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
+
+    keyed = checkpointed(nodes.select(F.explode("keys").alias("key"), F.struct("node", "size", "fp").alias("n")))
+    pivots = keyed.groupBy("key").agg(F.min("n").alias("p"), F.max("n.node").alias("last")).filter(F.col("p.node") != F.col("last")).drop("last")
+    met = checkpointed(keyed.join(pivots, "key"))
+
+    def near(a: Column, b: Column) -> Column:
+        """Whether sizes and fingerprints allow the similarity."""
+        diff, ring = a["fp"].bitwiseXOR(b["fp"]), F.lit(False)
+        for k in range(RING):
+            ring = ring | within(diff, k, WIDE, RING)
+        return (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9) & ring
+
+    begin = met.filter((F.col("n.node") != F.col("p.node")) & near(F.col("n"), F.col("p")))
+    edges = checkpointed(verified(begin.select(F.col("p.node").alias("u"), F.col("n.node").alias("v")), docs, nodes, shingle, similarity))
+    roots = checkpointed(connected_components(edges))
+
+    own = met.select("key", "n", "p", F.col("n.node").alias("node"), F.col("p.node").alias("pivot"))
+    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
+    own = checkpointed(own.select("key", "n", "root", F.coalesce("pivot_root", "pivot").alias("pivot_root")))
+    outside = own.filter(F.col("root") != F.col("pivot_root")).select("key", F.col("n").alias("a"), F.col("root").alias("a_root"))
+    crossed = outside.join(own, "key").filter((F.col("root") != F.col("a_root")) & (F.col("a.node") != F.col("n.node")) & near(F.col("a"), F.col("n")))
+    more = verified(crossed.select(F.least("a.node", "n.node").alias("u"), F.greatest("a.node", "n.node").alias("v")), docs, nodes, shingle, similarity)
+    found = connected_components(edges.unionByName(more))
+
+    named = nodes.select("node", "digest", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    classes = named.join(best, "root").select("digest", "best")
+    out = rows.select("doc_id", "place", "digest").join(classes, "digest")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("place") == F.col("best.place"))
+    return out.select("doc_id", "place", F.col("best.doc_id").alias("component_id"), stays.alias("stays"))

@@ -6,13 +6,15 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 from sigilo.llm import bpe, exact_dedup, html_extract, language_id, neighbours, packing, quality, secrets, simhash, suffix_dedup
@@ -302,10 +304,78 @@ def test_quality(spark):
     assert len(got) == len(texts)
     assert all(got[k].kept for k in range(200)) and not any(got[k].kept for k in range(200, 222))
     assert got[0].trusted and not got[160].trusted
-    counts = quality.trusted_counts(quality.chunks(frame(spark, good[:20]).selectExpr("doc_id", "text", "lang", "true AS trusted")))
-    ctx = {}
-    p = {r.gram: np.exp(r.logp) for r in quality.log_probabilities(spark.range(32).selectExpr("cast((1 << 20) + id AS int) AS gram"), counts).collect()}
-    assert abs(sum(p.values()) - 1) < 1e-4, ctx  # probabilities over one context
+
+
+def brute_kneser_ney(texts, order, base):
+    """log-probability of a gram (a tuple of characters) by interpolated modified Kneser-Ney over counted texts."""
+    tables = {order: Counter()}
+    for t in texts:
+        t = (None,) * (order - 1) + tuple(None if c == " " else c for c in t)
+        tables[order].update(t[k : k + order] for k in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    d = {}
+    for k, table in tables.items():
+        n1, n2, n3, n4 = (max(1, sum(v == c for v in table.values())) for c in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d[k] = [min(max(x, 0.05), m - 0.05) for m, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+    off = lambda k, n: d[k][min(n, 3) - 1] if n else 0.0
+    followers = {k: defaultdict(list) for k in tables}
+    for k, table in tables.items():
+        for g, n in table.items():
+            followers[k][g[:-1]].append(n)
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else base
+        own = followers[k].get(gram[:-1])
+        if not own:
+            return lower
+        n = tables[k][gram]
+        return max(n - off(k, n), 0.0) / sum(own) + sum(off(k, c) for c in own) / sum(own) * lower
+
+    return lambda text: sum(np.log(p(g)) for t in [(None,) * (order - 1) + tuple(None if c == " " else c for c in text)] for g in [t[k : k + order] for k in range(len(t) - order + 1)]) / len(text)
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcé жd") for _ in range(rng.randrange(1, 60))).strip() or "a" for _ in range(80)]
+    texts = [" ".join(t.split()) or "a" for t in texts] + ["", None, "a", "zzzz", texts[0].upper()]
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 700)
+    monkeypatch.setattr(quality, "BLOCK", 97)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(frame(spark, texts, lang="en").repartition(3), labels, held_out=10**9).collect()}
+    say = brute_kneser_ney(texts[:60], quality.ORDER, 1 / quality.SYMBOLS)
+    for k, t in enumerate(texts):
+        if t:
+            assert np.log(got[k].perplexity) == pytest.approx(-say(t.lower()), rel=1e-4), t
+        else:
+            assert got[k].perplexity == 1 and not got[k].kept
+    assert got[0].perplexity == got[84].perplexity
+
+
+def test_quality_blocks_cut_anywhere(monkeypatch):
+    rng = random.Random(2)
+    docs = [np.array([rng.randrange(1, 900) for _ in range(rng.choice([0, 1, 2, 3, 5, 40]))], dtype=np.uint16) for _ in range(50)]
+    body = np.concatenate(docs)
+    row = {"use": bytes(50), "sizes": np.array([len(d) for d in docs], np.int64).tobytes(), "symbols": zstandard.ZstdCompressor().compress(body.tobytes())}
+    want = [sum(int(x) << (quality.BITS * b) for b, x in enumerate(reversed([0] * max(0, 4 - k) + d[max(0, k - 4) : k + 1].tolist()))) for d in docs for k in range(len(d))]
+    for size in (1, 2, 3, 7, 10**6):
+        monkeypatch.setattr(quality, "BLOCK", size)
+        assert np.concatenate([c for _, c in quality.Laid(row).blocks()]).tolist() == want
+
+
+def test_quality_thresholds_are_of_held_out_documents(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(120)] + ["".join(rng.choice("qzxj") for _ in range(300)) for _ in range(5)]
+    rows = [(k, t, "en", 0) for k, t in enumerate(texts)] + [(None, texts[0], None, 1), (7, texts[7], "en", 2), (7, texts[7], "en", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, band int")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels, held_out=3).collect()
+    assert len(out) == len(rows) and sum(r.trusted for r in out) == 102
+    kept = {r.doc_id for r in out if r.kept}
+    assert len(kept & set(range(100, 120))) >= 18 and not kept & set(range(120, 125)) and None in kept
 
 
 @pytest.mark.parametrize("name", ["bpe", "packing", "simhash", "exact", "suffix", "secrets", "language"])
@@ -374,3 +444,103 @@ def test_neighbours_send_the_driver_a_bounded_sample(spark, monkeypatch):
     assert neighbours.parts_of(100, 400, 200, 400) == 4
     split = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, k=5).collect()))
     assert [x[:3] for x in split] == [x[:3] for x in whole] and np.allclose([x[3] for x in split], [x[3] for x in whole])
+
+
+def test_packing_packs_each_tier():
+    rng = random.Random(1)
+    lengths = [max(1, int(rng.lognormvariate(5.5, 1.3))) for _ in range(3000)] + [2048, 4096, 1, 5000]
+    windows = packing.plan(lengths)
+    used = [sum(p[2] for p in w) for w in windows]
+    sizes = Counter(used)
+    assert all(sizes[t] > 100 for t in packing.TIERS) and sum(u not in packing.TIERS for u in used) <= 1
+    for w, u in zip(windows, used, strict=True):  # a short document never opens a longer tier's window
+        assert u not in packing.TIERS or max(p[2] for p in w) > u // 2 or u == 256 or u == sum(p[2] for p in w)
+    whole = sum(len({p[0] for w in windows for p in w if p[0] == d}) for d in range(10))
+    assert whole == 10
+    groups = packing.step_groups(windows, packing.TIERS, 64)
+    by = defaultdict(set)
+    for u, g in zip(used, groups, strict=True):
+        by[g].add(packing.padded(u))
+    assert all(len(x) == 1 for x in by.values())
+    assert [packing.padded(n) for n in (1, 2, 64, 128, 200, 2048)] == [1, 2, 64, 128, 2048, 2048]
+
+
+def brute_secrets(texts, owners):
+    """Tokens and liveness from the rules as the README tells them."""
+    found = []
+    for t in texts:
+        t = t or ""
+        base = [(m.start(), m.end(), m[2]) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 8] + [(*m.span(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(*m.span(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        tokens = [(*m.span(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]+", t) if len(m[0]) >= 24 and not any(s < m.end() and m.start() < e for s, e, _ in base)]
+        tokens = [x for x in tokens if re.search("[0-9]", x[2]) and re.search("[a-z]", x[2]) and re.search("[A-Z]", x[2]) and secrets.entropy(x[2]) >= 3.5]
+        found.append((base, tokens))
+    owned = defaultdict(set)
+    for (base, tokens), o in zip(found, owners, strict=True):
+        for *_, v in base + tokens:
+            owned[v].add(o)
+    live = lambda v: len(owned[v]) < 3 and not secrets.PLACEHOLDER.search(v)
+    return [(sorted((s, e, live(v)) for s, e, v in base), sorted((s, e) for s, e, v in tokens if live(v))) for base, tokens in found]
+
+
+def test_secrets_tokens_and_ownership_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ABCDEFghijkl0123456789+/_-") for _ in range(n))
+    values = [word(rng.randrange(8, 40)) for _ in range(25)]
+    wrap = ["{}", "token={}", 'api_key: "{}"', "x {} y", "AKIA{}"]
+    texts = [" ".join(rng.choice(wrap).format(rng.choice(values)) for _ in range(rng.randrange(0, 9))) for _ in range(120)] + [None, "", "deadbeef" * 5 + "=" + "token=" + "a1B2" * 9]
+    owners = [f"src{k % 3}" if k % 4 else "one" for k in range(len(texts))]
+    rows = [(k if k % 5 else None, t, o, "clash", k) for k, (t, o) in enumerate(zip(texts, owners, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, spans string, n long")
+    want = brute_secrets(texts, owners)
+    got = defaultdict(list)
+    for r in secrets.secret_scan(docs).collect():
+        got[r.text_key].append((sorted((s.start, s.stop, s.live) for s in r.spans if s.kind < 3), sorted((s.start, s.stop) for s in r.spans if s.kind == 3)))
+    for t, w in zip(texts, want, strict=True):
+        assert w in got[hashlib.md5((t or "").encode()).hexdigest()]
+    long = " ".join(f"token={word(20)}" for _ in range(20000))
+    begin = time.time()
+    assert len(secrets.candidates(long)) >= 20000 and time.time() - begin < 5
+
+
+def test_redact_by_text_alone(spark):
+    live, other = "password=Q7zPLm2Wx9RtB", "secret: Zk93Lmwq81Xy"
+    rows = [(None, f"a {live} b", 1), (1, f"x {live}", 2), (1, f"{other} y {live}", 3), (1, "clean", 4), (2, None, 5), (2, f"x {live}", 6)]
+    docs = spark.createDataFrame([(i, t, "s", n, "p", "q", "r", "u") for i, t, n in rows], "doc_id long, text string, source string, n long, live_spans string, live_doc string, text_key string, salt string")
+    out = {r.n: r for r in secrets.redact(docs, secrets.secret_scan(docs)).collect()}
+    star = lambda v: "*" * len(v)
+    assert [out[k].text for k in range(1, 7)] == [f"a {star(live)} b", f"x {star(live)}", f"{star(other)} y {star(live)}", "clean", None, f"x {star(live)}"]
+    assert out[1].doc_id is None and (out[1].live_spans, out[1].live_doc, out[1].text_key, out[1].salt) == ("p", "q", "r", "u")
+    assert secrets.masked("abcdefgh", [1, 2, 6], [4, 5, 7]) == "a****f*h"
+
+
+def test_language_id_of_repeated_rows_and_foreign_texts(spark):
+    same = spark.createDataFrame([(k, "the and of that with", "en", "clash") for k in range(2000)], "doc_id long, text string, lang string, rejected string")
+    assert {(r.lang_pred, r.rejected) for r in language_id.identify(same).collect()} == {("en", False)}
+    rng = random.Random(13)
+    lexicon = {"en": "the and of tion ing her was that with for".split(), "de": "der und ein sch keit ung zu für über mit".split()}
+    rows = [(k, " ".join(rng.choice(lexicon[l]) for _ in range(rng.randrange(4, 80))), l) for k in range(800) for l in [rng.choice(["en", "de"])]]
+    rows += [(900, "привет как дела мой друг сегодня", None), (901, "zxqj wvkq qqzx jjvk xzqw kkvz", None), (902, "学 中 文 字", None), (None, "the and of that", None)]
+    out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50).collect()}
+    assert all(out[k].rejected for k in (900, 901, 902)) and not out[None].rejected and out[None].lang_pred == "en"
+    assert sum(r.rejected for r in out.values()) <= 3 + 8
+
+
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice(a) for _ in range(rng.randrange(3, 80))), l) for k in range(150) for l, a in [rng.choice([("x", "abc d"), ("y", "cde a"), ("z", "éf gabc")])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    train = [(t, l) for k, t, l in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    df = np.zeros(language_id.BINS)
+    for t, _ in train:
+        if (f := language_id.gram_counts(t)) is not None:
+            df[f[0]] += 1
+    n = sum(language_id.gram_counts(t) is not None for t, _ in train)
+    assert np.allclose(model.idf, np.log((1 + n) / (1 + df)) + 1)
+    for r in language_id.predict(docs, model).collect():
+        if (f := language_id.gram_counts(r.text)) is None:
+            continue
+        v = np.zeros(language_id.BINS)
+        v[f[0]] = (1 + np.log(f[1])) * model.idf[f[0]]
+        cos = [float(v @ model.centroids[:, c] / np.linalg.norm(v)) for c in range(len(model.langs))]
+        assert r.score == pytest.approx(max(cos), abs=1e-5) and r.lang_pred == model.langs[int(np.argmax(cos))]

@@ -69,3 +69,35 @@ def test_near_dedup_finds_every_similar_pair(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert len(pairs) > 100
     assert kept == {k for k in range(len(texts)) if find(k) == k}
+
+
+def test_stages_with_null_ids_repeats_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(31)
+    words = [f"the {k} of" for k in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    a, b, c, d = text(60), text(60), text(60), text(60)
+    secret = text(40) + " password=Q7zPLm2Wx9RtB"
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, d), (3, d), (3, d + " "), (4, secret), (None, secret + " twice over now"), (5, b.replace("  ", " ") + " of the")]
+    rows += [(k, text(50)) for k in range(10, 60)]
+    extra = ("place", "score", "rejected", "live_spans", "copies", "row", "spans", "digest", "text_key")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *extra) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / f"o{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"o{k}"))
+        kept.append(docs.collect())
+    assert len(kept[0]) == len(rows) and all(r.place == "place" and r.spans == "spans" for r in kept[3])
+    first = [(r.doc_id, r.text) for r in kept[1] if r.doc_id is None or r.doc_id < 10]
+    assert sorted(first, key=str) == sorted([(1, a), (1, b), (None, c), (3, d + " "), (4, secret), (None, secret + " twice over now"), (5, b.replace("  ", " ") + " of the")], key=str)
+    near = [(r.doc_id, r.text) for r in kept[2] if r.doc_id is None or r.doc_id < 10]
+    assert sorted(near, key=str) == sorted([(1, a), (1, b), (None, c), (3, d + " "), (4, secret)], key=str)
+    assert len(kept[3]) == len(kept[2]) and not any("Q7zP" in r.text for r in kept[3])
+
+
+def test_near_texts_of_repeated_rows_stay_once(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f g", "en"), (2, "a b c d e f g", "en"), (None, "a  b c d e f g", "en"), (7, None, "en"), (8, "", "en")], "doc_id long, text string, lang string")
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert out == [(2, "a b c d e f g"), (7, None)]
