@@ -2,56 +2,75 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which
 ``run`` writes as Parquet to the shared folder and rereads as the next one's
-docs. All stages but the last return the columns of ``documents``. Extra
-columns pass through; a row is known by its ``doc_id``. Null texts have no
-language and go in the first stage; an empty table stays empty throughout.
+docs. All stages but the last return the columns of ``documents``, and extra
+columns of any name pass through. A row is known by its id and text, so null
+ids and several texts of one id are rows like others. An empty table stays
+empty throughout; whole texts are read, however long.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigilo.llm import exact_dedup, language_id, near_copies, packing, secrets
+from sigilo.llm import exact_dedup, language_id, packing, secrets, simhash
+from sigilo.llm.common import checkpointed, fresh, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def rows_that_stay(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hash of id and text is in ``stay`` (place, copies), each once."""
+    mark = fresh("place", docs.columns)
+    stay, keyed = checkpointed(stay), docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    out = keyed.join(stay.filter("copies = 1").select(F.col("place").alias(mark)), mark, "left_semi")
+    again = stay.filter("copies > 1").select(F.col("place").alias(mark))
+    if again.limit(1).count():  # rows that are repeated as a whole, id and all
+        out = out.unionByName(keyed.join(again, mark, "left_semi").dropDuplicates([mark]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter and those far from every language's centroids go."""
+    """Language ID: documents without a letter and those far from every language's centroids go.
+
+    Null and empty texts have no letter and go. Repeated rows and ties get one
+    judgement and so stay or go together.
+    """
     model = language_id.train(docs)
-    judged = language_id.predict(docs, model, names=("__lang", "__score", "__rejected"))
-    return judged.filter(~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = tuple(fresh(n, docs.columns) for n in ("lang_pred", "score", "rejected"))
+    judged = language_id.predict(docs, model, names=names)
+    return judged.filter(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the kept document stays; a row repeated as a whole stays once."""
-    out = exact_dedup.exact_dedup(docs)
-    dropped = out.filter(~F.col("kept")).select("doc_id").distinct()
-    again = out.filter(F.col("kept")).groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("doc_id")
-    stay = docs.join(dropped.unionByName(again), "doc_id", "left_anti")
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(once).select(*docs.columns)
+    """Exact dedup: of equal texts one row stays, the longest original, then of the smallest id.
+
+    Null texts are equal to empty ones. A null id stays only where the longest
+    originals have no other; of rows repeated as a whole one stays.
+    """
+    return rows_that_stay(docs, exact_dedup.survivors(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each group linked by five-word similarities of 0.8 or more the smallest id stays."""
-    out = near_copies.near_copies(docs)
-    dropped = out.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Near-dedup: of each group linked by five-word similarities of 0.8 or more the row of the smallest id stays.
+
+    Texts without a word, null ones too, are one group. Null ids come last; of
+    rows repeated as a whole one stays.
+    """
+    found = simhash.near_texts(docs).filter("stays")
+    return rows_that_stay(docs, found.groupBy("place").agg(F.count("*").alias("copies")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: live-looking values are masked in place; documents stay."""
+    """Secret scans: live-looking values are masked in place; documents stay, null and repeated ones too."""
     return secrets.redact(docs, secrets.secret_scan(docs))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of every document that is left."""
+    """Packing: the pieces of every document that is left; null texts are the end token alone."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -67,15 +86,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over ``documents``."""
-    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), folder(spark)
+    docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
