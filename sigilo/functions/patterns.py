@@ -1,14 +1,36 @@
 """Detector patterns of the redaction mode: fixed values of the reference.
 
-``\\b`` stands for an ASCII word edge. ``java`` gives the form for Spark,
-``re2`` the one for engines without look-around.
+``\\b`` stands for an ASCII word edge and case is ignored as ASCII letters do,
+accented ones by both their forms. ``java`` gives the form for Spark,
+``python`` the compiled one, ``re2`` the one for engines without look-around.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import cache
 
-from .text import EDGE
+from .text import EDGE, WS
+
+#: Accented letters of the patterns, all inside classes.
+ACCENTS = "íúéóçá"
+
+
+def both_cases(pattern: str) -> str:
+    for c in ACCENTS:
+        pattern = pattern.replace(c, c + c.upper())
+    return pattern
+
+
+@cache
+def compiled(pattern: str, ignore_case: bool) -> re.Pattern:
+    """The pattern as the reference's engine reads it: its white space, and lines that end at any line end."""
+    if ignore_case:
+        pattern = both_cases(pattern)
+    inner = WS[1:-1]
+    pattern = pattern.replace(r"\d", "[0-9]").replace(r"[-\s]", f"[{inner}-]").replace(r"\s", WS).replace(r"\z", r"\Z").replace(".+?", "[^\n\r\u2028\u2029]+?")
+    return re.compile(pattern, re.ASCII | (re.IGNORECASE if ignore_case else 0))
 
 
 @dataclass(frozen=True)
@@ -34,11 +56,18 @@ class Detector:
             p = "(?<![A-Za-z0-9_])" + p[2:]
         if p.endswith(r"\b"):
             p = p[:-2] + "(?![A-Za-z0-9_])"
-        return ("(?iu)" if self.ignore_case else "") + p.replace(r"\d", "[0-9]").replace(r"\b", EDGE)
+        return ("(?i)" + both_cases(p) if self.ignore_case else p).replace(r"\d", "[0-9]").replace(r"\b", EDGE)
+
+    @property
+    def python(self) -> re.Pattern:
+        return compiled(self.pattern, self.ignore_case)
 
     @property
     def re2(self) -> str:
-        return ("(?i)" if self.ignore_case else "") + self.pattern.replace(r"\d", "[0-9]")
+        p = self.pattern
+        if self.name == "address":  # no look-ahead: the stop is matched behind group 1, and names of experts' streets are told by the caller
+            p = "(" + p.replace(r"(?!\s+PERICIAL\b)", "").replace("(?=", ")(?:")
+        return ("(?i)" if self.ignore_case else "") + p.replace(r"\d", "[0-9]")
 
 
 def _zeros(x: str) -> str:

@@ -1,18 +1,29 @@
 """Detection of sensitive spans, pair emission, replacement and counting.
 
-Everything is a column expression over one text, so detection is a narrow
-projection without a shuffle, however many documents there are.
+Detection is one Arrow-batched function over the text: each detector's
+compiled pattern runs once and its matches carry their places. It is a narrow
+projection without a shuffle, however many documents there are; texts that
+hold nothing a detector could find never leave the JVM. Replacement and the
+places of process numbers are Spark's own functions.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import DETECTORS, PROCESS, Detector
-from ..functions.text import let, overlaps, valid_cpf
+from ..functions.text import CPF_FIRST, CPF_SECOND, let, overlaps
 
-PAIRS = "array<struct<o:string,s:string,kind:string>>"
+PAIR = "struct<o:string,s:string,kind:string>"
+PAIRS = f"array<{PAIR}>"
+#: A text without any of these holds nothing that a detector finds.
+CANDIDATE = r"(?i)[0-9]|@|rua|r\.|av|pra[cçÇ]a|rod|estr"
 
 
 def spans(text: Column, pattern: str, groups: int = 0) -> Column:
@@ -44,43 +55,137 @@ def unprotected(found: Column, ranges: Column) -> Column:
     return let(ranges, lambda r: F.filter(found, lambda m: ~overlaps(m["b"], m["e"], r)))
 
 
-def add_pairs(df: DataFrame, detectors: list[Detector] | None = None, text_col: str = "text", out: str = "pairs") -> DataFrame:
-    """``df`` with the unique pairs of all detectors in their order: array<struct<o, s, kind>>.
+# The kernel: plain functions of one text.
+
+
+def only_digits(s: str) -> str:
+    return re.sub("[^0-9]", "", s)
+
+
+def cpf_holds(value: str) -> bool:
+    """Eleven digits, not all equal, with the two check digits."""
+    d = [int(c) for c in only_digits(value)]
+    if len(d) != 11 or len(set(d)) == 1:
+        return False
+    for at, weights in ((9, CPF_FIRST), (10, CPF_SECOND)):
+        rest = sum(x * w for x, w in zip(d, weights, strict=False)) % 11
+        if (0 if rest < 2 else 11 - rest) != d[at]:
+            return False
+    return True
+
+
+def zeros(s: str) -> str:
+    return "0" * len(s)
+
+
+def blank_digits(s: str, by: str = "0") -> str:
+    return re.sub("[0-9]", by, s)
+
+
+def _label(m: re.Match) -> list[tuple[str, str]]:
+    return [(m[0], m[1] + zeros(m[2]))]
+
+
+def _label_and_number(m: re.Match) -> list[tuple[str, str]]:
+    return [*_label(m), (m[2], zeros(m[2]))]
+
+
+def _bare_too(m: re.Match, number: str, masked: str) -> list[tuple[str, str]]:
+    """The match, and its number without marks where it has some."""
+    bare = only_digits(number)
+    return [(m[0], masked)] + ([(bare, zeros(bare))] if bare != number else [])
 
-    The first pair for an original wins, and pairs of unequal lengths fall
-    away. Null texts have no pairs.
-    """
-    chosen = list(DETECTORS.values()) if detectors is None else detectors
-    base = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__ranges", protected(F.col("__t")))
-    lists = []
-    for k, d in enumerate(chosen):
-        base = base.withColumn(f"__m{k}", unprotected(spans(F.col("__t"), d.java, d.groups), F.col("__ranges")))
-        if d.valid == "cpf":
-            base = base.withColumn(f"__m{k}", F.filter(f"__m{k}", lambda m: valid_cpf(m["m0"])))
-        elif d.valid != "true":
-            base = base.withColumn(f"__m{k}", F.expr(f"filter(__m{k}, m -> {qualified(d.valid)})"))
-        lists.append(F.expr(f"flatten(transform(__m{k}, m -> {emission(d)}))"))
-    every = F.concat(*lists) if lists else F.array().cast(PAIRS)
-    base = base.withColumn("__all", F.filter(every, lambda p: (p["o"] != "") & (F.length(p["o"]) == F.length(p["s"]))))
-    return base.withColumn(out, first_wins(F.col("__all"))).drop("__t", "__ranges", "__all", *[f"__m{k}" for k in range(len(chosen))])
 
+Emission = Callable[[re.Match], list[tuple[str, str]]]
+EMIT: dict[str, Emission] = {
+    "cpf": lambda m: [(m[0], blank_digits(m[0], "*"))],
+    "nit_labelled": lambda m: _bare_too(m, m[2], m[1] + blank_digits(m[2])),
+    "nit": lambda m: _bare_too(m, m[0], blank_digits(m[0])),
+    "oab_named": lambda m: [(m[0], f"{(m[1][0].upper() + '.').ljust(len(m[1]))} {m[2]}{zeros(m[3])}")],
+    "phone": lambda m: [(m[0], blank_digits(m[0]))],
+    "email": lambda m: [(m[0], "*" * len(m[0]))],
+    "address": lambda m: [(m[0], "*" * len(m[0]))],
+    "verifier": lambda m: [(m[0], m[1] + zeros(m[2]) + (m[3] or ""))],
+    "verifier_footer": lambda m: [(m[0], zeros(m[1]) + m[2])],
+    "long_id": lambda m: [(m[0], zeros(m[0]))],
+    **{k: _label for k in ("oab", "oab_zero", "oab_under", "oab_compact")},
+    **{k: _label_and_number for k in ("benefit", "voter", "crm", "crm_compact", "identity")},
+}
+VALID: dict[str, Callable[[re.Match], bool]] = {"cpf": lambda m: cpf_holds(m[0]), "long_id": lambda m: m[0].strip("0") != ""}
+#: What a text in small letters must hold for a detector to be worth its pattern; none: it is always tried.
+NEEDS = {
+    "nit_labelled": ("nit", "nis", "pis", "pasep"), "benefit": ("nb", "benef", "esp"), "voter": ("tulo",), "oab": ("oab",), "oab_zero": ("0ab",), "oab_under": ("sob",), "crm": ("crm", "cremerj"),
+    "crm_compact": ("crm",), "identity": ("id", "rg"), "email": ("@",), "verifier": ("verificador",), "verifier_footer": ("v",),
+}
 
-def qualified(expression: str) -> str:
-    """m0, m1, ... as fields of the match m."""
-    for g in range(4):
-        expression = expression.replace(f"m{g}", f"m.m{g}")
-    return expression
 
+class Text:
+    """One text with the ranges of its process numbers, in order and disjoint."""
 
-def emission(d: Detector) -> str:
-    """SQL for the pairs of one match m."""
-    made = [f"named_struct('o', {qualified(o)}, 's', {qualified(s)}, 'kind', '{d.name}')" if c == "true" else f"if({qualified(c)}, named_struct('o', {qualified(o)}, 's', {qualified(s)}, 'kind', '{d.name}'), null)" for o, s, c in d.pairs]
-    return f"filter(array({', '.join(made)}), p -> p is not null)"
+    def __init__(self, text: str) -> None:
+        self.text, self.low = text, text.lower()
+        self.processes = list(PROCESS.python.finditer(text))
+        self.begins, self.ends = [m.start() for m in self.processes], [m.end() for m in self.processes]
 
+    def matches(self, name: str) -> Iterable[re.Match]:
+        if name in NEEDS and not any(w in self.low for w in NEEDS[name]):
+            return ()
+        return DETECTORS[name].python.finditer(self.text)
 
-def first_wins(pairs: Column) -> Column:
-    """Of pairs with one original only the first."""
-    return let(pairs, lambda every: F.filter(every, lambda p, k: ~F.exists(F.slice(every, 1, k), lambda q: q["o"] == p["o"])))
+    def free(self, m: re.Match) -> bool:
+        """Whether the match touches no process number."""
+        k = bisect_left(self.begins, m.end()) - 1  # the last that begins before the match ends
+        return k < 0 or self.ends[k] <= m.start()
+
+    def valid(self, name: str) -> Iterable[re.Match]:
+        ok = VALID.get(name)
+        return (m for m in self.matches(name) if (ok is None or ok(m)) and self.free(m))
+
+    def pairs(self, names: Iterable[str]) -> dict[str, tuple[str, str]]:
+        """original -> (substitute, kind) in order; the first for an original wins, unequal lengths fall away."""
+        out: dict[str, tuple[str, str]] = {}
+        for name in names:
+            for m in self.valid(name):
+                for o, s in EMIT[name](m):
+                    if o and len(o) == len(s):
+                        out.setdefault(o, (s, name))
+        return out
+
+    def count(self, *names: str) -> int:
+        return sum(1 for name in names for _ in self.matches(name))
+
+    def findings(self) -> dict:
+        """Counts disregard protected ranges, but for long identifiers; NITs are distinct by digits."""
+        nits = {only_digits(m[2]) for m in self.matches("nit_labelled")} | {only_digits(m[0]) for m in self.matches("nit")}
+        return {
+            "cpfs": sum(cpf_holds(m[0]) for m in self.matches("cpf")), "nits": len(nits), "oabs": self.count("oab", "oab_zero", "oab_under", "oab_compact"), "crms": self.count("crm", "crm_compact"),
+            "addresses": self.count("address"), "identifiers": sum(1 for _ in self.valid("long_id")), "processes": list(dict.fromkeys(m[0] for m in self.processes)),
+        }
+
+
+def listed(pairs: dict[str, tuple[str, str]]) -> list[dict]:
+    return [{"o": o, "s": s, "kind": kind} for o, (s, kind) in pairs.items()]
+
+
+def worth(text: Column) -> Column:
+    """The text where a detector may find something, else null, so that it need not be sent to Python."""
+    return F.when(text.rlike(CANDIDATE), text)
+
+
+def add_pairs(df: DataFrame, detectors: list[Detector] | None = None, text_col: str = "text", out: str = "pairs") -> DataFrame:
+    """``df`` with the unique pairs of all detectors in their order: array<struct<o, s, kind>>.
+
+    The first pair for an original wins, and pairs of unequal lengths fall
+    away. Null texts have no pairs. Names are added by ``names.map_pairs``,
+    which needs a dictionary.
+    """
+    chosen = [d.name for d in (DETECTORS.values() if detectors is None else detectors)]
+
+    @F.pandas_udf(PAIRS)
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([listed(Text(t).pairs(chosen)) if t else [] for t in texts], dtype=object)
+
+    return df.withColumn(out, found(worth(F.col(text_col))))
 
 
 def by_length(pairs: Column) -> Column:
@@ -95,8 +200,7 @@ def apply_pairs(text: Column, pairs: Column, longest_first: bool = True) -> Colu
     return F.aggregate(ordered, text, lambda t, p: F.when(p["o"] == "", t).otherwise(F.replace(t, p["o"], p["s"])))
 
 
-def count(text: Column, name: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(DETECTORS[name].java), F.lit(0))).cast("long")
+FINDINGS = "struct<cpfs:bigint,nits:bigint,oabs:bigint,crms:bigint,addresses:bigint,identifiers:bigint,processes:array<string>>"
 
 
 def findings(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -104,22 +208,15 @@ def findings(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Counts of CPFs and NITs disregard protected ranges, those of long
     identifiers respect them, as the reference does. Names are counted by
-    ``names.add_names``, which needs a dictionary.
+    ``names.count_names``, which needs a dictionary.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    every = lambda name, g=0: F.regexp_extract_all(t, F.lit(DETECTORS[name].java), F.lit(g))
-    bare = lambda a: F.transform(a, lambda x: F.regexp_replace(x, "[^0-9]", ""))
-    long_ids = F.filter(unprotected(spans(t, DETECTORS["long_id"].java), protected(t)), lambda m: ~m["m0"].rlike("^0+$"))
-    return df.select(
-        "*",
-        F.size(F.filter(every("cpf"), valid_cpf)).cast("long").alias("cpfs"),
-        F.size(F.array_distinct(F.concat(bare(every("nit_labelled", 2)), bare(every("nit"))))).cast("long").alias("nits"),
-        (count(t, "oab") + count(t, "oab_zero") + count(t, "oab_under") + count(t, "oab_compact")).alias("oabs"),
-        (count(t, "crm") + count(t, "crm_compact")).alias("crms"),
-        count(t, "address").alias("addresses"),
-        F.size(long_ids).cast("long").alias("identifiers"),
-        F.array_distinct(F.regexp_extract_all(t, F.lit(PROCESS.java), F.lit(0))).alias("processes"),
-    )
+
+    @F.pandas_udf(FINDINGS)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([Text(t or "").findings() for t in texts], columns=["cpfs", "nits", "oabs", "crms", "addresses", "identifiers", "processes"])
+
+    got = df.withColumn("__found", found(worth(F.col(text_col))))
+    return got.select(*[F.col(f"`{c}`") for c in df.columns], "__found.*")
 
 
 def total_findings(names: Column | None = None) -> Column:

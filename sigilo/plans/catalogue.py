@@ -72,7 +72,7 @@ def format_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(
         "doc_id", "k", T.squeeze(title).alias("squeezed"), T.sanitize_filename(title).alias("filename"), T.escape_markdown(title).alias("escaped"), T.token_key(title).alias("token"),
         T.document_title(F.concat(F.lit("processo_"), F.col("k").cast("string"), F.lit("-final.PDF"))).alias("title"), T.clean_name(F.concat(F.lit(" Ana  Lima :;-"))).alias("name"),
-        T.clean_code(F.concat(F.lit("abc-"), F.col("k").cast("string"), F.lit(".;"))).alias("code"), T.is_event_title(title).alias("is_event"), T.is_critical(F.substring("text", 1, 60)).alias("critical"),
+        T.clean_code(F.concat(F.lit("abc-"), F.col("k").cast("string"), F.lit(".;"))).alias("code"), T.is_event_title(title).alias("is_event"), T.is_critical(F.col("text")).alias("critical"),
     )
 
 
@@ -95,12 +95,9 @@ def protected_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", "page", _long(F.col("r.b")).alias("begin_at"), _long(F.col("r.e")).alias("end_at"), F.col("r.m0").alias("number"))
 
 
-SQL_KINDS = [k for k in DETECTORS if k != "address"]
-
-
 @query
 def pair_dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = detect.add_pairs(view(spark, sf_dir, "v_case_page"), [DETECTORS[k] for k in SQL_KINDS])
+    v = detect.add_pairs(view(spark, sf_dir, "v_case_page"))
     return v.select("doc_id", "page", _long(F.size("pairs")).alias("n"), _joined(F.col("pairs")).alias("pairs"))
 
 
@@ -125,12 +122,12 @@ def pairs_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def findings_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = detect.findings(view(spark, sf_dir, "v_case_page"))
-    return v.select("doc_id", "page", "cpfs", "nits", "oabs", "crms", "identifiers", F.array_join("processes", "|").alias("processes"))
+    return v.select("doc_id", "page", "cpfs", "nits", "oabs", "crms", "addresses", "identifiers", F.array_join("processes", "|").alias("processes"))
 
 
 @query
 def findings_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = detect.findings(view(spark, sf_dir, "v_case_page")).withColumn("addresses", F.lit(0).cast("long"))
+    v = detect.findings(view(spark, sf_dir, "v_case_page"))
     return v.groupBy("doc_id").agg(F.sum(detect.total_findings()).alias("total"), F.count("*").alias("pages"))
 
 
@@ -200,7 +197,7 @@ def page_lines_eol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _thin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_case_page")
-    return v.select("doc_id", "page", "k", F.expr("CASE k % 4 WHEN 0 THEN substring(text, 1, 45) WHEN 1 THEN '' WHEN 2 THEN text ELSE repeat('a', 49 + cast(k % 3 AS int)) END").alias("text"))
+    return v.select("doc_id", "page", "k", F.expr("CASE k % 4 WHEN 0 THEN concat('Evento ', cast(k AS string), ', Página ', cast(page AS string), ' de 9 curta') WHEN 1 THEN '' WHEN 2 THEN text ELSE repeat('a', 49 + cast(k % 3 AS int)) END").alias("text"))
 
 
 @query
@@ -490,7 +487,7 @@ def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = extract.extract_record(view(spark, sf_dir, "v_case_page").filter("page % 2 = 0")).withColumn("endereco", F.lit(""))
+    r = extract.extract_record(view(spark, sf_dir, "v_case_page")).withColumn("endereco", F.lit(""))
     mode = F.when(F.col("doc_id") % 2 == 0, "carta-concessao").otherwise("cnis")
     return r.select("doc_id", extract.observations(mode).alias("observations"))
 

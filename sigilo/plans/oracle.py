@@ -46,25 +46,39 @@ def offsets(m: str, pieces: str) -> str:
     return f"list_transform(range(1, len({m}) + 1), lambda i: {total(pieces, 'i')} + {total(m, 'i - 1')})"
 
 
-PROTECTED = (
-    f"r0 AS (SELECT doc_id, page, text, regexp_extract_all(text, {q(PROCESS.re2)}) AS m, string_split_regex(text, {q(PROCESS.re2)}) AS g FROM v_case_page), "
-    f"r AS (SELECT doc_id, page, m, {offsets('m', 'g')} AS b FROM r0), "
-    "prot AS (SELECT doc_id, page, unnest(m) AS number, unnest(b) AS b FROM r)"
-)
+def protected(src: str = "v_case_page", tag: str = "prot") -> str:
+    """Clauses ending in ``tag``: one row per process number of ``src``."""
+    return (
+        f"{tag}_0 AS (SELECT doc_id, page, text, regexp_extract_all(text, {q(PROCESS.re2)}) AS m, string_split_regex(text, {q(PROCESS.re2)}) AS g FROM {src}), "
+        f"{tag}_1 AS (SELECT doc_id, page, m, {offsets('m', 'g')} AS b FROM {tag}_0), "
+        f"{tag} AS (SELECT doc_id, page, unnest(m) AS number, unnest(b) AS b FROM {tag}_1)"
+    )
+
+
+PROTECTED = protected()
 
 
-def matches(d: Detector, tag: str) -> str:
-    """Clauses ending in ``{tag}``: one row per unprotected match with its groups and place."""
-    cols = ", ".join(f"regexp_extract_all(text, {q(d.re2)}, {k}) AS a{k}" for k in range(d.groups + 1))
-    each = ", ".join(f"unnest(a{k}) AS m{k}" for k in range(d.groups + 1))
+def matches(d: Detector, tag: str, src: str = "v_case_page", prot: str = "prot") -> str:
+    """Clauses ending in ``{tag}``: one row per unprotected match with its groups and place.
+
+    An address is the first group of its form without look-ahead.
+    """
+    first = 1 if d.name == "address" else 0
+    cols = ", ".join(f"regexp_extract_all(text, {q(d.re2)}, {k}) AS a{k}" for k in range(first + d.groups + 1))
+    each = ", ".join(f"unnest(a{k + first}) AS m{k}" for k in range(d.groups + 1))
     return (
-        f"{tag}0 AS (SELECT doc_id, page, {cols}, string_split_regex(text, {q(d.re2)}) AS g FROM v_case_page), "
+        f"{tag}0 AS (SELECT doc_id, page, {cols}, string_split_regex(text, {q(d.re2)}) AS g FROM {src}), "
         f"{tag}1 AS (SELECT doc_id, page, {each}, unnest({offsets('a0', 'g')}) AS b, unnest(range(1, len(a0) + 1)) AS i FROM {tag}0), "
-        f"{tag} AS (SELECT * FROM {tag}1 x WHERE {valid(d)} AND NOT EXISTS (SELECT 1 FROM prot r WHERE r.doc_id = x.doc_id AND r.page = x.page AND x.b < r.b + length(r.number) AND x.b + length(x.m0) > r.b))"
+        f"{tag} AS (SELECT * FROM {tag}1 x WHERE {valid(d)} AND NOT EXISTS (SELECT 1 FROM {prot} r WHERE r.doc_id = x.doc_id AND r.page = x.page AND x.b < r.b + length(r.number) AND x.b + length(x.m0) > r.b))"
     )
 
 
+NOT_EXPERT = r"(?i)^\S+\s+PERICIAL\b"
+
+
 def valid(d: Detector) -> str:
+    if d.name == "address":
+        return f"NOT regexp_matches(m0, {q(NOT_EXPERT)})"
     if d.valid != "cpf":
         return d.valid
     digits = "regexp_replace(m0, '[^0-9]', '', 'g')"
@@ -95,6 +109,21 @@ def every_pair(kinds: list[str]) -> str:
     return f"{PAGES}, {PROTECTED}, {clauses}, e AS ({union}), {UNIQUE} SELECT * FROM listed"
 
 
+def redacted() -> str:
+    """Pages with the unique pairs applied, by falling length and in order, and what detectors still find."""
+    ids, cpf = DETECTORS["long_id"], DETECTORS["cpf"]
+    fold = lambda c: f"(list_reduce(list_prepend(struct_pack(o := '', s := text), {c}), lambda x, y: struct_pack(o := '', s := replace(x.s, y.o, y.s)))).s"
+    return (
+        every_pair(list(DETECTORS)).removesuffix("SELECT * FROM listed").rstrip()
+        + ", ps AS (SELECT doc_id, page, list(struct_pack(o := o, s := s) ORDER BY length(o) DESC, det, i, k) AS by_length, list(struct_pack(o := o, s := s) ORDER BY det, i, k) AS in_order FROM u WHERE rn = 1 GROUP BY doc_id, page), "
+        + f"red AS (SELECT v.doc_id, v.page, length(v.text) AS n, {fold('by_length')} AS text, {fold('in_order')} AS second FROM v_case_page v JOIN ps ON ps.doc_id = v.doc_id AND ps.page = v.page), "
+        + f"{protected('red', 'rp')}, {matches(ids, 'ri', 'red', 'rp')}, ids AS (SELECT doc_id, page, count(*) AS n FROM ri GROUP BY doc_id, page), "
+        + f"c0 AS (SELECT doc_id, page, unnest(regexp_extract_all(text, {q(cpf.re2)})) AS m0 FROM red), c AS (SELECT doc_id, page, count(*) AS n FROM c0 WHERE {valid(cpf)} GROUP BY doc_id, page) "
+        + "SELECT red.doc_id, red.page, length(text) AS n_chars, length(text) = red.n AS same_length, coalesce(c.n, 0) AS cpfs, coalesce(ids.n, 0) AS identifiers, md5(text) AS digest, md5(second) AS digest_in_order "
+        + "FROM red LEFT JOIN c ON c.doc_id = red.doc_id AND c.page = red.page LEFT JOIN ids ON ids.doc_id = red.doc_id AND ids.page = red.page"
+    )
+
+
 def count(name: str) -> str:
     return f"len(regexp_extract_all(text, {q(DETECTORS[name].re2)}))"
 
@@ -106,7 +135,7 @@ def findings() -> str:
         f"{PAGES}, {PROTECTED}, {matches(ids, 'm')}, ids AS (SELECT doc_id, page, count(*) AS n FROM m GROUP BY doc_id, page), "
         f"c0 AS (SELECT doc_id, page, unnest(regexp_extract_all(text, {q(cpf.re2)})) AS m0 FROM v_case_page), c AS (SELECT doc_id, page, count(*) AS n FROM c0 WHERE {valid(cpf)} GROUP BY doc_id, page), "
         f"f AS (SELECT v.doc_id, v.page, coalesce(c.n, 0) AS cpfs, len(list_distinct({bare('nit_labelled', 2)} || {bare('nit', 0)})) AS nits, "
-        f"{count('oab')} + {count('oab_zero')} + {count('oab_under')} + {count('oab_compact')} AS oabs, {count('crm')} + {count('crm_compact')} AS crms, coalesce(ids.n, 0) AS identifiers, "
+        f"{count('oab')} + {count('oab_zero')} + {count('oab_under')} + {count('oab_compact')} AS oabs, {count('crm')} + {count('crm_compact')} AS crms, len([x FOR x IN regexp_extract_all(text, {q(DETECTORS['address'].re2)}, 1) IF NOT regexp_matches(x, {q(NOT_EXPERT)})]) AS addresses, coalesce(ids.n, 0) AS identifiers, "
         "(SELECT string_agg(number, '|' ORDER BY b) FROM prot r WHERE r.doc_id = v.doc_id AND r.page = v.page) AS processes "
         "FROM v_case_page v LEFT JOIN c ON c.doc_id = v.doc_id AND c.page = v.page LEFT JOIN ids ON ids.doc_id = v.doc_id AND ids.page = v.page) "
     )
@@ -175,7 +204,7 @@ CHECKS = (
     "FROM rows JOIN hits ON hits.doc_id = rows.doc_id AND hits.id = rows.id LEFT JOIN left_raw l ON l.doc_id = rows.doc_id AND l.id = rows.id GROUP BY rows.doc_id) "
 )
 
-THIN = f"{PAGES}, t AS (SELECT doc_id, page, CASE k % 4 WHEN 0 THEN substring(text, 1, 45) WHEN 1 THEN '' WHEN 2 THEN text ELSE repeat('a', 49 + cast(k % 3 AS int)) END AS text FROM v_case_page), "
+THIN = f"{PAGES}, t AS (SELECT doc_id, page, CASE k % 4 WHEN 0 THEN concat('Evento ', cast(k AS string), ', Página ', cast(page AS string), ' de 9 curta') WHEN 1 THEN '' WHEN 2 THEN text ELSE repeat('a', 49 + cast(k % 3 AS int)) END AS text FROM v_case_page), "
 THIN += (
     "s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, "
     rf"{q(r'(?i)Processo\s+[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4},?\s*')}, ' ', 'g'), '(?i)Evento\s+[0-9]+,?\s*', ' ', 'g'), '[A-Z0-9]{{4,}}[0-9]{{1,3}},?\s*', ' ', 'g'), '(?i)Página\s+[0-9]+(?:\s+de\s+[0-9]+)?', ' ', 'g'), '\s+', ' ', 'g')) AS rest FROM t), "
@@ -228,9 +257,23 @@ def report_sql() -> str:
     return f"WITH {as_sql('v_person')} SELECT doc_id, concat_ws(chr(10), {', '.join(lines)}) AS content FROM v_person"
 
 
+#: The address block of the lines that the catalogue makes, case by case.
+ADDRESS = (
+    f"WITH {as_sql('v_person')}, a0 AS (SELECT doc_id, 'RUA ' || doc_id || ' - CENTRO' AS street, 'AVENIDA DOS TESTES, ' || doc_id AS avenue, doc_id % 2 = 0 AS even, doc_id % 3 = 0 AS gap FROM v_person), "
+    "a AS (SELECT doc_id, CASE WHEN even AND gap THEN [street] WHEN even THEN [street, 'LOJA A', 'SALA 2 - CENTRO'] WHEN gap THEN [avenue, 'SALA 2 - CENTRO'] ELSE [avenue, 'LOJA A', 'SALA 2 - CENTRO'] END AS lines, "
+    "CASE WHEN even AND gap THEN ['Endereço: ' || street] WHEN even THEN ['Endereço: ' || street, 'LOJA A', 'SALA 2 - CENTRO'] WHEN gap THEN [avenue, 'SALA 2 - CENTRO'] ELSE [avenue, 'LOJA A', 'SALA 2 - CENTRO'] END AS raw FROM a0) "
+)
+ADDRESS_PAIRS = f"flatten([[lines[i] || '>' || {SWAP.format('lines[i]')}, raw[i] || '>' || replace(raw[i], lines[i], {SWAP.format('lines[i]')})] FOR i IN range(1, len(lines) + 1)])"
+ADDRESS_CHECKS = "flatten([[lines[i], raw[i]] FOR i IN range(1, len(lines) + 1)])"
+
+
+def ordered_distinct(values: str) -> str:
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
 def all_sql() -> dict[str, str]:
     email = q(DETECTORS["email"].re2)
-    kinds = [k for k in DETECTORS if k != "address"]
+    kinds = list(DETECTORS)
     title = "'Evento. ' || cast(k AS varchar) || ' - PETIÇÃO [inicial]  nº_'"
     ordered = sorted(FIXED_PAIRS, key=lambda p: -len(p[0]))
     replaced = "text"
@@ -246,14 +289,22 @@ def all_sql() -> dict[str, str]:
         "cpf_checksum": PERSON + f" SELECT doc_id, CASE WHEN corrupt THEN substr(cpf, 1, 13) || {SWAP.format('substr(cpf, 14, 1)')} ELSE cpf END AS cpf, CASE WHEN corrupt THEN substr(c11, 1, 10) || {SWAP.format('substr(c11, 11, 1)')} ELSE c11 END AS digits, NOT corrupt AND base9 <> repeat(substr(base9, 1, 1), 9) AS valid FROM p",
         "nit_checksum": PERSON + " SELECT doc_id, nit, base10 <> repeat(substr(base10, 1, 1), 10) AS valid, benefit FROM p",
         "masks": f"WITH {as_sql('v_person')} SELECT doc_id, translate(name, '0123456789', '0000000000') AS digits, repeat('*', 9) AS cpf, repeat('*', length(name)) AS everything, 'OAB/SP ' || repeat('0', 9) AS label_number, 'XX-' || repeat('0', 9) || 'XX' AS code, 'A. S. C.' || repeat(' ', length(name) + 5) AS initials FROM v_person",
-        "format_strings": PAGES + f" SELECT doc_id, k, regexp_replace({title}, ' +', ' ', 'g') AS squeezed, 'Evento.' || cast(k AS varchar) || '_-_PETICAO_inicial_n' AS filename, regexp_replace({title}, '([\\[\\]])', '\\\\\\1', 'g') AS escaped, 'EVENTOPETICAOINICIALN' AS token, 'processo ' || cast(k AS varchar) || ' final' AS title, 'Ana Lima' AS name, 'ABC-' || cast(k AS varchar) AS code, true AS is_event, regexp_matches(substring(text, 1, 60), '\\b[0-9]{{3}}\\.?[0-9]{{3}}\\.?[0-9]{{3}}-?[0-9]{{2}}\\b') AS critical FROM v_case_page".replace("{{", "{").replace("}}", "}"),
+        "format_strings": PAGES + f" SELECT doc_id, k, regexp_replace({title}, ' +', ' ', 'g') AS squeezed, 'Evento.' || cast(k AS varchar) || '_-_PETICAO_inicial_n' AS filename, regexp_replace({title}, '([\\[\\]])', '\\\\\\1', 'g') AS escaped, 'EVENTOPETICAOINICIALN' AS token, 'processo ' || cast(k AS varchar) || ' final' AS title, 'Ana Lima' AS name, 'ABC-' || cast(k AS varchar) AS code, true AS is_event, true AS critical FROM v_case_page".replace("{{", "{").replace("}}", "}"),
         "protected_ranges": f"{PAGES}, {PROTECTED} SELECT doc_id, page, cast(b AS bigint) AS begin_at, cast(b + length(number) AS bigint) AS end_at, number FROM prot",
         "pair_dedupe_first_wins": every_pair(kinds),
         "pairs_by_length": PAGES + f" SELECT doc_id, page, {q('|'.join(o for o, _ in ordered))} AS ordered, {replaced} AS replaced FROM v_case_page",
         "findings_count": findings() + "SELECT * FROM f",
-        "findings_total": findings() + "SELECT doc_id, cast(sum(cpfs + nits + oabs + crms + identifiers) AS bigint) AS total, count(*) AS pages FROM f GROUP BY doc_id",
+        "findings_total": findings() + "SELECT doc_id, cast(sum(cpfs + nits + oabs + crms + addresses + identifiers) AS bigint) AS total, count(*) AS pages FROM f GROUP BY doc_id",
         "extract_fields": fields() + "SELECT doc_id, page, cpf, nits, benefit, code, kind, process FROM f",
         "extract_record": record(),
+        "observations": f"WITH r AS ({record()}) SELECT doc_id, 'não encontrado: ' || CASE WHEN doc_id % 2 = 0 THEN concat_ws(', ', 'Nome/Titular', CASE WHEN beneficio = '' THEN 'Número do benefício' END, CASE WHEN codigo = '' THEN 'Código de autenticidade' END, 'Endereço', "
+        "CASE WHEN cpf = '' AND nits = '' THEN 'CPF ou NIT' END) ELSE concat_ws(', ', 'Nome', CASE WHEN cpf = '' THEN 'CPF' END, CASE WHEN nits = '' THEN 'NIT' END, 'Nome da mãe') END AS observations FROM r",
+        "extract_names": f"WITH {as_sql('v_person')} SELECT doc_id, translate(name, '#0123456789', ' ABCDEFGHIJ') AS holder, 'RITA ' || translate(base9, '0123456789', 'KLMNOPQRST') AS mother FROM v_person",
+        "extract_address_block": ADDRESS + "SELECT doc_id, array_to_string(lines, '|') AS lines, array_to_string(raw, '|') AS raw FROM a",
+        "spec_address": ADDRESS + f"SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS pairs, verify FROM (SELECT doc_id, {ordered_distinct(ADDRESS_PAIRS)} AS list_distinct_ordered, array_to_string({ordered_distinct(ADDRESS_CHECKS)}, '|') AS verify FROM a)",
+        "outline_flatten": f"WITH RECURSIVE {as_sql('v_outline')}, t AS (SELECT doc_id, ord, title, page, [ord] AS path FROM v_outline WHERE ord = 0 UNION ALL SELECT c.doc_id, c.ord, c.title, c.page, list_append(t.path, c.ord) FROM t JOIN v_outline c ON c.doc_id = t.doc_id AND c.ord > 0 AND floor((c.ord - 1) / 40) = t.ord) "
+        "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS ord, title, page FROM t",
+        "apply_pairs": redacted(),
         "process_number_infer": PAGES + ", pg AS (SELECT doc_id, arg_min(substring(text, 10, 25), page) AS hit FROM v_case_page GROUP BY doc_id), d AS (SELECT doc_id, hit, lpad(cast(doc_id AS varchar), 20, '0') AS w FROM pg) "
         "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(w, 1, 7) || '-' || substr(w, 8, 2) || '.' || substr(w, 10, 4) || '.' || substr(w, 14, 1) || '.' || substr(w, 15, 2) || '.' || substr(w, 17, 4) WHEN doc_id % 2 = 0 THEN lpad(cast(doc_id AS varchar), 7, '0') || '-01.2024.4.03.0001' ELSE hit END AS process FROM d",
         "line_grouping": f"WITH {as_sql('v_text_item')}, g AS (SELECT doc_id, page, y, string_agg({line}, ' ' ORDER BY x, item) AS text FROM v_text_item GROUP BY doc_id, page, y) SELECT doc_id, cast(page AS bigint) AS page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) - 1 AS line_no, text FROM g",

@@ -28,6 +28,7 @@ CASE_TEXT = (
     f"' RG n. ', {_digits(37, 2)}, '.', {_digits(43, 3)}, '.', {_digits(47, 3)}, '-', {_digits(3, 1)}, ' Tel (11) 9', {_digits(59, 4)}, '-', {_digits(61, 4)}, "
     f"' codigo verificador ', {_digits(982451653, 12)}, 'v3 ', {_digits(32452843, 10)}, ' .V5 id ', {_digits(49979687, 14)}, "
     f"' Codigo ', {_digits(67867967, 10)}, 'ABC', ' Beneficio: ', {_digits(71, 3)}, '.', {_digits(73, 3)}, '.', {_digits(79, 3)}, '-', {_digits(7, 1)}, "
+    f"CASE {K} % 3 WHEN 0 THEN concat(' Rua dos Testes ', {_digits(83, 3)}, ' Sala ', {_digits(89, 2)}, ', Centro') WHEN 1 THEN concat(' Av. Um ', {_digits(97, 2)}, ' CPF') ELSE ' Rua PERICIAL 10, Centro' END, "
     f"' contato u', cast({K} as string), '@exemplo.org fim')"
 )
 
