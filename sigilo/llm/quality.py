@@ -38,7 +38,7 @@ SYMBOLS = 1 << BITS
 #: Code points below this are their own symbols; the others share what is left by a hash.
 DIRECT = 768
 #: Symbols in a chunk, and those that a task works on at once.
-CHUNK_CHARS, BLOCK = 16_000_000, 4_000_000
+CHUNK_CHARS, BLOCK = 24_000_000, 2_000_000
 #: Ids of trusted documents are broadcast up to this number, and joined by shuffle beyond it.
 BROADCAST_IDS = 4_000_000
 #: One trusted document in HELD_OUT sets the thresholds and is not counted.
@@ -78,7 +78,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, lang, use) folded and laid in chunks, each one compressed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=9)
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -300,9 +300,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hel
     rows = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("use", F.when(F.col("good_id").isNull(), OTHER).when(held, HELD).otherwise(COUNTED))
     laid, name = stored(chunks(rows))
     counts = checkpointed(trusted_counts(laid))
-    wanted = requests(laid).repartition("gram")
-    # Grouped with the chunk kept, so that both uses read one exchange.
-    logp = log_probabilities(wanted.groupBy("gram").agg(F.min("chunk").alias("one")), counts)
+    # Both uses keep both columns and their filters, so that they read one exchange.
+    wanted = requests(laid).filter("gram IS NOT NULL AND chunk IS NOT NULL").repartition("gram")
+    logp = log_probabilities(wanted.groupBy("gram").agg(F.max(F.struct("chunk")).alias("one")).filter("one IS NOT NULL"), counts)
     scored = checkpointed(score(laid, wanted.join(logp, "gram")))
     docs.sparkSession.sql(f"DROP TABLE {name}")
     scored = scored.withColumn("band", F.length(F.bin(F.greatest("n_symbols", F.lit(1)))))
