@@ -169,11 +169,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Model(np.ones(BINS), np.zeros((BINS, 0)), [], {})
     centroids, langs = [], []
     for lang in sorted(parts):
-        own = sorted(parts[lang], key=lambda f: (f[0].tobytes(), f[1].tobytes()))
-        x = np.zeros((len(own), BINS), dtype=np.float32)
+        own = sorted(parts.pop(lang), key=lambda f: (f[0].tobytes(), f[1].tobytes()))
+        met = np.unique(np.concatenate([f[0] for f in own]))  # only bins that the sample has take room
+        x = np.zeros((len(own), len(met)), dtype=np.float32)
         for i, f in enumerate(own):
-            x[i, f[0]] = vector(f, idf)
-        c = k_means(x, k)
+            x[i, np.searchsorted(met, f[0])] = vector(f, idf)
+        near = k_means(x, k)
+        c = np.zeros((len(near), BINS), dtype=np.float32)
+        c[:, met] = near
         centroids.append(c)
         langs += [lang] * len(c)
     model = Model(idf, np.ascontiguousarray(np.concatenate(centroids).T), langs, {})

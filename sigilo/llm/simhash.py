@@ -18,10 +18,13 @@ min-hashes each, of which two texts of similarity 0.8 share none once in some
 300,000 pairs. Pairs are pruned by the pigeonring's chains at WIDE bits (a pair
 at 0.8 differs in 10 bits on average, 26 lie 5 standard deviations off), and
 what is left links if its similarity, computed over both whole sets, is at
-least the limit. Every member of a bucket is first checked against the
-bucket's smallest; then, in buckets that still hold several components, members
-outside the smallest's component are checked against all that are in another
-component than theirs. What two members of one component would add to it is
+least the limit. Every member of a bucket is first checked against two pivots,
+the one of the smallest id and one by chance. The members of buckets that still
+hold several components then meet by rare shingles: two sets of that similarity
+share one of the rarest fifth of their shingles, whichever order by rarity is
+taken, so only pairs across components that share such a one are checked. Large
+groups of texts that are alike, but less than the limit, have few of these in
+common and cost little. What two members of one component would add to it is
 nothing, so a large group of copies costs a pair each, and the components are
 those of all pairs that meet. Equal sets are one row from the start.
 """
@@ -34,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -228,6 +231,33 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return met.mapInArrow(check, "u long, v long")
 
 
+def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, h): of every node of ``rest`` the shingles that some similar set must share, rarest among these nodes first.
+
+    A set of n shingles shares ceil(similarity * n) with a similar one, so one
+    of its n - ceil(similarity * n) + 1 rarest. Shingles of one node alone take
+    their places in that count and are left out.
+    """
+
+    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(2).to_pylist()]
+                own = [s if xxhash.xxh3_128_digest(s.tobytes()) == d else s[:0] for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
+                node = np.repeat(part.column(0).to_numpy(), [len(s) for s in own])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(own).view(np.int64))], ["node", "h"])
+
+    own = nodes.join(rest.select("node"), "node", "left_semi").select("node", "digest", "size", F.col("first.place").alias("place"))
+    texts = docs.join(own, "place").select("node", "digest", "text").dropDuplicates(["node", "text"])
+    each = checkpointed(texts.mapInArrow(shingles_of, "node long, h long"))
+    common = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    of_node = Window.partitionBy("node")
+    placed = each.join(common, "h").withColumn("at", F.row_number().over(of_node.orderBy("n", "h"))).withColumn("m", F.count("*").over(of_node))
+    prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    return placed.join(own.select("node", "size"), "node").filter(F.col("size") - F.col("m") + F.col("at") <= prefix).select("node", "h")
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets' Jaccard similarity is at least the limit."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -253,9 +283,12 @@ def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     nodes = checkpointed(rows.groupBy("digest").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())
 
-    keyed = checkpointed(nodes.select(F.explode("keys").alias("key"), F.struct("node", "size", "fp").alias("n")))
-    pivots = keyed.groupBy("key").agg(F.min("n").alias("p"), F.max("n.node").alias("last")).filter(F.col("p.node") != F.col("last")).drop("last")
-    met = checkpointed(keyed.join(pivots, "key"))
+    last = F.lit((1 << 63) - 1)
+    keyed = checkpointed(nodes.select(F.explode("keys").alias("key"), F.struct(F.coalesce("first.doc_id", last).alias("id"), "node", "size", "fp").alias("n")))
+    # Pivots of a bucket: its smallest id, and one by chance.
+    chance = F.struct(F.xxhash64("key", "n.node").alias("h"), "n")
+    pivots = keyed.groupBy("key").agg(F.min("n").alias("p"), F.min(chance).alias("r"), F.count("*").alias("members")).filter("members > 1")
+    met = checkpointed(keyed.join(pivots, "key").select("key", "n", "p", F.col("r.n").alias("r")))
 
     def near(a: Column, b: Column) -> Column:
         """Whether sizes and fingerprints allow the similarity."""
@@ -264,17 +297,21 @@ def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
             ring = ring | within(diff, k, WIDE, RING)
         return (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9) & ring
 
-    begin = met.filter((F.col("n.node") != F.col("p.node")) & near(F.col("n"), F.col("p")))
-    edges = checkpointed(verified(begin.select(F.col("p.node").alias("u"), F.col("n.node").alias("v")), docs, nodes, shingle, similarity))
+    tried = met.select("n", F.explode(F.array("p", "r")).alias("p")).filter((F.col("n.node") != F.col("p.node")) & near(F.col("n"), F.col("p")))
+    edges = checkpointed(verified(tried.select(F.least("p.node", "n.node").alias("u"), F.greatest("p.node", "n.node").alias("v")), docs, nodes, shingle, similarity))
     roots = checkpointed(connected_components(edges))
 
-    own = met.select("key", "n", "p", F.col("n.node").alias("node"), F.col("p.node").alias("pivot"))
-    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = own.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-    own = checkpointed(own.select("key", "n", "root", F.coalesce("pivot_root", "pivot").alias("pivot_root")))
-    outside = own.filter(F.col("root") != F.col("pivot_root")).select("key", F.col("n").alias("a"), F.col("root").alias("a_root"))
-    crossed = outside.join(own, "key").filter((F.col("root") != F.col("a_root")) & (F.col("a.node") != F.col("n.node")) & near(F.col("a"), F.col("n")))
-    more = verified(crossed.select(F.least("a.node", "n.node").alias("u"), F.greatest("a.node", "n.node").alias("v")), docs, nodes, shingle, similarity)
+    # Buckets that still hold several components: their members meet once more, by rare shingles.
+    own = met.select("key", F.col("n.node").alias("node"), "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    rest = checkpointed(own.join(several, "key", "left_semi").select("node", "n", "root").distinct())
+    rare = checkpointed(rare_shingles(rest, docs, nodes, shingle, similarity))
+    # Shingles of the same nodes bring the same pairs: one of them is enough.
+    of_nodes = rare.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    rare = rare.join(of_nodes.filter("n > 1").groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+    side = lambda x: rare.join(rest, "node").select("h", F.col("n").alias(x), F.col("root").alias(f"{x}_root"))
+    crossed = side("a").join(side("b"), "h").filter((F.col("a.node") < F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & near(F.col("a"), F.col("b")))
+    more = verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), docs, nodes, shingle, similarity)
     found = connected_components(edges.unionByName(more))
 
     named = nodes.select("node", "digest", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
