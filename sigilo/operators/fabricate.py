@@ -1,7 +1,8 @@
 """Fictitious values: deterministic, keyed by seed, document and field.
 
 A value is a function of its key, so tasks that run again give it again. Where
-a value must differ from others, it is the first fitting one of CANDIDATES.
+a value must differ from others, it is the first fitting one of candidates
+that are unlike each other and more than what is taken.
 """
 
 from __future__ import annotations
@@ -50,21 +51,36 @@ def first_other(candidates: list[Column], taken: Column) -> Column:
     return F.get(F.filter(F.array(*candidates), lambda c: ~F.array_contains(taken, digits_only(c))), F.lit(0))
 
 
+def turned(digits: Column) -> Column:
+    """Other digits in every place."""
+    return F.translate(digits, "0123456789", "1234567890")
+
+
 def cpf(original: Column, *key: Column | str | int) -> Column:
-    return first_other([cpf_of(random_digits(9, *key, "cpf", k)) for k in range(CANDIDATES)], F.array(digits_only(original)))
+    base = random_digits(9, *key, "cpf")
+    return let(base, lambda b: first_other([cpf_of(b), cpf_of(turned(b))], F.array(digits_only(original))))
+
+
+#: Bases of a document's NITs are this far apart: no common factor with their number, so none is met twice.
+NIT_STEP, NIT_BASES = 3_333_333_337, 10_000_000_000
 
 
 def nits(originals: Column, *key: Column | str | int) -> Column:
     """One NIT per original, distinct from each other and from all originals.
 
-    The position within the document takes part in the first digits, so that
-    two NITs of one document cannot meet.
+    The k-th takes the first free one of bases k, k + n, k + 2n, ... steps on
+    from the document's own; n + 11 of them hold one that is neither taken nor
+    of equal digits.
     """
-    taken = F.transform(originals, digits_only)
+    taken, n, first = F.transform(originals, digits_only), F.size(originals).cast("long"), draw(NIT_BASES, *key, "nit")
 
     def one(_: Column, k: Column) -> Column:
-        at = F.lpad(F.pmod(draw(1000, *key, "nit") + k, F.lit(1000)).cast("string"), 3, "0")
-        return first_other([nit_of(F.concat(at, random_digits(7, *key, "nit", k, c))) for c in range(CANDIDATES)], taken)
+        def tried(j: Column) -> Column:
+            at = F.pmod(first + F.pmod(k.cast("long") + j * n, F.lit(NIT_BASES)) * F.lit(NIT_STEP % NIT_BASES), F.lit(NIT_BASES))
+            return F.lpad(at.cast("string"), 10, "0")
+
+        free = lambda b: (b != F.repeat(F.substring(b, 1, 1), 10)) & ~F.array_contains(taken, digits_only(nit_of(b)))
+        return nit_of(F.get(F.filter(F.transform(F.sequence(F.lit(0).cast("long"), n + 10), tried), free), F.lit(0)))
 
     return F.transform(originals, one)
 
@@ -72,9 +88,8 @@ def nits(originals: Column, *key: Column | str | int) -> Column:
 def benefit(original: Column, *key: Column | str | int) -> Column:
     """As many digits in the original's mask, unlike the original; empty if there is none."""
     digits = digits_only(original)
-    n = F.greatest(F.length(digits), F.lit(1))
-    new = first_other([random_digits(n, *key, "benefit", k) for k in range(CANDIDATES)], F.array(digits))
-    return F.when(original == "", "").otherwise(apply_number_mask(original, new))
+    drawn = random_digits(F.greatest(F.length(digits), F.lit(1)), *key, "benefit")
+    return F.when(original == "", "").otherwise(apply_number_mask(original, F.when(drawn == digits, turned(digits)).otherwise(drawn)))
 
 
 def _pool(chars: Column, pattern: str) -> Column:

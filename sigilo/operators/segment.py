@@ -63,23 +63,34 @@ def scan_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("separator", sep).withColumn("needs_ocr", sep.isNull() & needs_ocr(F.col("text"))).withColumn("text", squeeze(F.col("text")))
 
 
-def flatten_outline(outline: DataFrame, depth: int = 12) -> DataFrame:
-    """(doc_id, ord, title, page): the outline's nodes in pre-order.
+def resolve_outline(outline: DataFrame, named: DataFrame, references: DataFrame) -> DataFrame:
+    """``outline`` with ``page``: a named destination gives a reference, a reference a page; what leads nowhere is null.
 
-    ``outline`` is (doc_id, node_id, parent_id, ordinal, title, page). Each
-    round joins one more level; ``depth`` bounds the rounds, and an outline
-    that is deeper is an error rather than cut.
+    ``outline`` has dest_name and dest_ref, ``named`` is (doc_id, dest_name,
+    ref), ``references`` (doc_id, ref, page).
     """
-    level = outline.filter(F.col("parent_id").isNull()).select("doc_id", "node_id", F.array("ordinal").alias("path"), "title", "page")
-    every = level
-    for k in range(depth):
-        child = outline.filter(F.col("parent_id").isNotNull()).select(F.col("doc_id").alias("d"), F.col("node_id").alias("c"), F.col("parent_id").alias("p"), "ordinal", F.col("title").alias("t"), F.col("page").alias("g"))
-        level = level.join(child, (F.col("doc_id") == F.col("d")) & (F.col("node_id") == F.col("p"))).select("doc_id", F.col("c").alias("node_id"), F.concat("path", F.array("ordinal")).alias("path"), F.col("t").alias("title"), F.col("g").alias("page"))
-        if k == depth - 1:
-            level = level.withColumn("title", F.when(F.size("path") > depth, F.raise_error(F.lit("outline is deeper than the depth given"))).otherwise(F.col("title")))
-        every = every.unionByName(level)
-    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
-    return every.select("doc_id", ord_.alias("ord"), "title", "page")
+    by_name = named.select("doc_id", "dest_name", F.col("ref").alias("__named"))
+    out = outline.join(by_name, ["doc_id", "dest_name"], "left").withColumn("ref", F.coalesce("dest_ref", "__named"))
+    return out.join(references.select("doc_id", "ref", "page"), ["doc_id", "ref"], "left").drop("ref", "__named")
+
+
+#: Levels of an outline; one that is deeper is an error, not cut.
+OUTLINE_DEPTH = 1000
+
+
+def flatten_outline(outline: DataFrame) -> DataFrame:
+    """(doc_id, ord, title, page): the outline's nodes in pre-order, by recursion over (doc_id, node_id, parent_id, ordinal, title, page).
+
+    Nodes whose parent is missing belong to no tree and fall away.
+    """
+    walk = f"""
+    WITH RECURSIVE tree(doc_id, node_id, path, title, page) MAX RECURSION LEVEL {OUTLINE_DEPTH} AS (
+      SELECT doc_id, node_id, array(cast(ordinal AS bigint)), title, page FROM {{outline}} WHERE parent_id IS NULL
+      UNION ALL
+      SELECT c.doc_id, c.node_id, concat(t.path, array(cast(c.ordinal AS bigint))), c.title, c.page
+      FROM tree t JOIN {{outline}} c ON c.doc_id = t.doc_id AND c.parent_id = t.node_id)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS ord, title, page FROM tree"""
+    return outline.sparkSession.sql(walk, outline=outline.select("doc_id", "node_id", "parent_id", "ordinal", "title", "page"))
 
 
 def event_ranges(items: DataFrame, totals: DataFrame, only_event_titles: bool = False) -> DataFrame:

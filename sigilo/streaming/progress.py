@@ -7,6 +7,7 @@ same fold keeps its state between micro-batches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -64,27 +65,65 @@ def estimates(events: DataFrame) -> DataFrame:
     return folded.select("doc_id", F.explode(F.aggregate("all", zero, step)["out"]).alias("e")).select("doc_id", "e.*")
 
 
+#: Documents without an event for so long are done with; their state goes.
+IDLE_MS = 3_600_000
 STATE = "kind string, at long"
 SHOWN = "doc_id string, ts timestamp, type string, percent double"
 
 
-def throttle_stream(events: DataFrame) -> DataFrame:
-    """The throttle over a stream of (doc_id, ts, type, percent); state per document between micro-batches."""
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    own = list(batches)
+    return pd.concat(own).sort_values(columns, kind="stable") if own else pd.DataFrame(columns=columns)
+
+
+def throttle_stream(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The throttle over a stream of (doc_id, ts, type, percent); state per document between micro-batches, until it is idle."""
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kind, at = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         shown = []
-        for row in rows.itertuples(index=False):
+        for row in _in_order(batches, ["ts"]).itertuples(index=False):
             ms = row.ts.value // 1_000_000
             if row.type in FREQUENT and kind == row.type and at is not None and ms - at < INTERVAL_MS:
                 continue
             kind, at = row.type, ms
             shown.append((key[0], row.ts, row.type, row.percent))
         state.update((kind, at))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(shown, columns=["doc_id", "ts", "type", "percent"])
 
-    return events.groupBy("doc_id").applyInPandasWithState(fold, SHOWN, STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("doc_id").applyInPandasWithState(fold, SHOWN, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+ESTIMATE_STATE = "start long, top double, estimate long"
+ESTIMATED = "doc_id string, ts timestamp, top double, estimate long"
+
+
+def estimate_stream(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """``estimates`` over a stream of (doc_id, ts, percent): (doc_id, ts, top, estimate) per event, estimate 0 while unknown."""
+
+    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, top, estimate = state.get if state.exists else (None, 0.0, 0)
+        out = []
+        for row in _in_order(batches, ["ts"]).itertuples(index=False):
+            ms = row.ts.value // 1_000_000
+            start = ms if start is None else start
+            top = max(top, min(99.0, row.percent))
+            if ms - start >= 30_000 and top >= 12:
+                new = math.floor((ms - start) * (100.0 / top) + 0.5)
+                estimate = math.floor(estimate * 0.7 + new * 0.3 + 0.5) if estimate else new
+            out.append((key[0], row.ts, top, estimate))
+        state.update((start, top, estimate))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["doc_id", "ts", "top", "estimate"])
+
+    return events.groupBy("doc_id").applyInPandasWithState(fold, ESTIMATED, ESTIMATE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

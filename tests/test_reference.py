@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigilo.functions import text as T
 from sigilo.functions.patterns import DETECTORS
 from sigilo.operators import detect, extract, fabricate, names, pdf, render, segment, verify
+from sigilo.plans import modes
 from sigilo.sources import readers
 from sigilo.streaming import progress
 
@@ -142,12 +143,160 @@ def test_names(spark):
     assert pairs["ZULMIRO TESTE PRADO"] == "Z. T. P.".ljust(19) and "ZULMIRO PRADO" in pairs and all(len(o) == len(s) for o, s in pairs.items())
 
 
-def test_streams_across_operators():
-    font = {chr(65 + k): f"{k + 16:04X}" for k in range(26)} | {" ": "0001", "0": "0002", ".": "0003"}
-    assert pdf.apply_to_stream("BT [(AN)-4(A TE)3(STE)] TJ ET", [("ANA TESTE", "A. T.    ")], {}) == ("BT [(A.)-4( T. )3(   )] TJ ET", [1])
-    out, hits = pdf.apply_to_stream("BT <0010> Tj 7 0 Td <0012> Tj ET", [("AC", "00")], font)
-    assert out == "BT <0002> Tj 7 0 Td <0002> Tj ET" and hits == [1]
+FONT = {chr(65 + k): f"{k + 16:04X}" for k in range(26)} | {" ": "0001", "0": "0002", ".": "0003"}
+REWRITTEN = [
+    # stream, pairs, fonts, result, hits
+    ("BT [(AN)-4(A TE)3(STE)] TJ ET", [("ANA TESTE", "A. T.    ")], [], "BT [(A.  T.    )] TJ ET".replace("A.  T.", "A. T."), 1),
+    ("BT (111.4) Tj 0 Td (44.777-35) Tj ET", [("111.444.777-35", "***.***.***-**")], [], "BT (***.*) Tj 0 Td (**.***-**) Tj ET", 1),
+    ("BT (ANA LIMA) Tj ET", [("ANA LIMA", "ANA FAKE DOS SANTOS")], [], "BT (ANA FAKE DOS SANTOS) Tj ET", 1),
+    ("BT [(ANA)-2( LIMA)] TJ ET", [("ANA LIMA", "ANA FAKE DOS SANTOS")], [], "BT [(ANA FAKE DOS SANTOS)] TJ ET", 1),
+    ("BT (12) Tj [(34)] TJ ET", [("1234", "0000")], [], "BT (12) Tj [(34)] TJ ET", 0),
+    ("BT [(a\\(b)(c)] TJ (x) Tj ET", [("a(bc", "zzzz")], [], "BT [(zzzz)] TJ (x) Tj ET", 1),
+    ("BT [(a(b(c(d)))e)] TJ ET", [("c(d)))e", "1234567")], [], "BT [(a(b(1234567)] TJ ET", 1),
+    ("BT [(a(b(c(d)))e)-1(f)] TJ ET", [("c(d)))ef", "12345678")], [], "BT [(a\\(b\\(12345678)] TJ ET", 1),
+    ("BT (ABCD) Tj (EF) Tj ET", [("CDEF", "9999"), ("BCDE", "8888")], [], "BT (AB99) Tj (99) Tj ET", 1),
+    ("BT <0010> Tj 7 0 Td <0012> Tj ET", [("AC", "00")], [FONT], "BT <0002> Tj 7 0 Td <0002> Tj ET", 1),
+    ("BT [<0010>-3<0012>] TJ ET", [("AC", "..")], [FONT], "BT [<00030003>] TJ ET", 1),
+    ("BT [<00100012>] TJ ET", [("AC", "é!")], [FONT], "BT [<00010001>] TJ ET", 1),
+    ("BT <414E41> Tj ET", [("ANA", "EVA")], [], "BT <455641> Tj ET", 1),
+    ("BT <0020> Tj <4142> Tj ET", [("AB", "XY")], [FONT, {"A": "0020", "X": "0021"}], "BT <0020> Tj <5859> Tj ET", 1),
+    ("no text operators (ANA)", [("ANA", "EVA")], [], "no text operators (ANA)", 0),
+]
+
+
+@pytest.mark.parametrize("stream,pairs,fonts,want,hits", REWRITTEN)
+def test_rewritten_streams(stream, pairs, fonts, want, hits):
+    out, found = pdf.apply_to_stream(stream, [(f"s{k}", [p]) for k, p in enumerate(pairs)], fonts)
+    assert (out, sum(found.values())) == (want, hits)
+
+
+def test_font_tables_and_fitting_names():
     assert pdf.cmap("1 beginbfchar <0010> <0041> endbfchar 1 beginbfrange <0020> <0021> <0042> <0030> <0031> [<0044> <0045>] endbfrange") == {"A": "0010", "B": "0020", "C": "0021", "D": "0030", "E": "0031"}
+    own = {c: "00" for c in "ANLIMSTODE FA"}
+    assert pdf.compatible("ANA LIMA", "ANA FAKE DOS SANTOS", [f"ANA {s}" for s in fabricate.SURNAMES], [own]) == "ANA FALSO DOS SANTOS"
+    assert pdf.compatible("ANA LIMA", "ANA FAKE DOS SANTOS", [], [own]) == "ANA FAKE DOS SANTOS"
+    assert pdf.forms("AB", [{"A": "41", "B": "28"}]) == ["AB", "4142", "4128", "A\\("]
+    assert pdf.fit("A1", "B2", {"X": "1", "9": "2"}) == "X9"
+    assert pdf.literals("(a\\)b(c)\\051) x (never") == ["a)b(c))"]
+
+
+def pdf_file(*streams, deflate=True):
+    out = b"%PDF-1.4\n"
+    for k, text in enumerate(streams, 1):
+        body = zlib.compress(text.encode("latin-1")) if deflate else text.encode("latin-1")
+        out += b"%d 0 obj\n<< /Length %d %s /Deep << /A << /B << /C 1 >> >> >> >>\nstream\n" % (k, len(body), b"/Filter /FlateDecode" if deflate else b"") + body + b"\nendstream\nendobj\n"
+    return out + b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(streams) + 1, len(out))
+
+
+def shown(content):
+    return [t for *_, kind, t in readers.streams_of(bytes(content)) if kind == readers.TEXT]
+
+
+def test_files_are_rebuilt_with_lengths_and_places():
+    content = pdf_file("BT (ANA LIMA) Tj ET", "BT (b) Tj ET")
+    own = list(readers.streams_of(content))
+    new = pdf.rebuilt(content, [(*own[0][:3], "BT (ANA FAKE DOS SANTOS) Tj ET")])
+    assert shown(new) == ["BT (ANA FAKE DOS SANTOS) Tj ET", "BT (b) Tj ET"]
+    head, begin, end, *_ = next(readers.streams_of(new))
+    assert f"/Length {end - begin} ".encode() in new[head:begin]
+    at = int(new.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    assert new[at : at + 4] == b"xref" and new[int(new[at:].split(b"\n")[4][:10]) :].startswith(b"1 0 obj")
+
+
+def test_cut_off_streams_are_unreadable(spark):
+    whole = pdf_file("BT (a) Tj ET" * 50)
+    cut = whole.replace(zlib.compress(b"BT (a) Tj ET" * 50), zlib.compress(b"BT (a) Tj ET" * 50)[:-6])
+    df = spark.createDataFrame([("a", bytearray(whole)), ("b", bytearray(cut)), ("c", bytearray(b"x"))], "doc_id string, content binary")
+    assert {r.doc_id for r in readers.unreadable(df, readers.streams(df)).collect()} == {"b", "c"}
+
+
+LETTER = "Nome: ANA LIMA TESTE CPF: 111.444.777-35 NIT: 123.45678.90-0 Nome da mãe: RITA TESTE Data de nascimento: 01/01/1970"
+
+
+def test_substitute(spark):
+    fine = pdf_file("BT (ANA LIMA TESTE) Tj (111.444.777-35) Tj (123.45678.90-0) Tj [(RITA)-3( TESTE)] TJ ET")
+    stays = pdf_file("BT (ANA LIMA TESTE) Tj <414E41204C494D4120544553544> Tj ET", "BT (111.444.777-3) Tj ET")
+    hexed = pdf_file("BT (ANA LIMA TESTE) Tj (RITA TESTE) Tj (111.444.777-35) Tj [(12)] TJ <3132> Tj ET", "BT <3132332E34353637382E39302D30> TJ ET")
+    none = pdf_file("BT (nada) Tj ET")
+    files = spark.createDataFrame([(k, f"{k}.pdf", bytearray(c)) for k, c in (("a", fine), ("b", stays), ("c", hexed), ("d", none), ("e", b"no pdf"))], "doc_id string, path string, content binary")
+    pages = spark.createDataFrame([(k, 0, LETTER) for k in "abc"] + [("d", 0, "nada")], "doc_id string, page int, text string")
+    out = {r.doc_id: r for r in modes.substitute(files, pages, seed=3).collect()}
+    assert set(out) == {"a", "b", "c", "d"}
+    a = out["a"]
+    assert a.ok and a.expected == a.applied == 4 and a.status == "Anonimizado ✓" and a.name == "CNIS Ana.pdf" and not a.unreplaced
+    text = shown(a.content)[0]
+    assert a.f_nome == "ANA FAKE DOS SANTOS" and f"({a.f_nome}) Tj" in text and f"({a.f_cpf}) Tj" in text and "RITA" not in text and "123.45678" not in text
+    assert not out["c"].unreplaced or out["c"].content is None
+    assert out["d"].ok and out["d"].expected == 0 and out["d"].content is not None
+
+
+def test_redact(spark):
+    number = "0001234-56.2024.8.19.0001"
+    parts = [f"Processo {number}", "CPF 111.444.777-35", "OAB/RJ 123456", "joao@exemplo.org", "AUTOR: ZULMIRO TESTE PRADO."]
+    fine = pdf_file(*["BT " + " ".join(f"({p}) Tj" for p in parts) + " ET"] * 4)
+    kept = pdf_file("BT " + " ".join(f"({p}) Tj" for p in parts) + " <" + "111.444.777-35".encode().hex()[:-1] + "> Tj ET", "BT /X (OAB) Tj (/RJ) Tj ( 12) Tj ET (3456) '")
+    files = spark.createDataFrame([("a", "a.pdf", bytearray(fine)), ("b", "b.pdf", bytearray(kept))], "doc_id string, path string, content binary")
+    pages = spark.createDataFrame([(d, k, " ".join(parts)) for d in "ab" for k in range(4)], "doc_id string, page int, text string")
+    known = spark.createDataFrame([("maria",)], "name string")
+    out = {r.doc_id: r for r in modes.redact(files, pages, known).collect()}
+    text = " ".join(shown(out["a"].content))
+    assert out["a"].ok and out["a"].applied > 0 and number in text
+    assert not any(v in text for v in ("111.444.777-35", "OAB/RJ 123456", "joao@exemplo.org", "ZULMIRO TESTE"))
+    assert out["a"].findings.startswith("Redatados: CPFs: 4 · ") and out["a"].findings.endswith(f"Processo preservado: {number}") and "Nomes: 4" in out["a"].findings
+
+
+def test_split(spark):
+    number = "0001234-56.2024.8.19.0001"
+    docs = spark.createDataFrame([("a", "autos.pdf"), ("b", "solto_doc.pdf")], "doc_id string, name string")
+    text = lambda k: f"Processo {number} pagina {k} com texto bastante longo para nao precisar de leitura por imagem CPF 111.444.777-35"
+    sep = "PÁGINA DE SEPARAÇÃO Sequência Evento: PETIÇÃO 01/02/2030 10:20 Evento 1 Evento 2"
+    pages = spark.createDataFrame([("a", 0, text(0)), ("a", 1, text(1)), ("a", 2, sep), ("a", 3, "curta"), ("b", 0, "AUTOR: ZULMIRO TESTE PRADO, compareceu em juizo para dizer o que sabia dos fatos do processo")], "doc_id string, page int, text string")
+    tree = [("a", 1, None, 0, "CAPA", 0), ("a", 2, 1, 0, "Evento. 1 - INICIAL 111.444.777-35", 1), ("a", 3, 1, 1, "Anexo", 3)]
+    outline = spark.createDataFrame(tree, "doc_id string, node_id int, parent_id int, ordinal int, title string, page int")
+    known = spark.createDataFrame([("maria",)], "name string")
+    out, summary = modes.split(docs, pages, outline, known, enable_ocr=False, missing="omit")
+    files = {(r.doc_id, r.path): r.content for r in out.collect()}
+    own = {r.doc_id: r for r in summary.collect()}
+    assert {p for d, p in files if d == "a"} == {"indice.md", "integral.md", "relatorio_anonimizacao.md", "eventos/CAPA.md", "eventos/Evento.1_-_INICIAL_._._-.md", "eventos/Evento.2_-_PETICAO.md"}
+    assert ("b", "eventos/solto_doc.md") in files and "ZULMIRO" not in files["b", "integral.md"]
+    assert own["a"].process == number and own["a"].omitted == 1 and own["a"].pieces == 3 and own["a"].a_cpfs == 3 - 1 and own["a"].z_cpfs == 0 and number in files["a", "integral.md"]
+    assert "111.444.777-35" not in "".join(c for (d, _), c in files.items() if d == "a")
+    read, plain = modes.split(docs, pages, outline, provider=lambda p: p.withColumn("ocr_text", F.concat(F.lit("lida "), "page")))
+    whole = {(r.doc_id, r.path): r.content for r in read.collect()}
+    assert "lida 3" in whole["a", "integral.md"] and "*(OCR)*" in whole["a", "indice.md"] and {r.doc_id: r.ocr_count for r in plain.collect()} == {"a": 1, "b": 0}
+    import io
+    import zipfile
+
+    packed = {r.doc_id: r.content for r in modes.zipped(read).collect()}
+    with zipfile.ZipFile(io.BytesIO(packed["a"])) as z:
+        assert z.namelist()[:2] == ["indice.md", "integral.md"] and z.read("integral.md").decode() == whole["a", "integral.md"]
+
+
+def test_large_dictionary_is_joined(spark, monkeypatch):
+    known = spark.createDataFrame([("maria",), ("rita",), ("josé",)], "name string")
+    texts = ["Compareceu Maria de Souza Prado hoje. AUTOR: RITA TESTE PRADO. Sra. Rita falou.", "José Lima Prado e JOSE TESTE", "nada", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    small = sorted(map(str, names.map_pairs(df, known).collect()))
+    monkeypatch.setattr(names, "DICTIONARY_LIMIT", 1)
+    assert sorted(map(str, names.map_pairs(df, known).collect())) == small
+
+
+def test_fabricated_values_never_run_out(spark):
+    nits = [f"{k:03d}.45678.90-0" for k in range(40)]
+    df = spark.createDataFrame([("d", nits, "7", "111.444.777-35")], "doc_id string, nits array<string>, b string, cpf string")
+    for seed in range(4):
+        r = df.select(fabricate.nits(F.col("nits"), seed, F.col("doc_id")).alias("n"), fabricate.benefit(F.col("b"), seed).alias("b"), fabricate.cpf(F.col("cpf"), seed).alias("c")).first()
+        assert len(set(r.n)) == 40 and None not in r.n and not set(r.n) & set(nits) and r.b not in ("7", None) and r.c not in ("111.444.777-35", None)
+
+
+def test_outlines(spark):
+    deep = [("d", k, k - 1 if k else None, 0, f"t{k}", k) for k in range(30)] + [("e", 1, None, 1, "b", 5), ("e", 2, None, 0, "a", 4), ("e", 3, 2, 0, "aa", 6), ("e", 9, 8, 0, "lost", 1)]
+    out = segment.flatten_outline(spark.createDataFrame(deep, "doc_id string, node_id int, parent_id int, ordinal int, title string, page int")).orderBy("doc_id", "ord").collect()
+    assert [r.title for r in out if r.doc_id == "d"] == [f"t{k}" for k in range(30)] and [r.title for r in out if r.doc_id == "e"] == ["a", "aa", "b"]
+    items = spark.createDataFrame([("d", 1, "x", None), ("d", 2, None, "r2"), ("d", 3, "gone", None)], "doc_id string, node_id int, dest_name string, dest_ref string")
+    named = spark.createDataFrame([("d", "x", "r1")], "doc_id string, dest_name string, ref string")
+    refs = spark.createDataFrame([("d", "r1", 7), ("d", "r2", 9)], "doc_id string, ref string, page int")
+    assert {r.node_id: r.page for r in segment.resolve_outline(items, named, refs).collect()} == {1: 7, 2: 9, 3: None}
 
 
 def test_pdf_source(spark):
@@ -184,3 +333,16 @@ def test_throttle_in_batch_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.percent for r in spark.sql("SELECT * FROM shown").collect()) == [1.0, 3.0, 4.0]
+
+
+def test_estimates_as_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    rows = [("d", dt.datetime(2030, 1, 1) + dt.timedelta(seconds=s), "scan", p, k, 9) for k, (s, p) in enumerate([(0, 5.0), (40, 10.0), (50, 20.0), (60, 15.0), (70, 60.0)])]
+    df = spark.createDataFrame(rows, "doc_id string, ts timestamp, type string, percent double, idx int, total int")
+    batch = sorted((r.ts, r.top, r.estimate or 0) for r in progress.estimates(df.withColumn("seq", F.col("idx"))).collect())
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = progress.estimate_stream(progress.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("estimated").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.ts, r.top, r.estimate) for r in spark.sql("SELECT * FROM estimated").collect()) == batch and batch[-1][2] > 0
