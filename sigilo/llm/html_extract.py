@@ -8,7 +8,9 @@ and labels every block; the main text is the blocks labelled as content.
 
 The model is trained here, from a fixed seed, on generated layouts and on a
 bounded sample of the given pages, whose blocks are labelled where their tags
-or classes leave no doubt. It does not depend on the order of the rows.
+or classes leave no doubt. A share of these pages is shown with neutral tags
+and names, so that text, place and neighbours are learned too. The model does
+not depend on the order of the rows.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 PATH_DIMS, WORD_DIMS, SHAPES, HIDDEN = 64, 24, 8, 16
 INPUT = PATH_DIMS + WORD_DIMS + SHAPES
-#: Bounds of training: pages of the table, generated pages, steps, pages per step.
-SAMPLE_PAGES, LAYOUTS, STEPS, BATCH = 64, 320, 160, 24
+#: Bounds of training: pages of the table, blocks of each that are learned from, generated pages, steps, pages per step.
+SAMPLE_PAGES, SAMPLE_BLOCKS, LAYOUTS, STEPS, BATCH = 64, 200, 320, 240, 24
+#: The share of training pages that are shown with neutral tags and names, so that text and neighbours must tell.
+UNNAMED = 0.3
 SEED = 11
 
 #: Fixed values of HTML: elements without end tag, of raw text, and set within a line.
@@ -36,7 +40,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: Elements that end an open paragraph or an open item of their own kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "nav", "aside", "main", "footer", "header", "form", "td", "th", "blockquote"}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
 
@@ -49,6 +54,58 @@ BOILERPLATE = set(
 CONTENT = set("article main content post entry story body text articlebody prose page".split())
 
 
+class Tags:
+    """The tags of a page, found in time linear in its length, however broken it is."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        #: Places outside quotes from which no tag ends, and spans without any mark.
+        self.dead: set[int] = set()
+        self.clear = (0, -1)
+        self.plain = (0, -1)
+
+    def mark(self, at: int) -> int:
+        """The next mark from ``at`` on, or the end."""
+        if not self.clear[0] <= at <= self.clear[1]:
+            m = MARK.search(self.source, at)
+            self.clear = (at, m.start() if m else len(self.source))
+        return self.clear[1]
+
+    def close(self, at: int) -> int:
+        """The next ``>`` from ``at`` on, quotes or not, or the end."""
+        if not self.plain[0] <= at <= self.plain[1]:
+            k = self.source.find(">", at)
+            self.plain = (at, k if k >= 0 else len(self.source))
+        return self.plain[1]
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` is closed: beyond quoted values, or at any ``>`` where a quote stays open."""
+        seen, p, n = [], at, len(self.source)
+        while p not in self.dead:
+            seen.append(p)
+            k = self.mark(p)
+            if k < n and self.source[k] == ">":
+                return k
+            quote = self.source.find(self.source[k], k + 1) if k < n else -1
+            if quote < 0:
+                break
+            p = quote + 1
+        self.dead.update(seen)
+        return self.close(at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(begin, end, name, whether it closes, attributes) of the first tag from ``at`` on; comments have no name."""
+        m = OPEN.search(self.source, at)
+        if m is None:
+            return None
+        n = len(self.source)
+        if m[1]:
+            k = self.source.find("-->", m.end())
+            return m.start(), n if k < 0 else k + 3, "", False, ""
+        k = self.close(m.end()) if m[2] else self.end(m.end())
+        return None if k >= n else (m.start(), k + 1, (m[4] or "").lower(), m[3] == "/", self.source[m.end() : k])
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters inside links) of every leaf block, in page order.
 
@@ -83,13 +140,13 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         links -= sum(s[0] == "a" for s in stack[to:])
         del stack[to:]
 
-    while m := TAG.search(source, at):
-        add(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+    tags = Tags(source)
+    while tag := tags.next(at):
+        begin, end_at, name, closing, rest = tag
+        add(source[at:begin])
+        at = end_at
         if not name:
             continue
-        name, closing, rest = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name not in INLINE:
             flush()
         if name == "br":
@@ -243,12 +300,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def lstm(p: dict[str, np.ndarray], side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """States (steps x pages x HIDDEN) of one direction; padding keeps the state."""
+def lstm(p: dict[str, np.ndarray], side: str, x: np.ndarray, mask: np.ndarray, record: bool = False) -> tuple[np.ndarray, list[tuple]]:
+    """States (steps x pages x HIDDEN) of one direction, and what ``back`` needs if it is to be recorded; padding keeps the state."""
     steps, pages = x.shape[:2]
     z_in = x @ p[f"wx_{side}"] + p[f"b_{side}"]
     h, c = np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN))
-    states, tape = np.zeros((steps, pages, HIDDEN)), [()] * steps
+    states, tape = np.zeros((steps, pages, HIDDEN)), [()] * steps if record else []
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
         z = z_in[t] + h @ p[f"wh_{side}"]
         s, g = sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
@@ -256,7 +313,8 @@ def lstm(p: dict[str, np.ndarray], side: str, x: np.ndarray, mask: np.ndarray) -
         new = f * c + i * g
         tanh = np.tanh(new)
         m = mask[t][:, None]
-        tape[t] = (h, c, i, f, o, g, tanh, m)
+        if record:
+            tape[t] = (h, c, i, f, o, g, tanh, m)
         h, c = np.where(m, o * tanh, h), np.where(m, new, c)
         states[t] = h
     return states, tape
@@ -289,17 +347,27 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def unnamed(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path without names, and without the tags that tell by themselves."""
+    return tuple("div" if (tag := e.split(" ", 1)[0]) in BOILERPLATE or tag in CONTENT or tag == "section" else tag for e in path)
+
+
 def train(pages: list[list[tuple[tuple[str, ...], str, int]]], steps: int = STEPS, layouts: int = LAYOUTS) -> dict[str, np.ndarray]:
     """Parameters fitted by Adam on generated layouts and on the given pages' sure blocks."""
     rng = np.random.default_rng(SEED)
     data = []
     for _ in range(layouts):
         page, labels = layout(rng)
+        if rng.random() < UNNAMED:
+            page = [(unnamed(path), text, linked) for path, text, linked in page]
         data.append((features(page), np.array(labels)))
     for page in pages:
-        page = page[:200]  # a training page's first blocks; labelling always reads whole pages
+        page = page[:SAMPLE_BLOCKS]  # of training pages alone; labelling always reads whole pages
         if page:
-            data.append((features(page), np.array([sure_label(b[0]) for b in page])))
+            labels = np.array([sure_label(b[0]) for b in page])
+            data.append((features(page), labels))
+            if rng.random() < UNNAMED:
+                data.append((features([(unnamed(path), text, linked) for path, text, linked in page]), labels))
     p = initial(rng)
     m, v = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
     lengths = np.argsort([len(d[0]) for d in data], kind="stable")
@@ -310,8 +378,8 @@ def train(pages: list[list[tuple[tuple[str, ...], str, int]]], steps: int = STEP
         y = np.full(mask.shape, -1)
         for k, c in enumerate(chosen):
             y[: len(c[1]), k] = c[1]
-        fs, ft = lstm(p, "f", x, mask)
-        bs, bt = lstm(p, "b", x, mask)
+        fs, ft = lstm(p, "f", x, mask, True)
+        bs, bt = lstm(p, "b", x, mask, True)
         both = np.concatenate((fs, bs), axis=2)
         d = np.where(mask & (y >= 0), sigmoid(both @ p["out"] + p["bias"]) - y, 0) / max(1, (y >= 0).sum())
         grad = {k: np.zeros_like(w) for k, w in p.items()}
@@ -358,8 +426,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages have an empty text. Whole pages are read, however
     long; blocks labelled as content are joined in page order by a line feed.
-    Repeated rows give equal rows; other columns are ignored. With no pages to
-    learn from, the generated layouts alone train the model.
+    Repeated rows give equal rows, null ids and null urls too; ties at one half
+    are content; other columns, whatever their names, are ignored. With no
+    pages to learn from, the generated layouts alone train the model.
     """
     model = train([blocks(h) for h in sample_pages(pages, html_col, sample)])
 

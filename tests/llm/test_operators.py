@@ -544,3 +544,56 @@ def test_language_id_equals_brute_force(spark):
         v[f[0]] = (1 + np.log(f[1])) * model.idf[f[0]]
         cos = [float(v @ model.centroids[:, c] / np.linalg.norm(v)) for c in range(len(model.langs))]
         assert r.score == pytest.approx(max(cos), abs=1e-5) and r.lang_pred == model.langs[int(np.argmax(cos))]
+
+
+#: A page without a telling tag or name; labelled by hand.
+NEUTRAL = (
+    "<html><body><div><div><a href=1>Home</a></div><div><a href=2>World</a></div><div><a href=3>Sport</a></div></div>"
+    "<div><h1>River rises after a week of rain</h1><p>The river rose by two metres on Monday, and the lower town was cleared before night.</p>"
+    "<p>Crews worked until morning, the mayor said, and no one was hurt. Schools stay closed.</p><p>Water is expected to fall by Friday, as the rain moves east.</p></div>"
+    "<div><div><a href=4>Most read</a></div><div><a href=5>Latest</a></div><div><a href=6>Videos</a></div></div><div>© 2030 Example Press</div></body></html>"
+)
+
+
+def test_html_of_neutral_layouts():
+    found = html_extract.blocks(NEUTRAL)
+    assert all(html_extract.sure_label(b[0]) == -1 for b in found)  # the word list says nothing here
+    model = html_extract.train([])
+    said = html_extract.label(model, [html_extract.features(found)])[0] >= 0.5
+    want = [len(b[1]) > 30 for b in found]
+    assert sum(a == b for a, b in zip(said.tolist(), want, strict=True)) >= len(found) - 1
+    rng = np.random.default_rng(99)
+    pages = [html_extract.layout(rng) for _ in range(60)]
+    bare = [[(html_extract.unnamed(path), text, linked) for path, text, linked in page] for page, _ in pages]
+    said = np.concatenate(html_extract.label(model, [html_extract.features(b) for b in bare])) >= 0.5
+    assert (said == np.concatenate([y for _, y in pages])).mean() > 0.85
+
+
+def test_tags_of_broken_pages_in_linear_time():
+    for unit in ('<a "', "<a '\">", "<a ", "<a b='", '<p>x<a href="', "<!", "<!-- "):
+        begin = time.time()
+        html_extract.blocks(unit * 40_000)
+        assert time.time() - begin < 5, unit
+    assert [b[1] for b in html_extract.blocks("<p title='a>b'>one</p><p title=\"x>two</p><b>three")] == ["one", "two", "three"]
+    assert [b[1] for b in html_extract.blocks("a < b <3 <p>c<!-- d > --> e<br>f<![x]>g")] == ["a < b <3", "c e fg"]
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    page = "<nav><a href=x>Home</a></nav><article><p>One two three.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page, "c", 1)] * 3 + [(None, None, page, "c", 2), (2, "u", None, "c", 3)], "page_id long, url string, html string, text string, n_blocks int")
+    out = html_extract.extract(pages).collect()
+    assert len(out) == 5 and sorted(r.text for r in out) == ["", *["One two three."] * 4]
+    v = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [1.0, 0.0]]
+    rows = [(20 * k, x, "c", 1) for k, x in enumerate(v)] + [(20, v[1], "c", 2), (None, v[0], "c", 3), (7, None, "c", 4)]
+    near = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, query int"), F.col("vec_id") % 20 == 0, k=2)
+    got = defaultdict(list)
+    for r in near.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[0] == [60, 20] and got[60] == [0, 20] and set(got) == {0, 20, 40, 60}
+    long = "word " * 300_000
+    docs = spark.createDataFrame([(1, long, "en", "s", 1, "x")], DOCS)
+    assert quality.classify(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).first().n_symbols == 1_500_000
+    assert language_id.identify(docs).first().lang_pred == "en" and simhash.near_dedup(docs).first().n_links == 0
+    assert secrets.digest(secrets.secret_scan(docs)).first().n_assign == 0
