@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.patterns import DETECTORS
 from ..operators import detect, extract, fabricate, names, pdf, render, segment, specs, verify
 from ..streaming import progress
-from . import oracle
+from . import modes, oracle
 from .views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,7 +379,7 @@ def index_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _assembled(spark, sf_dir)
     out = render.outputs(a, a.select("doc_id", F.lit("Processo").alias("process")).distinct())
-    return out.select("doc_id", "path", _long(F.length("content")).alias("n_chars"))
+    return out.select("doc_id", "path", _long(F.length("content")).alias("n_chars"), F.md5("content").alias("digest"))
 
 
 @query
@@ -475,14 +475,56 @@ def name_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pdf_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values spread over several strings of a stream, replaced and verified."""
+    """Values spread over several strings of a stream, and one of another length, replaced."""
     v = view(spark, sf_dir, "v_person").withColumn("doc", F.col("doc_id").cast("string"))
     a, b = F.substring("base9", 1, 4), F.substring("base9", 5, 5)
-    text = F.concat(F.lit("BT [("), a, F.lit(")-4("), b, F.lit(")] TJ (x) Tj <"), T.latin1_hex(F.col("base10")), F.lit("> Tj ET"))
+    text = F.concat(F.lit("BT [("), a, F.lit(")-4("), b, F.lit(")] TJ (x "), F.col("name"), F.lit(") Tj <"), T.latin1_hex(F.col("base10")), F.lit("> Tj ET"))
     streams = v.select(F.col("doc").alias("doc_id"), F.lit(0).alias("ord"), text.alias("text"))
-    rows = v.select(F.col("doc").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.col(c).alias("o"), T.zeros(F.col(c)).alias("s")) for i, c in (("a", "base9"), ("b", "base10"))])).alias("p")).select("doc_id", "p.*")
+    kinds = [("a", F.col("base9"), T.zeros(F.col("base9"))), ("b", F.col("base10"), T.zeros(F.col("base10"))), ("c", F.col("name"), F.lit("ANA FAKE"))]
+    rows = v.select(F.col("doc").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("id"), o.alias("o"), s.alias("s")) for i, o, s in kinds])).alias("p")).select("doc_id", "p.*")
     out = pdf.apply_specs(streams, rows)
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.try_element_at("hits", F.lit("a")).alias("literal_hits"), F.try_element_at("hits", F.lit("b")).alias("hex_hits"))
+    hit = lambda i: F.coalesce(F.try_element_at("hits", F.lit(i)), F.lit(0).cast("long"))
+    return out.select("doc_id", "text", hit("a").alias("literal_hits"), hit("b").alias("hex_hits"), hit("c").alias("raw_hits"))
+
+
+def _pdf_files(v: DataFrame, *shown: Column) -> DataFrame:
+    """(doc_id, path, content): a file of one stream that shows the values."""
+    body = F.concat(F.lit("BT "), *[F.concat(F.lit("("), T.escape_pdf_literal(s), F.lit(") Tj ")) for s in shown], F.lit("ET"))
+    head = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Length "), F.length(body).cast("string"), F.lit(" >>\nstream\n"))
+    return v.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode(F.concat(head, body, F.lit("\nendstream\nendobj\n")), "ISO-8859-1").alias("content"))
+
+
+@query
+def mode_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records found, replaced in files and verified; corrupt customers' files keep a number behind another form and are withheld."""
+    v = view(spark, sf_dir, "v_person").withColumn("made", fabricate.cpf_of(F.col("base9")))
+    name = F.concat(F.lit("BRUNO "), F.translate("name", "#0123456789", " ABCDEFGHIJ"))
+    text = F.concat(F.lit("Nome: "), name, F.lit(" CPF: "), F.col("made"), F.lit(" Data de nascimento"))
+    left = F.when(F.col("corrupt"), F.substring("made", 1, 7)).otherwise("")
+    files = _pdf_files(v, name, F.when(F.col("corrupt"), "sem numero").otherwise(F.col("made")), left, F.when(F.col("corrupt"), F.upper(name)).otherwise(""))
+    out = modes.substitute(files, v.select("doc_id", F.lit(0).alias("page"), text.alias("text")), seed=5)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "ok", "expected", "applied", F.array_join("unmatched", "|").alias("unmatched"), "f_nome")
+
+
+@query
+def mode_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Court pages redacted in files: what was expected, and whether the process number stands and the e-mail is gone."""
+    pages = view(spark, sf_dir, "v_case_page")
+    v = pages.select(F.concat_ws("-", "doc_id", "page").alias("doc_id"), F.lit(0).alias("page"), "text", "k")
+    out = modes.redact(_pdf_files(v, F.col("text")), v.select("doc_id", "page", "text"), _first_names(spark)).join(v.select("doc_id", "k", "text"), "doc_id")
+    shown = F.decode("content", "ISO-8859-1")
+    number = F.regexp_extract("text", "[0-9]{7}-[0-9]{2}[.]2024[.]4[.]03[.][0-9]{4}", 0)
+    return out.select("k", "ok", F.contains(shown, number).alias("number_kept"), F.contains(shown, F.lit("@exemplo.org")).alias("mail_left"), F.contains("findings", number).alias("number_told"))
+
+
+@query
+def mode_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Court files of several pages split by their outline, anonymised: pieces, and findings before and after."""
+    pages = view(spark, sf_dir, "v_case_page").select("doc_id", "page", "text", "k")
+    docs = pages.select("doc_id").distinct().withColumn("name", F.lit("autos.pdf"))
+    outline = pages.filter("page % 3 = 0").select("doc_id", F.col("page").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.col("page").alias("ordinal"), F.concat(F.lit("Evento. "), F.col("page").cast("string"), F.lit(" - PECA")).alias("title"), "page")
+    _, summary = modes.split(docs, pages.drop("k"), outline, _first_names(spark), enable_ocr=False)
+    return summary.select("doc_id", "pieces", "ocr_skipped", F.col("a_oabs").alias("oabs"), F.col("a_identifiers").alias("identifiers"), F.col("z_cpfs").alias("cpfs_left"), "zip")
 
 
 @query

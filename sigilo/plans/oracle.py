@@ -305,6 +305,9 @@ def all_sql() -> dict[str, str]:
         "outline_flatten": f"WITH RECURSIVE {as_sql('v_outline')}, t AS (SELECT doc_id, ord, title, page, [ord] AS path FROM v_outline WHERE ord = 0 UNION ALL SELECT c.doc_id, c.ord, c.title, c.page, list_append(t.path, c.ord) FROM t JOIN v_outline c ON c.doc_id = t.doc_id AND c.ord > 0 AND floor((c.ord - 1) / 40) = t.ord) "
         "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS ord, title, page FROM t",
         "apply_pairs": redacted(),
+        "pdf_streams": f"WITH {as_sql('v_person')} SELECT cast(doc_id AS varchar) AS doc_id, 'BT [(' || repeat('0', 9) || ')] TJ (x ANA FAKE) Tj <' || repeat('30', 10) || '> Tj ET' AS text, cast(1 AS bigint) AS literal_hits, cast(1 AS bigint) AS hex_hits, cast(1 AS bigint) AS raw_hits FROM v_person",
+        "mode_substitute": f"WITH {as_sql('v_person')} SELECT doc_id, true AS ok, cast(2 AS bigint) AS expected, cast(CASE WHEN corrupt THEN 1 ELSE 2 END AS bigint) AS applied, CASE WHEN corrupt THEN 'CPF' ELSE '' END AS unmatched, 'BRUNO FAKE DOS SANTOS' AS f_nome FROM v_person",
+        "mode_redact": f"WITH {as_sql('v_case_page')} SELECT k, true AS ok, true AS number_kept, false AS mail_left, true AS number_told FROM v_case_page",
         "process_number_infer": PAGES + ", pg AS (SELECT doc_id, arg_min(substring(text, 10, 25), page) AS hit FROM v_case_page GROUP BY doc_id), d AS (SELECT doc_id, hit, lpad(cast(doc_id AS varchar), 20, '0') AS w FROM pg) "
         "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(w, 1, 7) || '-' || substr(w, 8, 2) || '.' || substr(w, 10, 4) || '.' || substr(w, 14, 1) || '.' || substr(w, 15, 2) || '.' || substr(w, 17, 4) WHEN doc_id % 2 = 0 THEN lpad(cast(doc_id AS varchar), 7, '0') || '-01.2024.4.03.0001' ELSE hit END AS process FROM d",
         "line_grouping": f"WITH {as_sql('v_text_item')}, g AS (SELECT doc_id, page, y, string_agg({line}, ' ' ORDER BY x, item) AS text FROM v_text_item GROUP BY doc_id, page, y) SELECT doc_id, cast(page AS bigint) AS page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) - 1 AS line_no, text FROM g",
@@ -328,8 +331,8 @@ def all_sql() -> dict[str, str]:
         "judicial_verdict": CHECKS + "SELECT doc_id, critical, loose AS unmatched, critical = '' AND NOT (expected > 0 AND applied = 0) AS ok FROM j",
         "event_markdown": EVENTS + f", {EXPANDED}, {TEXTS} SELECT * FROM md",
         "index_markdown": EVENTS + f", {EXPANDED}, {TEXTS}, {UNIQUE_NAMES}, {INDEX.replace('{even}', 'true')} SELECT * FROM ix",
-        "split_outputs": EVENTS + f", {EXPANDED}, {TEXTS}, {UNIQUE_NAMES}, {INDEX.replace('{even}', 'false')} SELECT doc_id, 'indice.md' AS path, length(content) AS n_chars FROM ix UNION ALL SELECT doc_id, 'integral.md', length(string_agg(content, chr(10))) FROM md GROUP BY doc_id "
-        "UNION ALL SELECT md.doc_id, 'eventos/' || names.filename, length(md.content) FROM md JOIN names ON names.doc_id = md.doc_id AND names.ord = md.ord",
+        "split_outputs": EVENTS + f", {EXPANDED}, {TEXTS}, {UNIQUE_NAMES}, {INDEX.replace('{even}', 'false')} SELECT doc_id, 'indice.md' AS path, length(content) AS n_chars, md5(content) AS digest FROM ix UNION ALL SELECT doc_id, 'integral.md', length(string_agg(content, chr(10) ORDER BY ord)), md5(string_agg(content, chr(10) ORDER BY ord)) FROM md GROUP BY doc_id "
+        "UNION ALL SELECT md.doc_id, 'eventos/' || names.filename, length(md.content), md5(md.content) FROM md JOIN names ON names.doc_id = md.doc_id AND names.ord = md.ord",
         "report_markdown": report_sql(),
         "output_names": f"WITH {as_sql('v_person')} SELECT doc_id, {mode} || ' ' || CASE WHEN corrupt THEN 'Anonimizado' ELSE 'Maria' END || CASE WHEN doc_id % 7 = 0 THEN '' ELSE ' ' || {number} END || '.pdf' AS name, "
         "CASE WHEN corrupt THEN 'Pecas' ELSE 'Processo_' || base9 || '_pecas' END || CASE WHEN doc_id % 2 = 0 THEN '_anonimizadas.zip' ELSE '_texto_fiel.zip' END AS zip, CASE WHEN doc_id % 3 = 1 THEN '1 peça extraída' ELSE cast(doc_id % 3 AS varchar) || ' peças extraídas' END AS pieces FROM v_person",
