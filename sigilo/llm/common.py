@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "fresh", "shared_folder", "slim", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name, read through Spark (any store Spark can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where one machine runs all."""
-    if place := spark.conf.get("spark.checkpoint.dir", None):
-        return place.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-    return tempfile.mkdtemp(prefix="shared-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def fresh(name: str, *used: list[str]) -> str:
     """``name``, with underscores before it until no column of any of the lists is called so."""
     taken = {c.lower() for columns in used for c in columns}
