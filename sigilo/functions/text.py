@@ -280,6 +280,9 @@ def overlaps(begin: Column, end: Column, ranges: Column) -> Column:
     return F.exists(ranges, lambda r: (begin < r["e"]) & (end > r["b"]))
 
 
+# The patterns and word lists inside the tests from here on must match what the reference matches.
+
+
 def document_type(c: Column) -> Column:
     letter = r"(?iu)\bcarta\s+de\s+concess[aã]o\b|\bmem[oó]ria\s+de\s+c[aá]lculo\s+do\s+benef[ií]cio\b"
     return F.when(matches(c, letter), "carta-concessao").otherwise("cnis")
