@@ -267,6 +267,23 @@ ADDRESS_PAIRS = f"flatten([[lines[i] || '>' || {SWAP.format('lines[i]')}, raw[i]
 ADDRESS_CHECKS = "flatten([[lines[i], raw[i]] FOR i IN range(1, len(lines) + 1)])"
 
 
+def progress_folds() -> dict[str, str]:
+    """Running estimates and the throttle as folds over each document's events."""
+    top = "greatest(s.top, e.top)"
+    new = f"(CASE WHEN e.ms - start >= 30000 AND {top} >= 12 THEN cast(floor((e.ms - start) * (cast(100 AS double) / least(cast(99 AS double), {top})) + 0.5) AS bigint) END)"
+    est = f"(CASE WHEN coalesce({new}, 0) = 0 THEN s.est WHEN coalesce(s.est, 0) = 0 THEN {new} ELSE cast(floor(s.est * cast(0.7 AS double) + {new} * cast(0.3 AS double) + 0.5) AS bigint) END)"
+    held = "e.kind IN ('scan', 'ocr') AND s.kind IS NOT DISTINCT FROM e.kind AND s.at IS NOT NULL AND e.at - s.at < 250"
+    zero = "struct_pack(top := cast(0 AS double), est := cast(NULL AS bigint), n := cast(0 AS bigint), ms := cast(0 AS bigint))"
+    events = "list(struct_pack(top := least(cast(99 AS double), cast(percent AS double)), est := cast(NULL AS bigint), n := cast(0 AS bigint), ms := epoch_us(ts) // 1000) ORDER BY ts, seq)"
+    return {
+        "progress_eta": f"WITH {as_sql('v_progress')}, l AS (SELECT doc_id, min(epoch_us(ts) // 1000) AS start, {events} AS events FROM v_progress GROUP BY doc_id), "
+        f"r AS (SELECT doc_id, list_reduce(list_prepend({zero}, events), lambda s, e: struct_pack(top := {top}, est := {est}, n := s.n + CASE WHEN {est} IS NULL THEN 0 ELSE 1 END, ms := e.ms)) AS z FROM l) "
+        "SELECT doc_id, z.top AS top, z.n AS n_estimates, z.est AS last_estimate FROM r",
+        "progress_throttle": f"WITH {as_sql('v_progress')}, l AS (SELECT doc_id, list(struct_pack(kind := type, at := seq * 100, n := cast(0 AS bigint)) ORDER BY seq) AS events FROM v_progress GROUP BY doc_id) "
+        f"SELECT doc_id, (list_reduce(list_prepend(struct_pack(kind := cast(NULL AS varchar), at := cast(NULL AS bigint), n := cast(0 AS bigint)), events), lambda s, e: CASE WHEN {held} THEN s ELSE struct_pack(kind := e.kind, at := e.at, n := s.n + 1) END)).n AS shown FROM l",
+    }
+
+
 def ordered_distinct(values: str) -> str:
     return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
 
@@ -343,4 +360,4 @@ def all_sql() -> dict[str, str]:
         "CASE WHEN doc_id * 997 >= 30000 AND doc_id % 110 >= 12 THEN cast(floor(doc_id * 997 * (cast(100.0 AS double) / least(99.0, cast(doc_id % 110 AS double))) + 0.5) AS bigint) ELSE -1 END AS total, CASE WHEN doc_id % 2 = 0 THEN 'omit' ELSE 'placeholder' END AS mode FROM v_person",
         "progress_sampling": f"WITH {as_sql('v_progress')} SELECT doc_id, type, count(*) AS n, cast(sum(seq) AS bigint) AS seq_sum FROM v_progress WHERE type NOT IN ('page', 'event', 'ocr') OR seq = 0 OR seq + 1 = total OR (seq + 1) % 10 = 0 GROUP BY doc_id, type",
     }
-    return out | {f"detect_{k}": detect(k) for k in kinds}
+    return out | progress_folds() | {f"detect_{k}": detect(k) for k in kinds}
