@@ -232,11 +232,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
 
 
 def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, h): of every node of ``rest`` the shingles that some similar set must share, rarest among these nodes first.
+    """(node, h, n, at): of every node of ``rest`` the shingles that some similar set must share, rarest among these nodes first.
 
     A set of n shingles shares ceil(similarity * n) with a similar one, so one
-    of its n - ceil(similarity * n) + 1 rarest. Shingles of one node alone take
-    their places in that count and are left out.
+    of its n - ceil(similarity * n) + 1 rarest. Shingles of one node alone come
+    first and take their places in ``at``, but are left out; ``n`` is the number
+    of nodes that have the shingle.
     """
 
     def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,8 @@ def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: i
     of_node = Window.partitionBy("node")
     placed = each.join(common, "h").withColumn("at", F.row_number().over(of_node.orderBy("n", "h"))).withColumn("m", F.count("*").over(of_node))
     prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    return placed.join(own.select("node", "size"), "node").filter(F.col("size") - F.col("m") + F.col("at") <= prefix).select("node", "h")
+    placed = placed.join(own.select("node", "size"), "node").withColumn("at", F.col("size") - F.col("m") + F.col("at"))
+    return placed.filter(F.col("at") <= prefix).select("node", "h", "n", "at")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -304,13 +306,16 @@ def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     # Buckets that still hold several components: their members meet once more, by rare shingles.
     own = met.select("key", F.col("n.node").alias("node"), "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = checkpointed(own.join(several, "key", "left_semi").select("node", "n", "root").distinct())
+    rest = checkpointed(own.join(several, "key", "left_semi").select("node", F.col("n").alias("set"), "root").distinct())
     rare = checkpointed(rare_shingles(rest, docs, nodes, shingle, similarity))
-    # Shingles of the same nodes bring the same pairs: one of them is enough.
-    of_nodes = rare.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    rare = rare.join(of_nodes.filter("n > 1").groupBy("n", "x", "y").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
-    side = lambda x: rare.join(rest, "node").select("h", F.col("n").alias(x), F.col("root").alias(f"{x}_root"))
-    crossed = side("a").join(side("b"), "h").filter((F.col("a.node") < F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & near(F.col("a"), F.col("b")))
+    # Shingles of the same nodes bring the same pairs: the first in order is enough.
+    of_nodes = rare.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    rare = rare.join(of_nodes.filter("k > 1").groupBy("k", "x", "y").agg(F.min(F.struct("n", "h")).alias("first")).select("first.h"), "h", "left_semi")
+    side = lambda x: rare.join(rest, "node").select("h", F.struct("set.*", "at").alias(x), F.col("root").alias(f"{x}_root"))
+    # The first shingle that two sets share leaves them enough behind it.
+    behind = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) + 1
+    enough = behind >= similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-9
+    crossed = side("a").join(side("b"), "h").filter((F.col("a.node") < F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & enough & near(F.col("a"), F.col("b")))
     more = verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), docs, nodes, shingle, similarity)
     found = connected_components(edges.unionByName(more))
 
