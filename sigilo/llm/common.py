@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "fresh", "shared_folder", "slim", "table"]
+__all__ = ["checkpointed", "fresh", "scratch", "shared_folder", "slim", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +30,28 @@ def fresh(name: str, *used: list[str]) -> str:
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, in order; extra columns of any name fall away."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function that writes a frame as Parquet to the shared folder and reads it again.
+
+    All that it wrote is deleted at the end, also after a failure; what is to
+    last must be checkpointed within.
+    """
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, of: str) -> DataFrame:
+        df.write.parquet(f"{place}/{of}")
+        return spark.read.parquet(f"{place}/{of}")
+
+    try:
+        yield keep
+    finally:
+        removed(spark, place)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, neighbours, packing, quality, secrets, simhash, suffix_dedup
+from . import bpe, exact_dedup, hard_negatives, html_extract, language_id, lexical, line_dedup, neighbours, packing, quality, secrets, simhash, suffix_dedup
 from .common import table
 
 #: The tokenizer file that production runs use.
@@ -56,12 +56,25 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op6_html, op7_packing, op8_language_id, op9_secrets, op10_neighbours, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_exact_dedup, op5_suffix_dedup, op6_html, op7_packing, op8_language_id, op9_secrets, op10_neighbours, op11_lines, op12_lexical, op13_negatives, pipeline)}
 
 
 OP4_SQL = r"""
@@ -79,5 +92,69 @@ FROM t JOIN g ON t.d = g.d
 """
 
 
+OP11_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, n, string_split(coalesce(text, ''), chr(10))[n] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents)),
+keyed AS (
+  SELECT doc_id, n, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT k.doc_id, k.n, k.line, (c.key IS NULL OR c.last = k.doc_id) AS stays FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS terms FROM lengths),
+norms AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM lengths, corpus),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (
+  SELECT term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * df + 1))) AS bigint) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS qtf FROM asked GROUP BY item_id, term),
+scores AS (
+  SELECT item_id, tf.doc_id, cast(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS bigint) AS score
+  FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN norms ON norms.doc_id = tf.doc_id
+  GROUP BY item_id, tf.doc_id)
+SELECT item_id, cast(rank AS integer) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, cast(list_dot_product(a.v, b.v) AS bigint) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE same)
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, cast(rank AS integer) AS rank, negative_id, positive_score, negative_score
+FROM (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+  WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op11_lines": OP11_SQL, "op12_lexical": OP12_SQL, "op13_negatives": OP13_SQL}
