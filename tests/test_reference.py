@@ -320,29 +320,57 @@ def test_unreadable_documents_fail(spark):
     assert {r.doc_id: r.ok for r in out.collect()} == {"a": True, "b": False}
 
 
+EVENTS = "doc_id string, ts timestamp, type string, percent double, idx int, total int"
+
+
+def stream_of(frame, spark, tmp_path, name):
+    """The whole result of a stream over files of the folder, run until nothing is left to read."""
+    q = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
 def test_throttle_in_batch_and_stream(spark, tmp_path):
     import datetime as dt
 
     at = lambda ms: dt.datetime(2030, 1, 1) + dt.timedelta(milliseconds=ms)
-    rows = [("d", at(100), "scan", 1.0, 0, 9), ("d", at(200), "scan", 2.0, 1, 9), ("d", at(350), "scan", 3.0, 2, 9), ("d", at(351), "ocr", 4.0, 3, 9)]
-    df = spark.createDataFrame(rows, "doc_id string, ts timestamp, type string, percent double, idx int, total int")
-    assert sorted(r.idx for r in progress.throttled(df).collect()) == [0, 2, 3]
+    rows = [("d", at(100), "scan", 1.0, 0, 9), ("d", at(200), "scan", 2.0, 1, 9), ("d", at(350), "scan", 3.0, 2, 9), ("d", at(351), "ocr", 4.0, 3, 9), ("e", at(300), "scan", 5.0, 0, 9)]
+    df = spark.createDataFrame(rows, EVENTS)
+    assert sorted((r.doc_id, r.idx) for r in progress.throttled(df).collect()) == [("d", 0), ("d", 2), ("d", 3), ("e", 0)]
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    shown = progress.throttle_stream(progress.read_events(spark, str(tmp_path / "in")))
-    q = shown.writeStream.format("memory").queryName("shown").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.percent for r in spark.sql("SELECT * FROM shown").collect()) == [1.0, 3.0, 4.0]
+    shown = stream_of(progress.throttle_stream(progress.read_events(spark, str(tmp_path / "in"))), spark, tmp_path, "shown")
+    assert sorted(r.percent for r in shown) == [1.0, 3.0, 4.0, 5.0]
 
 
 def test_estimates_as_a_stream(spark, tmp_path):
     import datetime as dt
 
-    rows = [("d", dt.datetime(2030, 1, 1) + dt.timedelta(seconds=s), "scan", p, k, 9) for k, (s, p) in enumerate([(0, 5.0), (40, 10.0), (50, 20.0), (60, 15.0), (70, 60.0)])]
-    df = spark.createDataFrame(rows, "doc_id string, ts timestamp, type string, percent double, idx int, total int")
+    rows = [("d", dt.datetime(2030, 1, 1) + dt.timedelta(seconds=s), "scan", p, k, 9) for k, (s, p) in enumerate([(0, 5.0), (40, 10.0), (50, 20.0), (55, None), (60, 15.0), (70, 60.0)])]
+    df = spark.createDataFrame(rows, EVENTS)
     batch = sorted((r.ts, r.top, r.estimate or 0) for r in progress.estimates(df.withColumn("seq", F.col("idx"))).collect())
+    assert [e for *_, e in batch[:2]] == [0, 0] and batch[2][2] == 250_000 and batch[3] == (batch[3][0], 20.0, batch[3][2])
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = progress.estimate_stream(progress.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("estimated").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.ts, r.top, r.estimate) for r in spark.sql("SELECT * FROM estimated").collect()) == batch and batch[-1][2] > 0
+    try:
+        q.processAllAvailable()  # comes to rest
+        assert sorted((r.ts, r.top, r.estimate or 0) for r in spark.sql("SELECT * FROM estimated").collect()) == batch and batch[-1][2] > 0
+    finally:
+        q.stop()
+
+
+def test_stream_keeps_state_between_files_until_idle(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda ms: dt.datetime(2030, 1, 1) + dt.timedelta(milliseconds=ms)
+    # Three runs over one checkpoint: a document's state lasts, is dropped an hour after its last event, and starts anew.
+    files = [[("d", at(0), "scan", 1.0)], [("d", at(100), "scan", 2.0), ("e", at(9_000_000), "scan", 3.0)], [("e", at(9_000_100), "scan", 4.0), ("f", at(9_100_000), "ocr", 5.0)]]
+    seen, q = [], None
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(*r, 0, 9) for r in rows], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = progress.throttle_stream(progress.read_events(spark, str(tmp_path / "in")))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        seen.append(sorted(r.percent for r in spark.read.schema(progress.SHOWN).parquet(str(tmp_path / "out")).collect()))
+    assert seen == [[1.0], [1.0, 3.0], [1.0, 3.0, 5.0]]
+    left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert left and left[-1] < 9  # the idle document's rows are gone
