@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "fresh", "scratch", "shared_folder", "slim", "table"]
+__all__ = ["checkpointed", "fresh", "removed", "scratch", "shared_folder", "slim", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

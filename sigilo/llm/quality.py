@@ -23,6 +23,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, removed, shared_folder
 
 ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
@@ -263,12 +264,17 @@ def score(laid: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, SCORE)
 
 
-def stored(laid: DataFrame) -> tuple[DataFrame, str]:
-    """The chunks as a table bucketed by chunk in the shared warehouse, and its name: readers need no shuffle."""
-    spark = laid.sparkSession
-    name = f"quality_chunks_{uuid.uuid4().hex}"
-    laid.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").saveAsTable(name)
-    return spark.table(name), name
+@contextmanager
+def stored(laid: DataFrame) -> Iterator[DataFrame]:
+    """The chunks as a table bucketed by chunk, so that readers need no shuffle; its files are in the shared folder, and go at the end."""
+    spark, name = laid.sparkSession, f"quality_chunks_{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/{name}"
+    try:
+        laid.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").format("parquet").option("path", place).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(spark, place)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -298,13 +304,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, hel
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     held = F.pmod(F.xxhash64("doc_id", "text"), F.lit(held_out)) == 0
     rows = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("use", F.when(F.col("good_id").isNull(), OTHER).when(held, HELD).otherwise(COUNTED))
-    laid, name = stored(chunks(rows))
-    counts = checkpointed(trusted_counts(laid))
-    # Both uses keep both columns and their filters, so that they read one exchange.
-    wanted = requests(laid).filter("gram IS NOT NULL AND chunk IS NOT NULL").repartition("gram")
-    logp = log_probabilities(wanted.groupBy("gram").agg(F.max(F.struct("chunk")).alias("one")).filter("one IS NOT NULL"), counts)
-    scored = checkpointed(score(laid, wanted.join(logp, "gram")))
-    docs.sparkSession.sql(f"DROP TABLE {name}")
+    with stored(chunks(rows)) as laid:
+        counts = checkpointed(trusted_counts(laid))
+        # Both uses keep both columns and their filters, so that they read one exchange.
+        wanted = requests(laid).filter("gram IS NOT NULL AND chunk IS NOT NULL").repartition("gram")
+        logp = log_probabilities(wanted.groupBy("gram").agg(F.max(F.struct("chunk")).alias("one")).filter("one IS NOT NULL"), counts)
+        scored = checkpointed(score(laid, wanted.join(logp, "gram")))
     scored = scored.withColumn("band", F.length(F.bin(F.greatest("n_symbols", F.lit(1)))))
     limits = checkpointed(thresholds(scored, quantile))
     by_lang = limits.groupBy(F.col("of_lang").alias("wide_lang")).agg(F.max("band_limit").alias("lang_limit"))
