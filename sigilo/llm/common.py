@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "fresh", "removed", "scratch", "shared_folder", "slim", "table"]
+__all__ = ["PLACE", "Scratch", "checkpointed", "fresh", "place_of", "removed", "scratch", "shared_folder", "slim", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,20 +38,35 @@ def removed(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A function that writes a frame as Parquet to the shared folder and reads it again.
+def place_of(id_col: str, text_col: str) -> Column:
+    """128 bits of hashes of a row's id and text, by which it is known where ids may be null or repeat."""
+    i, t = F.col(id_col), F.col(text_col)
+    return F.struct(F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), i.isNull(), i, t.isNull(), t).alias("b"))
+
+
+#: The type of ``place_of``.
+PLACE = "struct<a:bigint,b:bigint>"
+
 
-    All that it wrote is deleted at the end, also after a failure; what is to
-    last must be checkpointed within.
-    """
-    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """Frames written as Parquet to a folder in the shared one, and read again."""
 
-    def keep(df: DataFrame, of: str) -> DataFrame:
-        df.write.parquet(f"{place}/{of}")
-        return spark.read.parquet(f"{place}/{of}")
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.place = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def __call__(self, df: DataFrame, of: str) -> DataFrame:
+        df.write.parquet(f"{self.place}/{of}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.place}/{of}")
+
+    def drop(self, of: str) -> None:
+        removed(self.spark, f"{self.place}/{of}")
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Scratch]:
+    """A ``Scratch`` whose files are deleted at the end, also after a failure; what is to last must be checkpointed within."""
+    own = Scratch(spark, name)
     try:
-        yield keep
+        yield own
     finally:
-        removed(spark, place)
+        removed(spark, own.place)

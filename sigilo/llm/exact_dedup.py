@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, place_of
 
 #: The white space that is deleted before texts are compared.
 WHITE_SPACE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -31,12 +31,12 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, n_bytes, check, n_points, place) of every row; texts stay behind. ``place`` is a hash of id and text."""
+    """(id, digest, n_bytes, check, n_points, place) of every row; texts stay behind. ``place`` is 128 hash bits of id and text."""
     return docs.select(
         F.col(id_col).alias("doc_id"),
         normalised(F.col(text_col)).alias("norm"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("place"),
+        place_of(id_col, text_col).alias("place"),
     ).select(
         "doc_id",
         F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import PLACE, Scratch, checkpointed, place_of, scratch
 from .components import connected_components
 
 BITS, SEGMENTS, CHAIN = 64, 4, 2
@@ -198,12 +198,12 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 ["doc_id", "place", "digest", "size", "fp", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, place long, digest binary, size long, fp long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id long, place {PLACE}, digest binary, size long, fp long, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, keep: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have at least the similarity."""
-    pairs = checkpointed(pairs.select("u", "v").distinct())
+    pairs = keep(pairs.select("u", "v").distinct(), f"{name}-pairs")
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     # A node's text is that of the row it is named for; rows that share the row's hash by chance have another digest.
     own = nodes.join(needed, "node", "left_semi").select("node", "digest", F.col("first.place").alias("place"))
     sets = docs.join(own, "place").select("node", "digest", "text").mapInArrow(sets_of, "node long, body binary")
-    sets = checkpointed(sets.groupBy("node").agg(F.first("body").alias("body")))
+    sets = keep(sets.groupBy("node").agg(F.first("body").alias("body")), f"{name}-sets")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     to_u = salted.select("u", "salt").distinct().join(sets.select(F.col("node").alias("u"), F.col("body").alias("a")), "u")
     met = salted.join(sets.select(F.col("node").alias("v"), F.col("body").alias("b")), "v").join(to_u, ["u", "salt"]).select("u", "v", "a", "b")
@@ -228,10 +228,12 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
             keep = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in both]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(check, "u long, v long")
+    out = keep(met.mapInArrow(check, "u long, v long"), name)
+    keep.drop(f"{name}-sets")
+    return out
 
 
-def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, keep: Scratch) -> DataFrame:
     """(node, h, n, at): of every node of ``rest`` the shingles that some similar set must share, rarest among these nodes first.
 
     A set of n shingles shares ceil(similarity * n) with a similar one, so one
@@ -251,7 +253,7 @@ def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: i
 
     own = nodes.join(rest.select("node"), "node", "left_semi").select("node", "digest", "size", F.col("first.place").alias("place"))
     texts = docs.join(own, "place").select("node", "digest", "text").dropDuplicates(["node", "text"])
-    each = checkpointed(texts.mapInArrow(shingles_of, "node long, h long"))
+    each = keep(texts.mapInArrow(shingles_of, "node long, h long"), "shingles")
     common = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     of_node = Window.partitionBy("node")
     placed = each.join(common, "h").withColumn("at", F.row_number().over(of_node.orderBy("n", "h"))).withColumn("m", F.count("*").over(of_node))
@@ -269,7 +271,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, place, component_id, stays of every row: components over pairs of similar texts.
 
-    ``place`` is Spark's xxhash64 of id and text. component_id is the smallest
+    ``place`` is 128 hash bits of id and text. component_id is the smallest
     id of the component; null ids never name one unless all are null. In each
     component the row of the smallest id (then of the smallest place) stays,
     and rows that repeat it as a whole are marked alike. Different texts of one
@@ -277,20 +279,26 @@ def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     are equal to each other. Whole texts are read, however long; other columns,
     whatever their names, are ignored; an empty table gives an empty result.
     """
-    place = F.xxhash64(F.col(id_col), F.col(text_col))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("place"), F.col(text_col).alias("text"))
-    rows = checkpointed(sketches(docs, shingle))
-    # Equal sets are one node, named for the row that would stay. Numbers of a checkpoint's rows do not change.
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), place_of(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession, "near") as keep:
+        return checkpointed(near_in(docs, shingle, similarity, keep))
+
+
+def near_in(docs: DataFrame, shingle: int, similarity: float, keep: Scratch) -> DataFrame:
+    """``near_texts`` of (doc_id, place, text), with what it writes on the way in ``keep``."""
+    rows = keep(sketches(docs, shingle), "rows")
+    # Equal sets are one node, named for the row that would stay; its number is written with it.
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    nodes = checkpointed(rows.groupBy("digest").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
+    nodes = rows.groupBy("digest").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     last = F.lit((1 << 63) - 1)
-    keyed = checkpointed(nodes.select(F.explode("keys").alias("key"), F.struct(F.coalesce("first.doc_id", last).alias("id"), "node", "size", "fp").alias("n")))
+    keyed = keep(nodes.select(F.explode("keys").alias("key"), F.struct(F.coalesce("first.doc_id", last).alias("id"), "node", "size", "fp").alias("n")), "keyed")
     # Pivots of a bucket: its smallest id, and one by chance.
     chance = F.struct(F.xxhash64("key", "n.node").alias("h"), "n")
     pivots = keyed.groupBy("key").agg(F.min("n").alias("p"), F.min(chance).alias("r"), F.count("*").alias("members")).filter("members > 1")
-    met = checkpointed(keyed.join(pivots, "key").select("key", "n", "p", F.col("r.n").alias("r")))
+    met = keep(keyed.join(pivots, "key").select("key", "n", "p", F.col("r.n").alias("r")), "met")
+    keep.drop("keyed")
 
     def near(a: Column, b: Column) -> Column:
         """Whether sizes and fingerprints allow the similarity."""
@@ -300,14 +308,16 @@ def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
         return (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9) & ring
 
     tried = met.select("n", F.explode(F.array("p", "r")).alias("p")).filter((F.col("n.node") != F.col("p.node")) & near(F.col("n"), F.col("p")))
-    edges = checkpointed(verified(tried.select(F.least("p.node", "n.node").alias("u"), F.greatest("p.node", "n.node").alias("v")), docs, nodes, shingle, similarity))
-    roots = checkpointed(connected_components(edges))
+    edges = verified(tried.select(F.least("p.node", "n.node").alias("u"), F.greatest("p.node", "n.node").alias("v")), docs, nodes, shingle, similarity, keep, "near")
+    roots = connected_components(edges)
 
     # Buckets that still hold several components: their members meet once more, by rare shingles.
     own = met.select("key", F.col("n.node").alias("node"), "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = checkpointed(own.join(several, "key", "left_semi").select("node", F.col("n").alias("set"), "root").distinct())
-    rare = checkpointed(rare_shingles(rest, docs, nodes, shingle, similarity))
+    rest = keep(own.join(several, "key", "left_semi").select("node", F.col("n").alias("set"), "root").distinct(), "rest")
+    keep.drop("met")
+    rare = keep(rare_shingles(rest, docs, nodes, shingle, similarity, keep), "rare")
+    keep.drop("shingles")
     # Shingles of the same nodes bring the same pairs: the first in order is enough.
     of_nodes = rare.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     rare = rare.join(of_nodes.filter("k > 1").groupBy("k", "x", "y").agg(F.min(F.struct("n", "h")).alias("first")).select("first.h"), "h", "left_semi")
@@ -316,10 +326,12 @@ def near_texts(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
     behind = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) + 1
     enough = behind >= similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-9
     crossed = side("a").join(side("b"), "h").filter((F.col("a.node") < F.col("b.node")) & (F.col("a_root") != F.col("b_root")) & enough & near(F.col("a"), F.col("b")))
-    more = verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), docs, nodes, shingle, similarity)
-    found = connected_components(edges.unionByName(more))
-
-    named = nodes.select("node", "digest", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), docs, nodes, shingle, similarity, keep, "more")
+    # What was found first is settled: only its components are tied to each other.
+    tied = more.join(roots.select(F.col("node").alias("u"), F.col("root").alias("u_root")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("v_root")), "v", "left")
+    over = connected_components(tied.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")))
+    named = nodes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").withColumn("root", F.coalesce("over", "root"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
     classes = named.join(best, "root").select("digest", "best")
     out = rows.select("doc_id", "place", "digest").join(classes, "digest")
