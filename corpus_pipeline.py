@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigilo.llm import exact_dedup, language_id, packing, secrets, simhash
-from sigilo.llm.common import checkpointed, fresh, shared_folder
+from sigilo.llm.common import checkpointed, fresh, place_of, removed, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def rows_that_stay(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose hash of id and text is in ``stay`` (place, copies), each once."""
+    """The rows of ``docs`` whose 128 hash bits of id and text are in ``stay`` (place, copies), each once."""
     mark = fresh("place", docs.columns)
-    stay, keyed = checkpointed(stay), docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    stay, keyed = checkpointed(stay), docs.withColumn(mark, place_of("doc_id", "text"))
     out = keyed.join(stay.filter("copies = 1").select(F.col("place").alias(mark)), mark, "left_semi")
     again = stay.filter("copies > 1").select(F.col("place").alias(mark))
     if again.limit(1).count():  # rows that are repeated as a whole, id and all
@@ -87,9 +87,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over ``documents``."""
+    """The result of all stages over ``documents``; a stage's rows are deleted when its successor's are written."""
     docs, place = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            removed(spark, f"{place}/{k - 1}")
     return docs
