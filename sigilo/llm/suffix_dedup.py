@@ -34,7 +34,7 @@ from .common import checkpointed
 
 WIDTH, GRAM = 100, 32
 #: Bytes that a task handles together, and the longest piece of one text.
-CHUNK_BYTES, PIECE = 1_500_000, 4_000_000
+CHUNK_BYTES, PIECE = 900_000, 1_000_000
 POSITION_BITS = 24
 U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -47,7 +47,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64, ``n`` or more of them."""
     if which not in _powers or len(_powers[which][0]) < n:
-        size = 1 << max(21, n.bit_length())
+        size = 1 << max(20, n.bit_length())
         base = int(BASES[which])
         inverse = pow(base, -1, 1 << 64)
         out = []
