@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_title, empty_if_null, is_event_title, matches, needs_ocr, sanitize_filename, squeeze, strip_separator_noise
+from ..sources.shared import checkpointed
 
 #: A line starts where the vertical step is above this.
 LINE_STEP = 8.0
@@ -74,23 +75,45 @@ def resolve_outline(outline: DataFrame, named: DataFrame, references: DataFrame)
     return out.join(references.select("doc_id", "ref", "page"), ["doc_id", "ref"], "left").drop("ref", "__named")
 
 
-#: Levels of an outline; one that is deeper is an error, not cut.
-OUTLINE_DEPTH = 1000
+def _upward(nodes: DataFrame, more: list[str]) -> DataFrame:
+    """``nodes`` (doc_id, node_id, up, lost, ...) with what stands at ``up`` beside it: ``next``, ``up_lost`` and the columns ``more`` with a mark."""
+    above = nodes.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("lost").alias("up_lost"), *[F.col(c).alias(f"up_{c}") for c in more])
+    return nodes.join(above, ["doc_id", "up"], "left")
 
 
-def flatten_outline(outline: DataFrame) -> DataFrame:
-    """(doc_id, ord, title, page): the outline's nodes in pre-order, by recursion over (doc_id, node_id, parent_id, ordinal, title, page).
+def _lost() -> Column:
+    return F.col("lost") | (F.col("up").isNotNull() & F.coalesce("up_lost", F.lit(True)))
+
 
-    Nodes whose parent is missing belong to no tree and fall away.
+def flatten_outline(outline: DataFrame) -> DataFrame:
+    """(doc_id, ord, title, page): the outline's nodes in pre-order, from (doc_id, node_id, parent_id, ordinal, title, page).
+
+    By pointer doubling over the parents: each round looks twice as far up, so
+    there are as many rounds as the depth has binary digits, whatever the
+    number of nodes. Sizes of subtrees come first; a node then stands behind
+    its parent and its earlier siblings' subtrees, and these steps are summed
+    upwards. Nodes whose parent is missing, and those in or under a ring of
+    parents, belong to no tree and fall away; of rows of one node the smallest
+    counts, and siblings of one ordinal are ordered by their numbers.
     """
-    walk = f"""
-    WITH RECURSIVE tree(doc_id, node_id, path, title, page) MAX RECURSION LEVEL {OUTLINE_DEPTH} AS (
-      SELECT doc_id, node_id, array(cast(ordinal AS bigint)), title, page FROM {{outline}} WHERE parent_id IS NULL
-      UNION ALL
-      SELECT c.doc_id, c.node_id, concat(t.path, array(cast(c.ordinal AS bigint))), c.title, c.page
-      FROM tree t JOIN {{outline}} c ON c.doc_id = t.doc_id AND c.parent_id = t.node_id)
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS ord, title, page FROM tree"""
-    return outline.sparkSession.sql(walk, outline=outline.select("doc_id", "node_id", "parent_id", "ordinal", "title", "page"))
+    own = F.min(F.struct("parent_id", "ordinal", "title", "page")).alias("own")
+    rows = checkpointed(outline.groupBy("doc_id", "node_id").agg(own).select("doc_id", "node_id", "own.*"))
+    most = rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    now = rows.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), F.lit(1).cast("long").alias("size"))
+    for _ in range(most.bit_length() + 1):
+        below = now.filter("up IS NOT NULL AND NOT lost").groupBy("doc_id", F.col("up").alias("node_id")).agg(F.sum("size").alias("below"))
+        met = _upward(now, []).withColumn("lost", _lost()).join(below, ["doc_id", "node_id"], "left")
+        now = checkpointed(met.select("doc_id", "node_id", F.when(~F.col("lost"), F.col("next")).alias("up"), "lost", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")))
+        if not now.filter("up IS NOT NULL").limit(1).count():
+            break
+    # What still has a way up after so many rounds never comes to a root.
+    good = rows.join(now.filter("up IS NULL AND NOT lost").select("doc_id", "node_id", "size"), ["doc_id", "node_id"])
+    before = F.sum("size").over(Window.partitionBy("doc_id", "parent_id").orderBy("ordinal", "node_id").rowsBetween(Window.unboundedPreceding, -1))
+    step = F.coalesce(before, F.lit(0)) + F.col("parent_id").isNotNull().cast("long")
+    now = checkpointed(good.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), step.alias("at")))
+    while now.filter("up IS NOT NULL").limit(1).count():
+        now = checkpointed(_upward(now, ["at"]).select("doc_id", "node_id", F.col("next").alias("up"), "lost", (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at")))
+    return rows.join(now, ["doc_id", "node_id"]).select("doc_id", F.col("at").cast("int").alias("ord"), "title", "page")
 
 
 def event_ranges(items: DataFrame, totals: DataFrame, only_event_titles: bool = False) -> DataFrame:

@@ -91,15 +91,35 @@ def admitted(files: DataFrame, mode: str) -> DataFrame:
     return _keyed(render.admission(sized, F.lit(mode)).filter(F.col("accepted") & readers.is_pdf(F.col("content"))))
 
 
-def substitute(files: DataFrame, pages: DataFrame, lines: DataFrame | None = None, seed: int = 0) -> DataFrame:
+def pages_of(files: DataFrame, by_lines: bool = False) -> DataFrame:
+    """(doc_id, page, text) of the files' pages, from their bytes: whole, or line by line; a page that shows no text is empty."""
+    items = readers.text_items(files)
+    text = segment.page_lines(items) if by_lines else segment.page_text(items)
+    return readers.page_index(files).select("doc_id", "page").join(text, ["doc_id", "page"], "left").withColumn("text", empty_if_null(F.col("text")))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(doc_id, page, lines): the lines of the files' pages from the top down, from their bytes."""
+    lines = segment.group_lines(readers.text_items(files))
+    return lines.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).getField("text").alias("lines"))
+
+
+def outline_of(files: DataFrame) -> DataFrame:
+    """(doc_id, node_id, parent_id, ordinal, title, page) of the files' outlines; a destination that leads nowhere has a null page."""
+    return segment.resolve_outline(readers.outline_nodes(files), readers.named_destinations(files), readers.page_index(files)).select("doc_id", "node_id", "parent_id", "ordinal", "title", "page")
+
+
+def substitute(files: DataFrame, pages: DataFrame | None = None, lines: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """Fictitious data for the sensitive record of each document.
 
     ``files`` is (doc_id, path, content), ``pages`` (doc_id, page, text),
-    ``lines`` (doc_id, page, lines). Returns doc_id, name, content (null where
-    withheld), ok, expected, applied, unreplaced, unmatched, status, and the
-    fictitious name and CPF.
+    ``lines`` (doc_id, page, lines); without ``pages`` both are read from the
+    files. Returns doc_id, name, content (null where withheld), ok, expected,
+    applied, unreplaced, unmatched, status, and the fictitious name and CPF.
     """
     own = admitted(files, "cnis")
+    if pages is None:
+        pages, lines = pages_of(own), lines_of(own)
     record = extract.extract_record(_keyed(pages), None if lines is None else _keyed(lines))
     if lines is None:
         empty = F.array().cast("array<string>")
@@ -130,13 +150,15 @@ def counted(docs: DataFrame, first_names: DataFrame) -> DataFrame:
     return names.count_names(detect.findings(docs), first_names)
 
 
-def redact(files: DataFrame, pages: DataFrame, first_names: DataFrame) -> DataFrame:
+def redact(files: DataFrame, pages: DataFrame | None, first_names: DataFrame) -> DataFrame:
     """Court files with every detected value masked in place.
 
-    Returns doc_id, content (null where withheld), ok, expected, applied,
+    ``pages`` (doc_id, page, text) may be None: then they are read from the
+    files. Returns doc_id, content (null where withheld), ok, expected, applied,
     unreplaced, unmatched, status and findings in words.
     """
     own = admitted(files, "processo-judicial")
+    pages = pages_of(own) if pages is None else pages
     whole = _keyed(pages).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", squeeze(F.col("text")).alias("t")))).alias("all"))
     docs = whole.select("doc_id", F.array_join("all.t", "\n").alias("text"))
     mapped = names.map_pairs(docs, first_names)
@@ -225,6 +247,18 @@ def split(
     return render.outputs(own, process, report), summary.withColumn("zip", named)
 
 
+def split_files(files: DataFrame, first_names: DataFrame | None = None, enable_ocr: bool = True, missing: str = "placeholder", provider: Provider | None = None) -> tuple[DataFrame, DataFrame]:
+    """``split`` of files (doc_id, path, content) alone: pages and outlines are read from their bytes.
+
+    A document is one file, named as a PDF in any case, within the mode's
+    limit; others are left out.
+    """
+    one = readers.one_pdf_each(files).filter("accepted").drop("accepted")
+    own = admitted(one.withColumn("path", F.regexp_replace("path", r"(?i)\.pdf\z", ".pdf")), "extrair-pecas")
+    docs = own.select("doc_id", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"))
+    return split(docs, pages_of(own, by_lines=True), outline_of(own), first_names, enable_ocr, missing, provider)
+
+
 def zipped(outputs: DataFrame) -> DataFrame:
     """(doc_id, content): each document's outputs as one ZIP file, written in the order index, report, whole, events."""
     import io
