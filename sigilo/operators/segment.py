@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_title, empty_if_null, is_event_title, matches, needs_ocr, sanitize_filename, squeeze, strip_separator_noise
-from ..sources.shared import checkpointed
+from ..sources.shared import Scratch, checkpointed, scratch
 
 #: A line starts where the vertical step is above this.
 LINE_STEP = 8.0
@@ -96,23 +96,29 @@ def flatten_outline(outline: DataFrame) -> DataFrame:
     parents, belong to no tree and fall away; of rows of one node the smallest
     counts, and siblings of one ordinal are ordered by their numbers.
     """
+    with scratch(outline.sparkSession, "outline") as keep:
+        return checkpointed(_flattened(outline, keep))
+
+
+def _flattened(outline: DataFrame, keep: Scratch) -> DataFrame:
     own = F.min(F.struct("parent_id", "ordinal", "title", "page")).alias("own")
-    rows = checkpointed(outline.groupBy("doc_id", "node_id").agg(own).select("doc_id", "node_id", "own.*"))
+    rows = keep(outline.groupBy("doc_id", "node_id").agg(own).select("doc_id", "node_id", "own.*"), "rows")
     most = rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
     now = rows.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), F.lit(1).cast("long").alias("size"))
-    for _ in range(most.bit_length() + 1):
+    for n in range(most.bit_length() + 1):
         below = now.filter("up IS NOT NULL AND NOT lost").groupBy("doc_id", F.col("up").alias("node_id")).agg(F.sum("size").alias("below"))
         met = _upward(now, []).withColumn("lost", _lost()).join(below, ["doc_id", "node_id"], "left")
-        now = checkpointed(met.select("doc_id", "node_id", F.when(~F.col("lost"), F.col("next")).alias("up"), "lost", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")))
+        now = keep(met.select("doc_id", "node_id", F.when(~F.col("lost"), F.col("next")).alias("up"), "lost", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), f"size-{n}")
         if not now.filter("up IS NOT NULL").limit(1).count():
             break
     # What still has a way up after so many rounds never comes to a root.
     good = rows.join(now.filter("up IS NULL AND NOT lost").select("doc_id", "node_id", "size"), ["doc_id", "node_id"])
     before = F.sum("size").over(Window.partitionBy("doc_id", "parent_id").orderBy("ordinal", "node_id").rowsBetween(Window.unboundedPreceding, -1))
     step = F.coalesce(before, F.lit(0)) + F.col("parent_id").isNotNull().cast("long")
-    now = checkpointed(good.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), step.alias("at")))
+    now, n = keep(good.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), step.alias("at")), "at-0"), 0
     while now.filter("up IS NOT NULL").limit(1).count():
-        now = checkpointed(_upward(now, ["at"]).select("doc_id", "node_id", F.col("next").alias("up"), "lost", (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at")))
+        n += 1
+        now = keep(_upward(now, ["at"]).select("doc_id", "node_id", F.col("next").alias("up"), "lost", (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at")), f"at-{n}")
     return rows.join(now, ["doc_id", "node_id"]).select("doc_id", F.col("at").cast("int").alias("ord"), "title", "page")
 
 
