@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed, shared_folder
+from ..sources.shared import Scratch, checkpointed, removed, scratch, shared_folder
 
 __all__ = ["PLACE", "Scratch", "checkpointed", "fresh", "place_of", "removed", "scratch", "shared_folder", "slim", "table"]
 
@@ -32,12 +28,6 @@ def slim(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def removed(spark: SparkSession, place: str) -> None:
-    """Deletes a folder, in whatever store it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def place_of(id_col: str, text_col: str) -> Column:
     """128 bits of hashes of a row's id and text, by which it is known where ids may be null or repeat."""
     i, t = F.col(id_col), F.col(text_col)
@@ -46,27 +36,3 @@ def place_of(id_col: str, text_col: str) -> Column:
 
 #: The type of ``place_of``.
 PLACE = "struct<a:bigint,b:bigint>"
-
-
-class Scratch:
-    """Frames written as Parquet to a folder in the shared one, and read again."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.place = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def __call__(self, df: DataFrame, of: str) -> DataFrame:
-        df.write.parquet(f"{self.place}/{of}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.place}/{of}")
-
-    def drop(self, of: str) -> None:
-        removed(self.spark, f"{self.place}/{of}")
-
-
-@contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[Scratch]:
-    """A ``Scratch`` whose files are deleted at the end, also after a failure; what is to last must be checkpointed within."""
-    own = Scratch(spark, name)
-    try:
-        yield own
-    finally:
-        removed(spark, own.place)

@@ -7,8 +7,10 @@ digits, punctuation). A bidirectional LSTM in numpy reads the whole sequence
 and labels every block; the main text is the blocks labelled as content.
 
 The model is trained here, from a fixed seed, on generated layouts and on a
-bounded sample of the given pages, whose blocks are labelled where their tags
-or classes leave no doubt. A share of these pages is shown with neutral tags
+bounded sample of the given pages, whose blocks are labelled where the tags or
+classes of what they stand in leave no doubt. An element that holds most of a
+page's text, as a body or a wrapper does, is no boilerplate whatever its theme
+calls it: such words are left out before anything is learned or labelled. A share of these pages is shown with neutral tags
 and names, so that text, place and neighbours are learned too. The model does
 not depend on the order of the rows.
 """
@@ -31,10 +33,14 @@ INPUT = PATH_DIMS + WORD_DIMS + SHAPES
 SAMPLE_PAGES, SAMPLE_BLOCKS, LAYOUTS, STEPS, BATCH = 64, 200, 320, 240, 24
 #: The share of training pages that are shown with neutral tags and names, so that text and neighbours must tell.
 UNNAMED = 0.3
+#: Characters of a page that training may take; the share of an element's parent in its path vector.
+SAMPLE_CHARS, DECAY = 262_144, 0.9
 SEED = 11
 
 #: Fixed values of HTML: elements without end tag, of raw text, and set within a line.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Of the elements of raw text these end with the page if they are never closed; the others then hold ordinary markup.
+TO_THE_END = ("script", "style", "textarea")
 RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "textarea", "select")
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: Elements that end an open paragraph or an open item of their own kind.
@@ -106,40 +112,107 @@ class Tags:
         return None if k >= n else (m.start(), k + 1, (m[4] or "").lower(), m[3] == "/", self.source[m.end() : k])
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters inside links) of every leaf block, in page order.
+class Node:
+    """An element: its tag and the words of its class, id and role, joined by blanks, and the element it stands in."""
 
-    Path elements are the tag and the words of its class, id and role, joined
-    by blanks. Character references are decoded and white space is one blank.
+    __slots__ = ("element", "hidden", "parent", "tag")
+
+    def __init__(self, element: str, parent: Node | None = None) -> None:
+        self.element, self.parent = element, parent
+        self.tag = element.split(" ", 1)[0]
+        self.hidden = self.tag in ("head", "title") or parent is not None and parent.hidden
+
+    def child(self, *elements: str) -> Node:
+        node = self
+        for e in elements:
+            node = Node(e, node)
+        return node
+
+    def up(self) -> Iterator[Node]:
+        """The element and all that it stands in."""
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+
+Block = tuple[Node, str, int]
+
+
+class Open:
+    """The elements that are open, with the places of each name, so that no tag looks at more of them than it closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        #: Places of elements that are not set within a line, and of those that an open paragraph or item does not reach beyond.
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, element: str) -> None:
+        node, place = Node(element, self.stack[-1] if self.stack else None), len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(place)
+        if node.tag not in INLINE:
+            self.blocks.append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+
+    def last(self, name: str) -> int:
+        own = self.at.get(name)
+        return own[-1] if own else -1
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            place, node = len(self.stack) - 1, self.stack.pop()
+            self.at[node.tag].pop()
+            for places in (self.blocks, self.scopes):
+                if places and places[-1] == place:
+                    places.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag; one within a line closes nothing beyond the block it stands in."""
+        place = self.last(name)
+        if place >= 0 and (name not in INLINE or place > (self.blocks[-1] if self.blocks else -1)):
+            self.pop(place)
+
+    def make_room(self, name: str) -> None:
+        """Ends the open paragraph, and an open item of the kind that ``name`` ends."""
+        place = max(self.last(n) for n in ("p", *CLOSES.get(name, ())))
+        if place >= 0 and place >= (self.scopes[-1] if self.scopes else -1):
+            self.pop(place)
+
+
+def blocks(page: str | None) -> list[Block]:
+    """(element, text, characters inside links) of every leaf block, in page order, in time linear in the page.
+
+    Character references are decoded and white space is one blank.
     """
     source, out = page or "", []
-    stack: list[tuple[str, str]] = []
+    opened = Open()
     buffer: list[str] = []
-    where: tuple[str, ...] | None = None
-    linked, links, at = 0, 0, 0
+    where: Node | None = None
+    linked, at = 0, 0
+    unclosed: set[str] = set()
+    top = Node("")
 
     def add(raw: str) -> None:
         nonlocal where, linked
         if raw:
             if where is None and not raw.isspace():
-                where = tuple(s[1] for s in stack)
+                where = opened.stack[-1] if opened.stack else top
             buffer.append(raw)
-            if links:
+            if opened.last("a") >= 0:
                 linked += len(raw.strip())
 
     def flush() -> None:
         nonlocal where, linked
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
-            out.append((where or (), text, min(linked, len(text))))
+            out.append((where or top, text, min(linked, len(text))))
         buffer.clear()
         where, linked = None, 0
 
-    def pop(to: int) -> None:
-        nonlocal links
-        links -= sum(s[0] == "a" for s in stack[to:])
-        del stack[to:]
-
     tags = Tags(source)
     while tag := tags.next(at):
         begin, end_at, name, closing, rest = tag
@@ -152,34 +225,76 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if name == "br":
             buffer.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            opened.close(name)
             continue
         if name in VOID or rest.endswith("/") and name in RAW:
             continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-            at = end.end() if end else len(source)
+        if name in RAW and name not in unclosed:
+            end = re.compile(rf"</{name}\b", re.IGNORECASE).search(source, at)
+            if end:
+                at = min(tags.close(end.end()) + 1, len(source))
+                continue
+            unclosed.add(name)
+        if name in RAW and name in TO_THE_END:
+            at = len(source)
             continue
-        if name not in INLINE:  # an open paragraph ends here, and so does an open item
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(name, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+        if name not in INLINE:
+            opened.make_room(name)
         words = [name]
         for a in ATTRIBUTE.finditer(rest):
             words += NAME.findall((a[2] or a[3] or a[4] or "").lower())
-        stack.append((name, " ".join(words)))
-        links += name == "a"
+        opened.push(" ".join(words))
     add(source[at:])
     flush()
-    return [b for b in out if not (b[0] and any(e.split(" ", 1)[0] in ("head", "title") for e in b[0]))]
+    return [b for b in out if not b[0].hidden]
+
+
+def tells(node: Node) -> int:
+    """1 content, 0 boilerplate, -1 neither or both, by an element's own tag and words."""
+    words = set(node.element.split(" ")[1:])
+    content, other = bool(words & CONTENT), bool(words & BOILERPLATE)
+    if node.tag in BOILERPLATE:
+        return 0
+    if node.tag in ("article", "main"):
+        return -1 if other else 1
+    return -1 if content == other or node.tag in ("html", "body") else int(content)
+
+
+def tidied(page: list[Block]) -> dict[Node, str]:
+    """The elements of a page as they are read: without words of boilerplate where they hold most of the page.
+
+    That is an element with more than half of the page's text that is or holds
+    content, and the one article or main element of the most text if its words
+    say both.
+    """
+    size: dict[Node, int] = {}
+    order: list[Node] = []
+    for node, text, _ in page:
+        fresh = []
+        for n in node.up():
+            if n in size:
+                break
+            fresh.append(n)
+        for n in reversed(fresh):  # what an element stands in comes before it
+            size[n] = 0
+            order.append(n)
+        size[node] += len(text)
+    holds: set[Node] = set()
+    for n in reversed(order):
+        if tells(n) == 1 or n.tag in ("article", "main"):
+            holds.add(n)
+        if n.parent is not None:
+            size[n.parent] += size[n]
+            if n in holds:
+                holds.add(n.parent)
+    whole = sum(len(text) for _, text, _ in page)
+    largest = max((n for n in order if n.tag in ("article", "main")), key=lambda n: size[n], default=None)
+    out = {}
+    for n in order:
+        mixed = n is largest and bool(set(n.element.split(" ")[1:]) & CONTENT)
+        clean = n.tag in ("html", "body") or n in holds and 2 * size[n] > whole or mixed
+        out[n] = " ".join(w for k, w in enumerate(n.element.split(" ")) if not (clean and w in BOILERPLATE and (k or size[n] * 2 > whole))) if clean else n.element
+    return out
 
 
 _hashes: dict[str, int] = {}
@@ -194,90 +309,110 @@ def hashed(word: str) -> int:
     return h
 
 
-def features(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def features(page: list[Block]) -> np.ndarray:
     """The input vectors of a page's blocks."""
     x = np.zeros((len(page), INPUT), dtype=np.float32)
-    seen: dict[tuple[str, ...], np.ndarray] = {}
-    for k, (path, text, linked) in enumerate(page):
-        if path not in seen:
-            v = np.zeros(PATH_DIMS, dtype=np.float32)
-            for depth, element in enumerate(reversed(path)):
-                for word in element.split(" "):
-                    h = hashed(word)
-                    v[h % PATH_DIMS] += (1.0 if h & 0x10000 else -1.0) / (1 + 0.1 * depth)
-            seen[path] = np.clip(v, -2, 2)
-        x[k, :PATH_DIMS] = seen[path]
+    element = tidied(page)
+    vectors: dict[Node, np.ndarray] = {}
+
+    def of(node: Node) -> np.ndarray:
+        """An element's words, and in lesser share those of all that it stands in."""
+        fresh = []
+        for n in node.up():
+            if n in vectors:
+                break
+            fresh.append(n)
+        for n in reversed(fresh):
+            v = vectors[n.parent] * np.float32(DECAY) if n.parent is not None else np.zeros(PATH_DIMS, dtype=np.float32)
+            for word in element[n].split(" "):
+                h = hashed(word)
+                v[h % PATH_DIMS] += 1.0 if h & 0x10000 else -1.0
+            vectors[n] = v
+        return vectors[node]
+
+    for k, (node, text, linked) in enumerate(page):
+        x[k, :PATH_DIMS] = np.clip(of(node), -2, 2)
         words = text.split(" ")
         counts = np.bincount([hashed(w) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.sqrt((counts**2).sum())
         n = len(text)
         x[k, PATH_DIMS + WORD_DIMS :] = (
             np.log1p(n) / 8, linked / n, min(1, len(words) / 50), sum(text.count(c) for c in ".,;:!?") / n * 5, text.endswith((".", "!", "?")),
-            any(e.startswith(("h1", "h2", "h3")) for e in path[-1:]), k / len(page), 1.0,
+            node.tag in ("h1", "h2", "h3"), k / len(page), 1.0,
         )
     return x
 
 
-def sure_label(path: tuple[str, ...]) -> int:
-    """1 content, 0 boilerplate, -1 unknown, by the words of a block's path."""
-    words = {w for e in path for w in e.split(" ")}
-    if words & BOILERPLATE:
-        return 0
-    return 1 if words & {"article", "main"} or any(set(e.split(" ")[1:]) & CONTENT for e in path) else -1
+def sure_labels(page: list[Block]) -> list[int]:
+    """1 content, 0 boilerplate, -1 unknown of every block, by the elements it stands in as ``tidied`` has them."""
+    element = tidied(page)
+    said = {n: tells(Node(e)) if e else -1 for n, e in element.items()}
+    out = []
+    for node, *_ in page:
+        own = {said[n] for n in node.up()}
+        out.append(0 if 0 in own else 1 if 1 in own else -1)
+    return out
+
 
+def sure_label(node: Node) -> int:
+    """``sure_labels`` of a block by itself."""
+    return sure_labels([(node, "x", 0)])[0]
 
-def layout(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], str, int]], list[int]]:
+
+def layout(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """A generated page as blocks, and its labels."""
     syllables = "an er th on re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve que ción sch ung aux ment eau".split()
     word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
     text = lambda lo, hi: " ".join(word() for _ in range(rng.integers(lo, hi))).capitalize() + rng.choice([".", ".", "", "!"])
     names = lambda pool: " ".join(rng.choice(sorted(pool), rng.integers(1, 3)))
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    out: list[Block] = []
     labels: list[int] = []
-    top = ("html", "body") if rng.random() < 0.6 else ("html", "body", "div " + str(rng.choice(["wrapper", "container", "page", "site"])))
+    top = Node("html").child("body")
+    if rng.random() >= 0.6:
+        top = top.child("div " + str(rng.choice(["wrapper", "container", "page", "site"])))
 
-    def put(path: tuple[str, ...], s: str, linked: bool, label: int) -> None:
+    def put(path: Node, s: str, linked: bool, label: int) -> None:
         out.append((path, s, len(s) if linked else 0))
         labels.append(label)
 
-    def boiler(path: tuple[str, ...]) -> None:
+    def boiler(path: Node) -> None:
         kind = rng.integers(0, 5)
         tag = str(rng.choice(["nav", "header", "footer", "aside", "form", "div", "section", "ul", "div"]))
         own = tag if tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.6 else f"{tag} {names(BOILERPLATE)}"
-        path = (*path, own)
+        path = path.child(own)
         if kind == 0:
             for _ in range(rng.integers(2, 9)):
-                put((*path, "ul", "li", "a"), text(1, 3).rstrip(".!"), True, 0)
+                put(path.child("ul", "li", "a"), text(1, 3).rstrip(".!"), True, 0)
         elif kind == 1:
-            put((*path, "p") if rng.random() < 0.5 else path, text(2, 40), False, 0)
+            put(path.child("p") if rng.random() < 0.5 else path, text(2, 40), False, 0)
         elif kind == 2:
             for _ in range(rng.integers(1, 5)):
-                put((*path, "div", "p"), text(3, 60), False, 0)
+                put(path.child("div", "p"), text(3, 60), False, 0)
         elif kind == 3:
-            put((*path, "h3"), text(1, 4), False, 0)
-            put((*path, "p"), text(4, 30), rng.random() < 0.3, 0)
+            put(path.child("h3"), text(1, 4), False, 0)
+            put(path.child("p"), text(4, 30), rng.random() < 0.3, 0)
         else:
             put(path, text(2, 12), rng.random() < 0.5, 0)
 
     for _ in range(rng.integers(1, 4)):
         boiler(top)
     style = rng.integers(0, 4)
-    body = (*top, "article") if style < 2 else (*top, "main") if style == 2 else (*top, f"div {names(CONTENT)}")
+    body = top.child("article" if style < 2 else "main" if style == 2 else f"div {names(CONTENT)}")
     if rng.random() < 0.3:
-        body = (*body, f"div {names(CONTENT)}")
+        body = body.child(f"div {names(CONTENT)}")
     if rng.random() < 0.8:
-        put((*body, "h1"), text(2, 12), False, 1)
+        put(body.child("h1"), text(2, 12), False, 1)
     for _ in range(rng.integers(1, 30)):
         r = rng.random()
         if r < 0.72:
-            put((*body, "p") if rng.random() < 0.9 else (*body, "p", "b"), text(1, 90) if rng.random() < 0.8 else text(1, 4), False, 1)
+            put(body.child("p") if rng.random() < 0.9 else body.child("p", "b"), text(1, 90) if rng.random() < 0.8 else text(1, 4), False, 1)
         elif r < 0.8:
-            put((*body, "h2"), text(1, 7), False, 1)
+            put(body.child("h2"), text(1, 7), False, 1)
         elif r < 0.86:
-            put((*body, "blockquote", "p"), text(4, 40), False, 1)
+            put(body.child("blockquote", "p"), text(4, 40), False, 1)
         elif r < 0.95:
             for _ in range(rng.integers(1, 6)):
-                put((*body, "ul", "li"), text(1, 15), rng.random() < 0.1, 1)
+                put(body.child("ul", "li"), text(1, 15), rng.random() < 0.1, 1)
         else:
             boiler(body)
     for _ in range(rng.integers(1, 4)):
@@ -347,12 +482,15 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def unnamed(path: tuple[str, ...]) -> tuple[str, ...]:
-    """A path without names, and without the tags that tell by themselves."""
-    return tuple("div" if (tag := e.split(" ", 1)[0]) in BOILERPLATE or tag in CONTENT or tag == "section" else tag for e in path)
+def unnamed(node: Node) -> Node:
+    """An element without names, and without the tags that tell by themselves, and so all that it stands in."""
+    out: Node | None = None
+    for n in reversed(list(node.up())):
+        out = Node("div" if n.tag in BOILERPLATE or n.tag in CONTENT or n.tag == "section" else n.tag, out)
+    return out
 
 
-def train(pages: list[list[tuple[tuple[str, ...], str, int]]], steps: int = STEPS, layouts: int = LAYOUTS) -> dict[str, np.ndarray]:
+def train(pages: list[list[Block]], steps: int = STEPS, layouts: int = LAYOUTS) -> dict[str, np.ndarray]:
     """Parameters fitted by Adam on generated layouts and on the given pages' sure blocks."""
     rng = np.random.default_rng(SEED)
     data = []
@@ -362,10 +500,10 @@ def train(pages: list[list[tuple[tuple[str, ...], str, int]]], steps: int = STEP
             page = [(unnamed(path), text, linked) for path, text, linked in page]
         data.append((features(page), np.array(labels)))
     for page in pages:
-        page = page[:SAMPLE_BLOCKS]  # of training pages alone; labelling always reads whole pages
-        if page:
-            labels = np.array([sure_label(b[0]) for b in page])
-            data.append((features(page), labels))
+        if page:  # the first blocks of training pages alone; labelling always reads whole pages
+            labels, x = np.array(sure_labels(page)), features(page)
+            page, labels, x = page[:SAMPLE_BLOCKS], labels[:SAMPLE_BLOCKS], x[:SAMPLE_BLOCKS]
+            data.append((x, labels))
             if rng.random() < UNNAMED:
                 data.append((features([(unnamed(path), text, linked) for path, text, linked in page]), labels))
     p = initial(rng)
@@ -415,8 +553,8 @@ def label(p: dict[str, np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]
 
 
 def sample_pages(pages: DataFrame, html_col: str, n: int) -> list[str]:
-    """``n`` pages at most, by a hash of their html."""
-    rows = pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
+    """``n`` pages of bounded length at most, by a hash of their html."""
+    rows = pages.filter(F.length(html_col) <= SAMPLE_CHARS).select(F.col(html_col).alias("html"))
     kept = rows.withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(n)
     return [r.html for r in kept.collect()]
 
