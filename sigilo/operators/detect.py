@@ -14,7 +14,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import DETECTORS, PROCESS, Detector
@@ -223,3 +223,21 @@ def total_findings(names: Column | None = None) -> Column:
     """Sum of sensitive findings; process numbers do not count."""
     parts = [F.coalesce(F.col(c), F.lit(0)) for c in ("cpfs", "nits", "oabs", "crms", "addresses", "identifiers")]
     return sum(parts, F.lit(0) if names is None else F.coalesce(names, F.lit(0))).cast("long")
+
+
+class EmitPairs:
+    """The body of a table function over (doc_id, page, text): the pairs of a partition's texts; of equal originals the first counts."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+
+    def eval(self, row: Row) -> Iterable[tuple]:
+        for k, (original, (substitute, kind)) in enumerate(Text(row["text"] or "").pairs(DETECTORS).items()):
+            if original not in self.seen:
+                self.seen.add(original)
+                yield row["doc_id"], row["page"], k, original, substitute, kind
+
+
+def register_emit_pairs(spark: SparkSession, name: str = "emit_pairs") -> None:
+    """Makes ``emit_pairs(TABLE(t) PARTITION BY doc_id ORDER BY page)`` known to SQL: (doc_id, page, k, o, s, kind), a row per pair."""
+    spark.udtf.register(name, F.udtf(EmitPairs, returnType="doc_id bigint, page bigint, k int, o string, s string, kind string"))

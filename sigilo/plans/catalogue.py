@@ -12,6 +12,7 @@ from ..functions.patterns import DETECTORS
 from ..operators import detect, extract, fabricate, names, pdf, render, segment, specs, verify
 from ..streaming import progress
 from . import modes, oracle
+from .made_files import FORMS, made_file
 from .views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +102,17 @@ def pair_dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", "page", _long(F.size("pairs")).alias("n"), _joined(F.col("pairs")).alias("pairs"))
 
 
+@query
+def pair_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs by the table function, called from SQL with a partition for each page."""
+    detect.register_emit_pairs(spark)
+    v = view(spark, sf_dir, "v_case_page").select("doc_id", "page", "text")
+    rows = spark.sql("SELECT * FROM emit_pairs(TABLE(SELECT * FROM {v}) PARTITION BY (doc_id, page))", v=v)
+    each = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("k", "o", "s"))).alias("pairs"))
+    out = v.select("doc_id", "page").join(each, ["doc_id", "page"], "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<k:int,o:string,s:string>>")))
+    return out.select("doc_id", "page", _long(F.size("pairs")).alias("n"), _joined(F.col("pairs")).alias("pairs"))
+
+
 @query
 def apply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted pages, both by falling length and in insertion order, and what detectors still find."""
@@ -506,6 +518,36 @@ def mode_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "ok", "expected", "applied", F.array_join("unmatched", "|").alias("unmatched"), "f_nome")
 
 
+@query
+def file_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read from the bytes of files whose streams are plain, deflated, ASCII85 and hexadecimal, with plain and packed tables."""
+    v = view(spark, sf_dir, "v_case_page").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).getField("text").alias("texts"))
+    files = v.select("doc_id", made_file(F.col("doc_id"), F.col("texts")).alias("content"))
+    return modes.pages_of(files).select(_long(F.col("doc_id")).alias("doc_id"), _long(F.col("page")).alias("page"), "text")
+
+
+@query
+def file_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines read from the bytes of files of forty pages; entries lead to pages by name and by reference, or nowhere."""
+    v = view(spark, sf_dir, "v_outline").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "title", "page"))).alias("all"))
+    pages = F.array(*[F.lit(str(k)) for k in range(40)])
+    files = v.select("doc_id", made_file(F.col("doc_id"), pages, F.transform("all", lambda x: F.struct(x["title"].alias("title"), x["page"].alias("page")))).alias("content"))
+    tree = segment.flatten_outline(modes.outline_of(files))
+    return tree.select(_long(F.col("doc_id")).alias("doc_id"), _long(F.col("ord")).alias("ord"), "title", _long(F.col("page")).alias("page"))
+
+
+@query
+def file_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Court files redacted from their bytes alone: what the released ones show, read from their bytes again; files with a filter that no reader knows are withheld."""
+    v = view(spark, sf_dir, "v_case_page").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).getField("text").alias("texts"))
+    files = v.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), made_file(F.col("doc_id"), F.col("texts"), forms=len(FORMS)).alias("content"))
+    done = modes.redact(files, None, _first_names(spark)).select("doc_id", "ok", "content")
+    shown = modes.pages_of(done.filter("ok")).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page", "text"))).getField("text"), "\n").alias("text"))
+    numbers = F.size(F.regexp_extract_all("text", F.lit("[0-9]{7}-[0-9]{2}[.]2024[.]4[.]03[.][0-9]{4}"), F.lit(0)))
+    out = done.select("doc_id", "ok", F.col("content").isNotNull().alias("released")).join(shown, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return out.select(_long(F.col("doc_id")).alias("doc_id"), "ok", "released", _long(numbers).alias("numbers_kept"), F.contains("text", F.lit("@")).alias("mail_left"))
+
+
 @query
 def mode_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Court pages redacted in files: what was expected, and whether the process number stands and the e-mail is gone."""

@@ -309,6 +309,10 @@ def all_sql() -> dict[str, str]:
         "format_strings": PAGES + f" SELECT doc_id, k, regexp_replace({title}, ' +', ' ', 'g') AS squeezed, 'Evento.' || cast(k AS varchar) || '_-_PETICAO_inicial_n' AS filename, regexp_replace({title}, '([\\[\\]])', '\\\\\\1', 'g') AS escaped, 'EVENTOPETICAOINICIALN' AS token, 'processo ' || cast(k AS varchar) || ' final' AS title, 'Ana Lima' AS name, 'ABC-' || cast(k AS varchar) AS code, true AS is_event, true AS critical FROM v_case_page".replace("{{", "{").replace("}}", "}"),
         "protected_ranges": f"{PAGES}, {PROTECTED} SELECT doc_id, page, cast(b AS bigint) AS begin_at, cast(b + length(number) AS bigint) AS end_at, number FROM prot",
         "pair_dedupe_first_wins": every_pair(kinds),
+        "pair_table_function": every_pair(kinds),
+        "file_page_text": PAGES + " SELECT doc_id, page, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM v_case_page",
+        "file_outline": f"WITH {as_sql('v_outline')} SELECT doc_id, ord, title, page FROM v_outline",
+        "file_redaction": PAGES + " SELECT doc_id, doc_id % 5 <> 4 AS ok, doc_id % 5 <> 4 AS released, CASE WHEN doc_id % 5 <> 4 THEN count(*) ELSE 0 END AS numbers_kept, false AS mail_left FROM v_case_page GROUP BY doc_id",
         "pairs_by_length": PAGES + f" SELECT doc_id, page, {q('|'.join(o for o, _ in ordered))} AS ordered, {replaced} AS replaced FROM v_case_page",
         "findings_count": findings() + "SELECT * FROM f",
         "findings_total": findings() + "SELECT doc_id, cast(sum(cpfs + nits + oabs + crms + addresses + identifiers) AS bigint) AS total, count(*) AS pages FROM f GROUP BY doc_id",
