@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +31,8 @@ ORDERINGS, DIMS, BITS = 6, 6, 8
 BLOCK = (1024, 65536)
 #: Queries whose true neighbours are found to set the window; a documented bound.
 CALIBRATION = 128
-#: Queries that one block compares at once, on average; more are split over copies of the block's points.
-BLOCK_QUERIES = 8192
+#: Scores that are held at once.
+SCORES = 4_000_000
 RECALL = 0.97
 SEED = 7
 
@@ -136,35 +135,52 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return rows[near], cols[near]
 
 
-def compare(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` points of one block for each of its queries."""
-    if not len(queries) or not len(points):
-        return pd.DataFrame({"query": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    p, ids = np.stack(points["v"].to_list()), points["rep"].to_numpy()
-    out = []
-    for lo in range(0, len(queries), 512):
-        part = queries.iloc[lo : lo + 512]
-        scores = np.stack(part["query_v"].to_list()) @ p.T
+NEAR = "query long, rep long, score double"
+
+
+def compare(query: np.ndarray, q: np.ndarray, ids: np.ndarray, p: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` points (ids, p) of one block for each of the queries (query, q)."""
+    step = max(1, SCORES // len(ids))
+    for lo in range(0, len(query), step):
+        scores = q[lo : lo + step] @ p.T
         rows, cols = best_of(scores, ids, k)
-        out.append(pd.DataFrame({"query": part["query"].to_numpy()[rows], "rep": ids[cols], "score": scores[rows, cols]}))
-    return pd.concat(out)
+        yield pa.RecordBatch.from_arrays([pa.array(query[lo + rows]), pa.array(ids[cols]), pa.array(scores[rows, cols])], ["query", "rep", "score"])
 
 
-def in_blocks(queries: DataFrame, points: DataFrame, k: int, parts: int = 1) -> DataFrame:
+def in_blocks(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(query, rep, score): the best ``k`` points for each query over the blocks it is sent to.
 
-    A block's queries are dealt into ``parts`` groups, each with all its points.
+    ``queries`` is (ordering, block, query, v), ``points`` (ordering, block,
+    rep, v). A task reads its blocks one after the other, each block's points
+    before its queries: a block's points are held, its queries pass by, so
+    nothing is repeated and no number of queries fills a task's memory.
     """
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)))
-    points = points.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    asked, there = queries.groupBy("curve", "near_block", "part"), points.groupBy("ordering", "block", "part")
-    return asked.cogroup(there).applyInPandas(lambda a, b: compare(a, b, k), "query long, rep long, score double")
+    there = points.select("ordering", "block", F.lit(0).alias("asks"), F.col("rep").alias("id"), "v")
+    asked = queries.select("ordering", "block", F.lit(1).alias("asks"), F.col("query").alias("id"), "v")
+    met = there.unionByName(asked).repartition("ordering", "block").sortWithinPartitions("ordering", "block", "asks")
 
-
-def parts_of(n_queries: int, n_points: int, window: int, size: int) -> int:
-    """Groups into which a block's queries are dealt, for BLOCK_QUERIES in each on average."""
-    met = n_queries * min(1.0, (2 * window + size) / max(n_points, 1))
-    return max(1, int(np.ceil(met / BLOCK_QUERIES)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, ids, p = None, [], None, None
+        for batch in batches:
+            place = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(place, axis=0) != 0).any(axis=1)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                part, block, asks = batch.slice(lo, hi - lo), (int(place[lo, 0]), int(place[lo, 1])), place[lo, 2]
+                if block != here:
+                    here, held, ids, p = block, [], None, None
+                own = np.asarray(part.column(3)), np.stack(part.column(4).to_numpy(zero_copy_only=False))
+                if not asks:
+                    held.append(own)
+                    continue
+                if held:
+                    ids, p = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = []
+                if ids is not None:
+                    yield from compare(*own, ids, p, k)
+
+    return met.mapInArrow(run, NEAR)
 
 
 def true_neighbours(points: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -223,7 +239,9 @@ def search(
     vectors of another length than the longest kind's. Ties go to the smaller
     id. Repeated ids are one row if their vectors are equal; with different
     vectors each is a candidate and the best score counts. Equal vectors are
-    compared once and expanded to their smallest ids, which is exact.
+    compared once and expanded to their smallest ids, which is exact. Other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    result.
     """
     rows = valid(vectors, id_col, vec_col)
     width = rows.agg(F.max(F.size("v"))).first()[0]
@@ -242,9 +260,8 @@ def search(
     queries = asked.join(points.select("v", "rep"), "v").select("query_id", F.col("rep").alias("query"))
     own = queries.select(F.col("query").alias("rep")).distinct()
     low, high = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / size), F.floor((F.col("rank") + window) / size)
-    sent = laid.join(own, "rep").select(F.col("ordering").alias("curve"), F.explode(F.sequence(low, high)).alias("near_block"), F.col("rep").alias("query"), F.col("v").alias("query_v"))
-    parts = parts_of(own.count(), points.count(), window, size)
-    met = in_blocks(sent, laid.select("ordering", "block", "rep", "v"), k + 1, parts)
+    sent = laid.join(own, "rep").select("ordering", F.explode(F.sequence(low, high)).alias("block"), F.col("rep").alias("query"), "v")
+    met = in_blocks(sent, laid.select("ordering", "block", "rep", "v"), k + 1)
     met = met.groupBy("query", "rep").agg(F.max("score").alias("score"))  # met in several orderings
 
     # Each query vector's best classes; then their ids, and the query's own id out.

@@ -440,9 +440,13 @@ def test_neighbours_send_the_driver_a_bounded_sample(spark, monkeypatch):
     assert all({r.rep for r in found if r.query == q} == set(np.argsort(-(v @ v[q]))[:6].tolist()) for q in range(5))
     df = points.withColumnsRenamed({"rep": "vec_id", "v": "embedding"})
     whole = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, k=5).collect()))
-    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 30)
-    assert neighbours.parts_of(100, 400, 200, 400) == 4
-    split = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, k=5).collect()))
+    monkeypatch.setattr(neighbours, "SCORES", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", (16, 32))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a block's points and queries come in many batches
+    try:
+        split = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 4 == 0, k=5).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [x[:3] for x in split] == [x[:3] for x in whole] and np.allclose([x[3] for x in split], [x[3] for x in whole])
 
 
