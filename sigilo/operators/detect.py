@@ -3,8 +3,8 @@
 Detection is one Arrow-batched function over the text: each detector's
 compiled pattern runs once and its matches carry their places. It is a narrow
 projection without a shuffle, however many documents there are; texts that
-hold nothing a detector could find never leave the JVM. Replacement and the
-places of process numbers are Spark's own functions.
+hold nothing a detector could find never leave the JVM. Replacement is by
+Spark's own functions.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import DETECTORS, PROCESS, Detector
-from ..functions.text import CPF_FIRST, CPF_SECOND, let, overlaps
+from ..functions.text import CPF_FIRST, CPF_SECOND
 
 PAIR = "struct<o:string,s:string,kind:string>"
 PAIRS = f"array<{PAIR}>"
@@ -26,33 +26,20 @@ PAIRS = f"array<{PAIR}>"
 CANDIDATE = r"(?i)[0-9]|@|rua|r\.|av|pra[cçÇ]a|rod|estr"
 
 
-def spans(text: Column, pattern: str, groups: int = 0) -> Column:
-    """array<struct<b, e, m0, m1, ...>>: all matches with their half-open ranges.
+def spans(text: Column, pattern: str | re.Pattern, groups: int = 0) -> Column:
+    """array<struct<b, e, m0, m1, ...>>: all matches with their half-open ranges and groups; null texts have none."""
+    compiled, names = re.compile(pattern), [f"m{g}" for g in range(groups + 1)]
 
-    Spark returns values only; ranges are sums over the lengths of the pieces
-    between matches and of the matches themselves.
-    """
-    p = F.lit(pattern)
-    parts = F.struct(*[F.regexp_extract_all(text, p, F.lit(g)).alias(f"f{g}") for g in range(groups + 1)], F.transform(F.split(text, pattern, -1), F.length).alias("between"))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
-
-    def placed(s: Column) -> Column:
-        def one(m: Column, k: Column) -> Column:
-            begin = total(s["between"], k + 1) + total(F.transform(F.slice(s["f0"], 1, k), F.length), k)
-            return F.struct(begin.alias("b"), (begin + F.length(m)).alias("e"), *[F.get(s[f"f{g}"], k).alias(f"m{g}") for g in range(groups + 1)])
-
-        return F.transform(s["f0"], one)
+    @F.pandas_udf(f"array<struct<b:int,e:int,{','.join(f'{n}:string' for n in names)}>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"b": m.start(), "e": m.end(), **{n: m[g] or "" for g, n in enumerate(names)}} for m in compiled.finditer(t or "")] for t in texts], dtype=object)
 
-    return let(parts, placed)
+    return found(text)
 
 
 def protected(text: Column) -> Column:
     """Ranges of process numbers, which are never masked."""
-    return spans(text, PROCESS.java)
-
-
-def unprotected(found: Column, ranges: Column) -> Column:
-    return let(ranges, lambda r: F.filter(found, lambda m: ~overlaps(m["b"], m["e"], r)))
+    return spans(text, PROCESS.python)
 
 
 # The kernel: plain functions of one text.

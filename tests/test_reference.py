@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 from sigilo.functions.patterns import DETECTORS
-from sigilo.operators import detect, extract, fabricate, names, pdf, render, segment, verify
+from sigilo.operators import detect, extract, fabricate, names, pdf, render, segment, specs, verify
 from sigilo.plans import modes
 from sigilo.sources import readers
 from sigilo.sources.pdf_objects import PdfFile
@@ -375,3 +375,13 @@ def test_stream_keeps_state_between_files_until_idle(spark, tmp_path):
     assert seen == [[1.0], [1.0, 3.0], [1.0, 3.0, 5.0]]
     left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert left and left[-1] < 9  # the idle document's rows are gone
+
+
+def test_small_column_functions(spark):
+    assert one(spark, T.hex_utf16(F.col("t")), t="00C90020D83DDE00") == "É 😀" and one(spark, T.hex_latin1(F.col("t")), t="C920") == "É "
+    assert [one(spark, T.common_surname(F.col("t")), t=t) for t in ("Silva", "SOUZA", "Zulmiro")] == [True, True, False]
+    both = one(spark, specs.merge_hits(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3), F.lit("c"), F.lit(4))), t="")
+    assert both == {"a": 1, "b": 5, "c": 4}
+    got = one(spark, detect.protected(F.col("t")), t="é 1234567-89.2030.4.05.6789 e " * 3)
+    assert [(r.b, r.e) for r in got] == [(2 + 30 * k, 27 + 30 * k) for k in range(3)] and got[0].m0 == "1234567-89.2030.4.05.6789"
+    assert one(spark, detect.protected(F.col("t")), t=None) == []
