@@ -145,7 +145,7 @@ def findings_text(found: DataFrame) -> Column:
     return F.concat(F.when(parts != "", F.concat(F.lit("Redatados: "), parts)).otherwise("Nenhum dado sensível encontrado"), kept)
 
 
-def counted(docs: DataFrame, first_names: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, first_names: names.Names) -> DataFrame:
     """``docs`` (doc_id, text) with all findings, names too."""
     return names.count_names(detect.findings(docs), first_names)
 
@@ -158,13 +158,13 @@ def redact(files: DataFrame, pages: DataFrame | None, first_names: DataFrame) ->
     unreplaced, unmatched, status and findings in words.
     """
     own = admitted(files, "processo-judicial")
-    pages = pages_of(own) if pages is None else pages
+    pages, known = pages_of(own) if pages is None else pages, names.dictionary(first_names)
     whole = _keyed(pages).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", squeeze(F.col("text")).alias("t")))).alias("all"))
     docs = whole.select("doc_id", F.array_join("all.t", "\n").alias("text"))
-    mapped = names.map_pairs(docs, first_names)
+    mapped = names.map_pairs(docs, known)
     rows = checkpointed(mapped.select("doc_id", F.posexplode(specs.judicial(F.col("pairs"))).alias("ord", "s")).select("doc_id", "ord", "s.*"))
     out = rewritten(own, checkpointed(readers.streams(own)), rows, critical_only=True)
-    found = counted(docs, first_names)
+    found = counted(docs, known)
     told = F.when(F.size("unmatched") > 0, F.concat(F.lit("não confirmado: "), F.array_join("unmatched", ", "))).otherwise("")
     out = out.withColumn("status", status(F.col("ok"), F.col("unreplaced"), told))
     return out.join(found.select("doc_id", findings_text(found).alias("findings")), "doc_id", "left")
@@ -188,7 +188,7 @@ def read_by_ocr(pages: DataFrame, enabled: bool, missing: str, provider: Provide
     return out.withColumn("route", F.when((F.col("route") == "ocr") & ~got, "failed").otherwise(F.col("route"))).drop("ocr_text")
 
 
-def anonymise(events: DataFrame, first_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+def anonymise(events: DataFrame, first_names: names.Names) -> tuple[DataFrame, DataFrame]:
     """Events with pages and titles redacted by their document's pairs, and a summary per document.
 
     ``events`` is what ``segment.assemble`` gives. Pairs are those of the
@@ -240,7 +240,7 @@ def split(
     report = None
     summary = own.groupBy("doc_id").agg(F.count("*").alias("pieces")).join(process, "doc_id").join(counts, "doc_id", "left").withColumn("ocr_enabled", F.lit(enable_ocr))
     if first_names is not None:
-        own, redacted = anonymise(own, first_names)
+        own, redacted = anonymise(own, names.dictionary(first_names))
         summary = summary.join(redacted, "doc_id")
         report = render.report_markdown(summary)
     named = render.zip_name(F.col("process"), F.lit(first_names is not None))
