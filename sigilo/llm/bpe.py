@@ -164,7 +164,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     Null and empty texts give no tokens and an empty decoded text. Each row is
     handled by itself, in input order, so ties and repeated rows give equal
-    rows; other columns are ignored; no shuffle takes place.
+    rows. Whole texts are encoded, however long; other columns, whatever their
+    names, are ignored; an empty table gives an empty result; no shuffle takes
+    place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

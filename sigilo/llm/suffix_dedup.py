@@ -539,7 +539,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in a smaller id, or in the same text before. Rows that repeat an id and
     text are one document and get equal results; different texts of one id
     are documents of their own, in the order of their digests. Null ids come
-    after all others. Other columns are ignored.
+    after all others. Whole texts are read, very long ones in pieces that
+    overlap; other columns, whatever their names, are ignored; an empty table
+    gives an empty result.
     """
     rows = numbered(docs.select(F.col(id_col).cast("long").alias("raw_id"), F.col(text_col).alias("text")))
     found = judged(find_segments(rows)).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "doubt")).alias("spans"))

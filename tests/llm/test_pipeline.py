@@ -101,3 +101,19 @@ def test_near_texts_of_repeated_rows_stay_once(spark):
     docs = spark.createDataFrame([(2, "a b c d e f g", "en"), (2, "a b c d e f g", "en"), (None, "a  b c d e f g", "en"), (7, None, "en"), (8, "", "en")], "doc_id long, text string, lang string")
     out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
     assert out == [(2, "a b c d e f g"), (7, None)]
+
+
+def test_each_stage_on_no_rows_and_on_a_very_long_text(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(3)
+    word = lambda: rng.choice("the and of tion ing her was that with for are".split()) + rng.choice("the and of her was".split())
+    long = " ".join(word() for _ in range(120_000))
+    rows = [(k, " ".join(word() for _ in range(80)), "en", "s", 0) for k in range(30)] + [(99, long, "en", "s", 0), (100, long.replace(" ", "  "), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0, name
+        got = stage(spark, docs, str(tmp_path))
+        ids = {r.doc_id for r in got.select("doc_id").collect()}
+        assert 99 in ids or 100 in ids, name
+        if name == "packing":
+            assert got.filter("doc_id = 99").agg({"length": "sum"}).first()[0] == got.filter("doc_id = 99").first().doc_tokens > 100_000
