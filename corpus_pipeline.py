@@ -65,12 +65,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: live-looking values are masked in place; documents stay, null and repeated ones too."""
+    """Secret scans: live-looking values are masked in place; documents stay.
+
+    Null and empty texts hold no value; equal texts are masked alike, so that
+    repeated rows and ties stay equal, whatever their ids.
+    """
     return secrets.redact(docs, secrets.secret_scan(docs))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of every document that is left; null texts are the end token alone."""
+    """Packing: the pieces of every document that is left.
+
+    Null and empty texts are the end token alone; repeated rows and null ids
+    are documents of their own; a very long text lies in several windows.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
