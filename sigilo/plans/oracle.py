@@ -241,7 +241,11 @@ def comparison_sql() -> str:
         ("Benefício", "benefit", SWAP.format("benefit"), "beneficio", "'***.***.**' || substr(benefit, 11, 1) || substr(benefit, 12)"), ("Código", "base9 || 'ABCXY'", SWAP.format("base9 || 'ABCXY'"), "codigo", "substr(base9, 1, 6) || '***'"),
         ("Mãe", "CASE WHEN corrupt THEN '' ELSE 'RITA TESTE' END", "'Maria Falsa'", "mae", "CASE WHEN corrupt THEN '' ELSE 'RITA ****' END"),
     ]
-    return PERSON + " " + " UNION ALL ".join(f"SELECT doc_id, {q(label)} AS label, {o} AS original, {s} AS fake, {q(f)} AS field, {shown} AS shown FROM p" for label, o, s, f, shown in rows)
+    whole = "array_to_string(lines, ' ')"
+    address = f"SELECT doc_id, 'Endereço' AS label, {whole} AS original, {SWAP.format(whole)} AS fake, 'endereco' AS field, array_to_string(string_split({whole}, ' ')[1:2], ' ') || ' ***' AS shown FROM a"
+    values = " UNION ALL ".join(f"SELECT doc_id, {q(label)} AS label, {o} AS original, {s} AS fake, {q(f)} AS field, {shown} AS shown FROM p" for label, o, s, f, shown in rows)
+    lines = ADDRESS.removeprefix(f"WITH {as_sql('v_person')}, ")
+    return f"{PERSON}, {lines} {values} UNION ALL {address}"
 
 
 def report_sql() -> str:
