@@ -313,14 +313,14 @@ def _fixed_fakes(r: DataFrame) -> DataFrame:
 
 @query
 def spec_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = specs.build(_fixed_fakes(_records(spark, sf_dir))).select("doc_id", F.posexplode("specs").alias("ord", "s"))
+    s = specs.build(_fixed_fakes(_records(spark, sf_dir))).select("doc_id", F.posexplode_outer("specs").alias("ord", "s"))
     s = s.filter(~F.col("s.id").isin("endereco"))
     return s.select("doc_id", F.col("s.id").alias("id"), F.col("s.label").alias("label"), _joined(F.col("s.pairs")).alias("pairs"), F.array_join("s.verify", "|").alias("verify"))
 
 
 @query
 def spec_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = specs.build(_fixed_fakes(_records(spark, sf_dir))).select("doc_id", F.explode("specs").alias("s")).filter("s.id = 'endereco'")
+    s = specs.build(_fixed_fakes(_records(spark, sf_dir))).select("doc_id", F.explode_outer("specs").alias("s")).filter("s.id = 'endereco'")
     return s.select("doc_id", _joined(F.col("s.pairs")).alias("pairs"), F.array_join("s.verify", "|").alias("verify"))
 
 
