@@ -4,11 +4,14 @@ import contextlib
 import io
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sigilo.operators import names
-from sigilo.plans import catalogue
+from sigilo.operators import detect, names, segment
+from sigilo.plans import catalogue, modes
+from sigilo.plans.made_files import made_file
 from sigilo.plans.views import view
+from sigilo.sources import readers
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,3 +44,48 @@ def test_specs_are_built_once(spark):
     for name in ("spec_build", "spec_address"):
         plan = plan_of(catalogue.queries()[name](spark, SMALL))
         assert "size(" not in "".join(x for x in plan.splitlines() if "Filter" in x)
+
+
+def test_process_numbers_stay_and_masks_are_no_residuals(spark):
+    pages = [
+        "Processo 9500000-00.2024.4.03.0000 CRM/SP 500000 0AB/RJ 00000 SP00000 OAB/SP 000000 RG n. 00.000.000-0 u1@exemplo.org fim",
+        "Processo 6515082-18.2024.4.03.7934 CRM/SP 515082 u2@exemplo.org fim",
+    ]
+    v = spark.createDataFrame([(str(k), 0, t) for k, t in enumerate(pages)], "doc_id string, page int, text string")
+    files = catalogue._pdf_files(v, F.col("text"))
+    split = files.withColumn("content", F.encode(F.replace(F.decode("content", "ISO-8859-1"), F.lit("-00.2024"), F.lit(") Tj (-00.2024")), "ISO-8859-1"))
+    for one in (files, split):
+        got = {r.doc_id: r for r in modes.redact(one, v, catalogue._first_names(spark)).collect()}
+        for k, number in ("0", "9500000-00.2024.4.03.0000"), ("1", "6515082-18.2024.4.03.7934"):
+            text = (got[k].content or b"").decode("latin-1").replace(") Tj (", "")
+            assert got[k].ok and number in text and "@exemplo.org" not in text and "500000 " not in text.replace(number, "") and "515082 " not in text.replace(number, "")
+
+
+def test_made_texts_and_files_are_never_broadcast(spark):
+    for name in ("pair_table_function", "file_redaction", "mode_redact"):
+        assert "Broadcast" not in plan_of(catalogue.queries()[name](spark, SMALL)), name
+
+
+def test_files_are_made_and_read_once(spark):
+    for name in ("file_page_text",):
+        plan = plan_of(catalogue.queries()[name](spark, SMALL))
+        assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_one_reading_gives_outlines_as_the_joins_do(spark):
+    outline = F.array(*[F.struct(F.lit(f"Evento. {k} - P").alias("title"), F.lit(p).cast("long").alias("page")) for k, p in enumerate([0, 1, None, 1, 0])])
+    files = spark.range(8).select(F.col("id").alias("doc_id"), made_file(F.col("id"), F.array(F.lit("a"), F.lit("b")), outline).alias("content"))
+    own = segment.resolve_outline(readers.outline_nodes(files), readers.named_destinations(files), readers.page_index(files))
+    cols = ["doc_id", "node_id", "parent_id", "ordinal", "title", "page"]
+    assert sorted(map(str, modes.outline_of(files).select(cols).collect())) == sorted(map(str, own.select(cols).collect()))
+
+
+def test_results_are_made_in_parts():
+    sizes = []
+
+    def f(x):
+        sizes.append(len(x))
+        return x
+
+    assert detect.in_parts(f)(pa.array(range(1201))).to_pylist() == list(range(1201)) and max(sizes) <= detect.PART
+    assert detect.in_parts(f)(pa.array([], pa.int64())).to_pylist() == []
