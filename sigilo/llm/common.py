@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import Scratch, checkpointed, removed, scratch, shared_folder
+from ..sources.shared import Scratch, checkpointed, merged, removed, scratch, shared_folder
 
-__all__ = ["PLACE", "Scratch", "checkpointed", "fresh", "place_of", "removed", "scratch", "shared_folder", "slim", "table"]
+__all__ = ["PLACE", "Scratch", "checkpointed", "fresh", "merged", "place_of", "removed", "scratch", "shared_folder", "slim", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, scratch
+from .common import checkpointed, merged, scratch
 
 MAX_ROUNDS = 60
 #: Edges of a task. Rounds of few edges are done by few tasks, whatever the number of shuffle partitions.
@@ -20,9 +20,9 @@ def star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
     if large:
-        moved = near.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
+        moved = near.join(merged(low), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
-        moved = near.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
+        moved = near.join(merged(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
     return moved.filter(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks)
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PLACE, Scratch, checkpointed, place_of, scratch
+from .common import PLACE, Scratch, checkpointed, merged, place_of, scratch
 from .components import connected_components
 
 BITS, SEGMENTS, CHAIN = 64, 4, 2
@@ -139,7 +139,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     tried = keyed.select("fp", "key", "start", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
     tried = tried.filter((F.bit_count("mask") != 1) | (F.col("key").bitwiseAND(F.col("mask")) == 0))
     left = tried.select(F.col("fp").alias("u"), "start", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
-    met = left.join(keyed.select(F.col("fp").alias("v"), "key"), "key").filter(F.col("u") != F.col("v"))
+    met = left.join(merged(keyed.select(F.col("fp").alias("v"), "key")), "key").filter(F.col("u") != F.col("v"))
     diff, ok = F.col("u").bitwiseXOR(F.col("v")), F.lit(False)
     for k in range(SEGMENTS):  # longer chains from the start that met, and last all bits
         ok = F.when(F.col("start") == k, within(diff, k, distance, SEGMENTS, CHAIN + 1)).otherwise(ok)
@@ -162,10 +162,10 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str
     edges = checkpointed(links(fps, distance))
     roots = connected_components(edges)
     degree = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    owned = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    owned = fps.join(merged(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = owned.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    classes = owned.join(merged(names), "root").join(merged(degree), "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(merged(classes), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 # Texts of a given similarity.

@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sigilo.llm import simhash
 from sigilo.operators import detect, names, segment
 from sigilo.plans import catalogue, modes
 from sigilo.plans.made_files import made_file
@@ -89,3 +90,8 @@ def test_results_are_made_in_parts():
 
     assert detect.in_parts(f)(pa.array(range(1201))).to_pylist() == list(range(1201)) and max(sizes) <= detect.PART
     assert detect.in_parts(f)(pa.array([], pa.int64())).to_pylist() == []
+
+
+def test_op3_sends_no_fingerprints_to_the_driver(spark):
+    docs = spark.createDataFrame([(k, f"a b c d {k % 7}") for k in range(50)], "doc_id long, text string")
+    assert "Broadcast" not in plan_of(simhash.near_dedup(docs))
