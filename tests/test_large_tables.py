@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sigilo.llm import simhash
-from sigilo.operators import detect, names, segment
+from sigilo.functions import text
+from sigilo.operators import detect, extract, names, segment
 from sigilo.plans import catalogue, modes
 from sigilo.plans.made_files import made_file
 from sigilo.plans.views import view
@@ -95,3 +96,23 @@ def test_results_are_made_in_parts():
 def test_op3_sends_no_fingerprints_to_the_driver(spark):
     docs = spark.createDataFrame([(k, f"a b c d {k % 7}") for k in range(50)], "doc_id long, text string")
     assert "Broadcast" not in plan_of(simhash.near_dedup(docs))
+
+
+def test_word_starts_are_edges_and_cost_one_look(spark):
+    rows = ["xNome: ANA CPF", "ſNome: ANA CPF", "-nome: ANA  LIMA CPF 111.444.777-35", "_CPF 11144477735", "\t carta  de\nconcessão", "ſcarta de concessão", "a  b", "", None]
+    t = F.col("t")
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select(text.squeeze(t), text.document_type(t), extract.holder(t), extract.cpf(t)).collect()
+    assert [tuple(r) for r in got] == [
+        ("xNome: ANA CPF", "cnis", "", ""), ("ſNome: ANA CPF", "cnis", "", ""), ("-nome: ANA LIMA CPF 111.444.777-35", "cnis", "ANA LIMA", "111.444.777-35"), ("_CPF 11144477735", "cnis", "", ""),
+        ("carta de concessão", "carta-concessao", "", ""), ("ſcarta de concessão", "cnis", "", ""), ("a b", "cnis", "", ""), ("", "cnis", "", ""), ("", "cnis", "", ""),
+    ]
+    # Neither way of an edge is tried at every place: no pattern begins with one.
+    for name in ("extract_record", "extract_fields"):
+        assert not re.search(r"(?:\(\?iu?\))?" + re.escape(text.EDGE) + r"(?:\(\?:|[A-Za-z\[])", plan_of(catalogue.queries()[name](spark, SMALL))), name
+
+
+def test_numbers_of_many_pages_are_told_apart_by_sorting(spark):
+    values = ["2-1", "", "1", "21", "x", "1", "y", "3"]
+    df = spark.createDataFrame([(values,), ([],), (None,), ([f"{k % 20_000}" for k in range(60_000)],)], "a array<string>")
+    got = [r[0] for r in df.select(extract.distinct_by_digits(F.col("a"))).collect()]
+    assert got[:3] == [["2-1", "1", "3"], [], None] and got[3] == [str(k) for k in range(20_000)]
