@@ -107,7 +107,7 @@ def test_word_starts_are_edges_and_cost_one_look(spark):
         ("carta de concessão", "carta-concessao", "", ""), ("ſcarta de concessão", "cnis", "", ""), ("a b", "cnis", "", ""), ("", "cnis", "", ""), ("", "cnis", "", ""),
     ]
     # Neither way of an edge is tried at every place: no pattern begins with one.
-    for name in ("extract_record", "extract_fields"):
+    for name in ("extract_record", "extract_fields", "observations"):
         assert not re.search(r"(?:\(\?iu?\))?" + re.escape(text.EDGE) + r"(?:\(\?:|[A-Za-z\[])", plan_of(catalogue.queries()[name](spark, SMALL))), name
 
 
