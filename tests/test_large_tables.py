@@ -116,3 +116,18 @@ def test_numbers_of_many_pages_are_told_apart_by_sorting(spark):
     df = spark.createDataFrame([(values,), ([],), (None,), ([f"{k % 20_000}" for k in range(60_000)],)], "a array<string>")
     got = [r[0] for r in df.select(extract.distinct_by_digits(F.col("a"))).collect()]
     assert got[:3] == [["2-1", "1", "3"], [], None] and got[3] == [str(k) for k in range(20_000)]
+
+
+def test_labels_cost_one_look_and_numbers_one_search(spark):
+    for name in ("extract_record", "extract_fields", "observations"):
+        plan = plan_of(catalogue.queries()[name](spark, SMALL))
+        # The first letter stands before flags and looks around, and texts without a label's letters are not searched.
+        assert "(?-iu:" not in plan and "benef)" in plan, name
+    rows = [
+        ("111.444.777-35 x123.45678.90-0 123.45678.90-1 1.222.333-4 654.602.446-8", "111.444.777-35", ["123.45678.90-1"], "654.602.446-8"),
+        ("111.444.777-355 111.444.777-3_ 1111.444.777-35 CPF 11144477735 ſpis 12345678900", "111.444.777-35", ["12345678900"], ""),
+        ("benefİcio 100.200.300-4x NÚMERO DO BENEFÍCIO: 123456789-0", "", [], "123456789-0"), (None, "", [], ""),
+    ]
+    t = F.col("t")
+    got = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, t string").orderBy("k").select(extract.cpf(t), extract.nits(t), extract.benefit(t)).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]
