@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigilo.llm import simhash
 from sigilo.functions import text
-from sigilo.operators import detect, extract, names, segment
+from sigilo.operators import detect, extract, names, pdf, segment
 from sigilo.plans import catalogue, modes
 from sigilo.plans.made_files import made_file
 from sigilo.plans.views import view
@@ -118,6 +118,13 @@ def test_numbers_of_many_pages_are_told_apart_by_sorting(spark):
     assert got[:3] == [["2-1", "1", "3"], [], None] and got[3] == [str(k) for k in range(20_000)]
 
 
+def test_small_files_are_sent_on_together():
+    files = [(str(k), b"x" * 300) for k in range(2000)] + [("large", b"y" * (2 * readers.TOGETHER))] + [("", b"")]
+    batches = list(pdf.in_batches(iter(files)))
+    assert len(batches) == 3 and [(r["doc_id"], r["content"]) for b in batches for r in b.to_pylist()] == files
+    assert list(pdf.in_batches([])) == []
+
+
 def test_labels_cost_one_look_and_numbers_one_search(spark):
     for name in ("extract_record", "extract_fields", "observations"):
         plan = plan_of(catalogue.queries()[name](spark, SMALL))
