@@ -118,6 +118,12 @@ def test_numbers_of_many_pages_are_told_apart_by_sorting(spark):
     assert got[:3] == [["2-1", "1", "3"], [], None] and got[3] == [str(k) for k in range(20_000)]
 
 
+def test_digits_are_blanked_without_a_match_for_each(monkeypatch):
+    monkeypatch.setattr(re, "sub", lambda *_: 1 / 0)
+    assert detect.blank_digits("Nº 12.3-٣x") == "Nº 00.0-٣x" and detect.blank_digits("1-2", "*") == "*-*" and detect.only_digits("a1..2٣-3") == "123"
+    assert detect.Text("PIS 123.45678.90-1").pairs(["nit"]) == {"123.45678.90-1": ("000.00000.00-0", "nit"), "12345678901": ("00000000000", "nit")}
+
+
 def test_small_files_are_sent_on_together():
     files = [(str(k), b"x" * 300) for k in range(2000)] + [("large", b"y" * (2 * readers.TOGETHER))] + [("", b"")]
     batches = list(pdf.in_batches(iter(files)))
