@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, checkpointed, merged, removed, scratch, shared_folder
 
-__all__ = ["PLACE", "Scratch", "checkpointed", "fresh", "merged", "place_of", "removed", "scratch", "shared_folder", "slim", "table"]
+__all__ = ["PLACE", "Scratch", "checkpointed", "fresh", "merged", "parts", "place_of", "removed", "scratch", "shared_folder", "slim", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,13 @@ def slim(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, at most ``rows`` at a time: what a task holds of them as Python objects."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def place_of(id_col: str, text_col: str) -> Column:
     """128 bits of hashes of a row's id and text, by which it is known where ids may be null or repeat."""
     i, t = F.col(id_col), F.col(text_col)

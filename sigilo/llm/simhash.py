@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PLACE, Scratch, checkpointed, merged, place_of, scratch
+from .common import PLACE, Scratch, checkpointed, merged, parts, place_of, scratch
 from .components import connected_components
 
 BITS, SEGMENTS, CHAIN = 64, 4, 2
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(doc_id, fp) of every row; fp is the 64 bits as a signed integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -184,7 +184,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, place, digest, size, fp, keys) of every row: its set's 128-bit digest and size, its fingerprint and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -207,12 +207,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(2).to_pylist()]
-                own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "body"]).filter(pa.array(own, pa.bool_()))
+        for part in parts(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(2).to_pylist()]
+            own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "body"]).filter(pa.array(own, pa.bool_()))
 
     # A node's text is that of the row it is named for; rows that share the row's hash by chance have another digest.
     own = nodes.join(needed, "node", "left_semi").select("node", "digest", F.col("first.place").alias("place"))
@@ -223,7 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     met = salted.join(sets.select(F.col("node").alias("v"), F.col("body").alias("b")), "v").join(to_u, ["u", "salt"]).select("u", "v", "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             keep = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for a, b in both]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -243,13 +241,11 @@ def rare_shingles(rest: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: i
     """
 
     def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(2).to_pylist()]
-                own = [s if xxhash.xxh3_128_digest(s.tobytes()) == d else s[:0] for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
-                node = np.repeat(part.column(0).to_numpy(), [len(s) for s in own])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(own).view(np.int64))], ["node", "h"])
+        for part in parts(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(2).to_pylist()]
+            own = [s if xxhash.xxh3_128_digest(s.tobytes()) == d else s[:0] for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
+            node = np.repeat(part.column(0).to_numpy(), [len(s) for s in own])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(own).view(np.int64))], ["node", "h"])
 
     own = nodes.join(rest.select("node"), "node", "left_semi").select("node", "digest", "size", F.col("first.place").alias("place"))
     texts = docs.join(own, "place").select("node", "digest", "text").dropDuplicates(["node", "text"])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
+from sigilo.llm.common import parts
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -117,3 +120,9 @@ def test_each_stage_on_no_rows_and_on_a_very_long_text(spark, tmp_path):
         assert 99 in ids or 100 in ids, name
         if name == "packing":
             assert got.filter("doc_id = 99").agg({"length": "sum"}).first()[0] == got.filter("doc_id = 99").first().doc_tokens > 100_000
+
+
+def test_a_task_holds_a_part_of_a_batch_as_objects():
+    batches = [pa.record_batch({"k": list(range(lo, hi))}) for lo, hi in ((0, 1300), (1300, 1300), (1300, 1301))]
+    got = list(parts(batches))
+    assert max(map(len, got)) == 512 and [k for b in got for k in b.column(0).to_pylist()] == list(range(1301))
