@@ -14,6 +14,8 @@ from ..sources.shared import Scratch, checkpointed, merged, scratch
 
 #: A line starts where the vertical step is above this.
 LINE_STEP = 8.0
+#: Nodes of an outline that a task of a round gets, whatever the number of shuffle partitions.
+NODES = 100_000
 
 
 def page_text(items: DataFrame) -> DataFrame:
@@ -75,10 +77,10 @@ def resolve_outline(outline: DataFrame, named: DataFrame, references: DataFrame)
     return out.join(references.select("doc_id", "ref", "page"), ["doc_id", "ref"], "left").drop("ref", "__named")
 
 
-def _upward(nodes: DataFrame, more: list[str]) -> DataFrame:
+def _upward(nodes: DataFrame, more: list[str], tasks: int) -> DataFrame:
     """``nodes`` (doc_id, node_id, up, lost, ...) with what stands at ``up`` beside it: ``next``, ``up_lost`` and the columns ``more`` with a mark."""
     above = nodes.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("lost").alias("up_lost"), *[F.col(c).alias(f"up_{c}") for c in more])
-    return nodes.join(above, ["doc_id", "up"], "left")
+    return nodes.repartition(tasks, "doc_id", "up").join(above.repartition(tasks, "doc_id", "up"), ["doc_id", "up"], "left")
 
 
 def _lost() -> Column:
@@ -103,23 +105,26 @@ def flatten_outline(outline: DataFrame) -> DataFrame:
 def _flattened(outline: DataFrame, keep: Scratch) -> DataFrame:
     own = F.min(F.struct("parent_id", "ordinal", "title", "page")).alias("own")
     rows = keep(outline.groupBy("doc_id", "node_id").agg(own).select("doc_id", "node_id", "own.*"), "rows")
-    most = rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    most, total = (x or 0 for x in rows.groupBy("doc_id").count().agg(F.max("count"), F.sum("count")).first())
+    # A task's memory must not grow with the table: the number of tasks does.
+    tasks, node = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // NODES)), ["doc_id", "node_id"]
     now = rows.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), F.lit(1).cast("long").alias("size"))
     for n in range(most.bit_length() + 1):
-        below = now.filter("up IS NOT NULL AND NOT lost").groupBy("doc_id", F.col("up").alias("node_id")).agg(F.sum("size").alias("below"))
-        met = _upward(now, []).withColumn("lost", _lost()).join(below, ["doc_id", "node_id"], "left")
+        below = now.filter("up IS NOT NULL AND NOT lost").select("doc_id", F.col("up").alias("node_id"), "size").repartition(tasks, *node).groupBy(node).agg(F.sum("size").alias("below"))
+        met = _upward(now, [], tasks).withColumn("lost", _lost()).repartition(tasks, *node).join(below, node, "left")
         now = keep(met.select("doc_id", "node_id", F.when(~F.col("lost"), F.col("next")).alias("up"), "lost", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), f"size-{n}")
         if not now.filter("up IS NOT NULL").limit(1).count():
             break
     # What still has a way up after so many rounds never comes to a root.
-    good = rows.join(now.filter("up IS NULL AND NOT lost").select("doc_id", "node_id", "size"), ["doc_id", "node_id"])
+    good = rows.drop("title", "page").repartition(tasks, *node).join(now.filter("up IS NULL AND NOT lost").select(*node, "size").repartition(tasks, *node), node)
     before = F.sum("size").over(Window.partitionBy("doc_id", "parent_id").orderBy("ordinal", "node_id").rowsBetween(Window.unboundedPreceding, -1))
     step = F.coalesce(before, F.lit(0)) + F.col("parent_id").isNotNull().cast("long")
+    good = good.repartition(tasks, "doc_id", "parent_id")
     now, n = keep(good.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.lit(False).alias("lost"), step.alias("at")), "at-0"), 0
     while now.filter("up IS NOT NULL").limit(1).count():
         n += 1
-        now = keep(_upward(now, ["at"]).select("doc_id", "node_id", F.col("next").alias("up"), "lost", (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at")), f"at-{n}")
-    return rows.join(now, ["doc_id", "node_id"]).select("doc_id", F.col("at").cast("int").alias("ord"), "title", "page")
+        now = keep(_upward(now, ["at"], tasks).select("doc_id", "node_id", F.col("next").alias("up"), "lost", (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at")), f"at-{n}")
+    return rows.repartition(tasks, *node).join(now.repartition(tasks, *node), node).select("doc_id", F.col("at").cast("int").alias("ord"), "title", "page")
 
 
 def event_ranges(items: DataFrame, totals: DataFrame, only_event_titles: bool = False) -> DataFrame:

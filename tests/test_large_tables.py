@@ -144,3 +144,19 @@ def test_labels_cost_one_look_and_numbers_one_search(spark):
     t = F.col("t")
     got = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, t string").orderBy("k").select(extract.cpf(t), extract.nits(t), extract.benefit(t)).collect()
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
+def test_tasks_of_an_outline_grow_with_its_nodes(spark, monkeypatch):
+    monkeypatch.setattr(segment, "NODES", 100)
+    tree = spark.range(4000).select(
+        F.lit(1).alias("doc_id"), F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 40)).alias("parent_id"), F.col("id").cast("int").alias("ordinal"),
+        F.lit("t").alias("title"), F.col("id").alias("page"),
+    )
+    rounds = {}
+
+    def keep(df, of):
+        rounds[of] = df.rdd.getNumPartitions()
+        return df.localCheckpoint()
+
+    assert segment._flattened(tree, keep).count() == 4000
+    assert min(n for of, n in rounds.items() if of != "rows") >= 40
