@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -196,3 +197,18 @@ def test_pairs_and_findings_come_from_one_look(spark):
     assert plan_of(one).count("ArrowEvalPython") == 1
     two = names.map_pairs(docs, first).join(modes.counted(docs, first).drop("text"), "doc_id")
     assert sorted(map(str, one.collect())) == sorted(map(str, two.select(one.columns).collect()))
+
+
+def test_detectors_are_tried_only_where_they_can_begin():
+    start = time.monotonic()
+    assert detect.Text("a" * 100_000 + "@").matches("email") == []  # tried at every place, this is quadratic
+    assert time.monotonic() - start < 2
+    texts = [
+        "a@b.cox.y@d-e.br @. İd RG 12.345-6 PIS/PASEP 123.45678.90-1 (11) 91234-5678 11 1234 5678 CPF12345678901 0863171-79.2024.4.03.5777", "ÁLVARES RJ12345 ABC  SP1234 SP12345 _AB1234 xAB1234 AB1234567 RUA PERICIAL 1 Av. B, CRM/SP 1234",
+        "123.45678.90-1.123.45678.90-1 1234567890 .V5 12345678v2 Nº 123456789012345678 oab-sp) sob o n. 12.345 0AB 123", "", "Número do benefício: 123456789 EspÉcie/NB --/123456 TÍTULO 1234567890 cÓdigo  verificador 12345678v1",
+    ]
+    for t in texts:
+        for x in (detect.Text(t), detect.Text(t).dealt()):
+            for name, d in detect.DETECTORS.items():
+                assert [m.span() for m in x.matches(name)] == [m.span() for m in d.python.finditer(t)], (name, t)
+            assert [m.span() for m in x.processes] == [m.span() for m in detect.PROCESS.python.finditer(t)]
